@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from alttree.functions.arrays import constant, lower_bound
 from alttree.operators.scan import prefix_scan
 from alttree.schema import THRESHOLDS
+from alttree.sources.store import settle
 
 
 def to_long(rows: DataFrame) -> DataFrame:
@@ -24,10 +25,10 @@ def distinct_values(long: DataFrame) -> DataFrame:
     return long.select("feature", "value").distinct()
 
 
-def ranked_values(long: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Distinct values of each feature with their 1-based rank, counted from the smallest."""
-    values = distinct_values(long).withColumn("_one", F.lit(1).cast("long"))
-    return prefix_scan(values, "value", {"rank": ("sum", "_one")}, by=["feature"], buckets=buckets).drop("_one")
+def ranked_values(values: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Distinct (feature, value) pairs with their 1-based rank in the feature, smallest first."""
+    ones = values.withColumn("_one", F.lit(1).cast("long"))
+    return prefix_scan(ones, "value", {"rank": ("sum", "_one")}, by=["feature"], buckets=buckets).drop("_one")
 
 
 def thresholds(long: DataFrame, num_slices: int, buckets: int | None = None) -> DataFrame:
@@ -38,8 +39,9 @@ def thresholds(long: DataFrame, num_slices: int, buckets: int | None = None) ->
     """
     if num_slices < 1:
         raise ValueError("num_slices must be positive")
-    ranked = ranked_values(long, buckets)
-    counts = distinct_values(long).groupBy("feature").agg(F.count("*").alias("n"))
+    values = settle(distinct_values(long))
+    ranked = ranked_values(values, buckets)
+    counts = values.groupBy("feature").agg(F.count("*").alias("n"))
     size = F.greatest(F.lit(1), F.floor(F.col("n") / num_slices))
     # counts has one row per feature, which the row layout bounds
     ranks = (
@@ -119,7 +121,7 @@ def sorted_positions(long: DataFrame, buckets: int | None = None) -> DataFrame:
     The order is value, then row id. Positions are the number of rows with a smaller
     value plus the rank among equal values, both found by range-wise scans.
     """
-    per_value = long.groupBy("feature", "value").agg(F.count("*").alias("n_equal"))
+    per_value = settle(long.groupBy("feature", "value").agg(F.count("*").alias("n_equal")))
     before = prefix_scan(per_value, "value", {"_before": ("sum", "n_equal", True)}, by=["feature"], buckets=buckets)
     ones = long.withColumn("_one", F.lit(1).cast("long"))
     within = prefix_scan(ones, "row_id", {"_within": ("sum", "_one")}, by=["feature", "value"], buckets=buckets)

@@ -9,6 +9,7 @@ from alttree.functions.exprs import EPS, is_pos
 from alttree.operators.scan import prefix_scan
 from alttree.operators.scoring import staged_scores
 from alttree.schema import Node
+from alttree.sources.store import settle
 
 
 def score_groups(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -18,14 +19,15 @@ def score_groups(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def _cumulative(scored: DataFrame, by: list[str], buckets: int | None) -> DataFrame:
-    groups = score_groups(scored, by)
+    """Cumulative counts by falling score. The rows are read once, for the groups."""
+    groups = settle(score_groups(scored, by))
     scans = {"cum_tp": ("sum", "tp"), "cum_n": ("sum", "n")}
     cum = prefix_scan(groups, "score", scans, by=by, descending=True, buckets=buckets)
-    keys = by or [F.lit(1).alias("_k")]
-    totals = scored.groupBy(*keys).agg(F.count_if(is_pos()).alias("p"))
-    if not by:
-        return cum.withColumn("_k", F.lit(1)).join(F.broadcast(totals), "_k").drop("_k")
-    return cum.join(totals, by)
+    if by:
+        return cum.join(groups.groupBy(*by).agg(F.sum("tp").alias("p")), by)
+    # one row
+    return cum.withColumn("_k", F.lit(1)).join(
+        F.broadcast(groups.agg(F.sum("tp").alias("p"), F.lit(1).alias("_k"))), "_k").drop("_k")
 
 
 def pr_curve(scored: DataFrame, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:

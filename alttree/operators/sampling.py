@@ -14,6 +14,7 @@ from alttree.operators.scan import dense_row_id, prefix_scan
 from alttree.operators.scoring import score
 from alttree.operators.state import WeightFn, weight_function
 from alttree.schema import Node
+from alttree.sources.store import settle
 
 TRAIN_PORTION = 0.75
 
@@ -157,7 +158,8 @@ def resample(
     offset_share: float | None = None,
 ) -> DataFrame:
     """Draw a class-balanced sample where the model is weak; adds `copy` and `is_train`."""
-    weighted = importance_weights(pool, nodes, weight_fn).select("row_id", "y", "w")
+    # the whole pool is scored once; three narrow columns are kept for the steps below
+    weighted = settle(importance_weights(pool, nodes, weight_fn).select("row_id", "y", "w"))
     balance = balance_of(weighted)
     plan = sample_plan(balance, frac, seed, offset_share)
     drawn = systematic_sample(pool, weighted, plan, balance)

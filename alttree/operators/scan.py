@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alttree.functions.arrays import constant, lower_bound
+from alttree.sources.store import settle
 
 _EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
 
@@ -73,6 +74,8 @@ def prefix_scan(
     by: list[str] | None = None,
     descending: bool = False,
     buckets: int | None = None,
+    boundaries: list[float] | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """Add running values in `key` order, per group of `by` if given.
 
@@ -85,7 +88,7 @@ def prefix_scan(
         buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     types = {f.name: f.dataType for f in df.schema.fields}
     columns = df.columns
-    df = with_bucket(df, key, range_boundaries(df, key, buckets))
+    df = with_bucket(df, key, range_boundaries(df, key, buckets) if boundaries is None else boundaries)
     order = F.col(key).desc() if descending else F.col(key).asc()
     forward = -F.col(key) if descending else F.col(key)
     inside = Window.partitionBy(*by, "_bucket").orderBy(order)
@@ -95,6 +98,11 @@ def prefix_scan(
     # Scans over the same value share their running column and their range total.
     sources = {(op, value): f"{op}_{value}" for op, value, *_ in scans.values()}
     out = df.withColumns({f"_in_{s}": _running(op, F.col(v), upto) for (op, v), s in sources.items()})
+    for name, (op, value, *exclusive) in scans.items():
+        if exclusive and exclusive[0]:
+            out = out.withColumn(f"_ex_{name}", _running(op, F.col(value), prior))
+    if once:
+        out = settle(out)
     totals = out.groupBy(*by, "_bucket").agg(*[
         _total(op, F.col(v), F.col(f"_in_{s}"), isinstance(types[v], _EXACT), forward).alias(f"_t_{s}")
         for (op, v), s in sources.items()
@@ -109,7 +117,6 @@ def prefix_scan(
     for name, (op, value, *exclusive) in scans.items():
         s = sources[op, value]
         if exclusive and exclusive[0]:
-            out = out.withColumn(f"_ex_{name}", _running(op, F.col(value), prior))
             running = F.col(f"_ex_{name}")
             if op == "sum":
                 running = F.coalesce(running, F.lit(0).cast(types[value]))
@@ -125,7 +132,7 @@ def prefix_sum(df: DataFrame, key: str, value: str, name: str = "prefix", **opti
     return prefix_scan(df, key, {name: ("sum", value)}, **options)
 
 
-def dense_row_id(df: DataFrame, key: str, name: str = "row_id", by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+def dense_row_id(df: DataFrame, key: str, name: str = "row_id", by: list[str] | None = None, **options) -> DataFrame:
     """Number rows 0, 1, 2 ... in the order of a unique numeric key, per group if given."""
     ones = df.withColumn("_one", F.lit(1).cast("long"))
-    return prefix_scan(ones, key, {name: ("sum", "_one", True)}, by=by, buckets=buckets).drop("_one")
+    return prefix_scan(ones, key, {name: ("sum", "_one", True)}, by=by, **options).drop("_one")

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RULE_DEPTH = 1000
+from alttree.sources.store import shared_folder
+
+# Joins in one plan before a path table is checkpointed.
+CHAIN = 16
 
 
 def model_slice(nodes: DataFrame, n: int) -> DataFrame:
@@ -31,24 +34,22 @@ def with_parent(nodes: DataFrame) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """(node_id, ancestor, step, terms of the ancestor) for every node and itself.
+    """(node_id, ancestor, step) for every node: itself at step 0, then up to the root.
 
-    One equi-join per level; the loop ends when no path goes on, after as many rounds as
-    the tree is deep.
+    Paths grow sideways, one equi-join per level of the tree, and are unfolded at the
+    end, so every level is joined once. Long chains are checkpointed on the way.
     """
-    edges = nodes.select(F.col("node_id").alias("ancestor"), F.col("parent_id").alias("up"))
     depth = nodes.agg(F.max("depth")).first()[0] or 0
-    if depth > MAX_RULE_DEPTH:
-        raise ValueError(f"tree of depth {depth}")
-    level = nodes.select("node_id", F.col("node_id").alias("ancestor"), F.col("parent_id").alias("up"), F.lit(0).alias("step"))
-    out = level
-    for _ in range(depth):
-        level = (
-            level.where("up >= 0").select("node_id", F.col("up").alias("ancestor"), (F.col("step") + 1).alias("step"))
-            .join(edges, "ancestor")
-        )
-        out = out.unionByName(level)
-    return out.select("node_id", "ancestor", "step")
+    up = nodes.select(F.col("node_id").alias("_at"), F.when(F.col("parent_id") >= 0, F.col("parent_id")).alias("_up"))
+    out = up.select(F.col("_at").alias("node_id"), F.col("_up").alias("_next"), F.array("_at").alias("_path"))
+    for k in range(1, depth + 1):
+        out = out.join(up, F.col("_next") == F.col("_at"), "left").select(
+            "node_id", F.col("_up").alias("_next"),
+            F.when(F.col("_at").isNotNull(), F.concat("_path", F.array("_at"))).otherwise(F.col("_path")).alias("_path"))
+        if k % CHAIN == 0 and k < depth:
+            shared_folder(nodes.sparkSession)
+            out = out.checkpoint()
+    return out.select("node_id", F.posexplode("_path").alias("step", "ancestor"))
 
 
 def is_term() -> Column:

@@ -10,47 +10,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alttree.functions.exprs import EPS, compare
-from alttree.operators.scan import dense_row_id, prefix_scan
+from alttree.operators.scan import prefix_scan, range_boundaries
+from alttree.sources.store import settle
 
 
 def number_segments(history: DataFrame, by: list[str], buckets: int | None = None) -> DataFrame:
-    """Add `segment`: it grows after every record with an event (depth change or rollback)."""
-    marked = history.withColumn("_ended", F.when(F.col("event").isNotNull(), 1).otherwise(0).cast("long"))
-    return prefix_scan(marked, "iteration", {"segment": ("sum", "_ended", True)}, by=by, buckets=buckets).drop("_ended")
+    """Add `segment`, which grows after every record with an event, and `position` in the run."""
+    marked = history.withColumns({
+        "_ended": F.when(F.col("event").isNotNull(), 1).otherwise(0).cast("long"), "_one": F.lit(1).cast("long")})
+    scans = {"segment": ("sum", "_ended", True), "position": ("sum", "_one", True)}
+    return prefix_scan(marked, "iteration", scans, by=by, buckets=buckets).drop("_ended", "_one")
 
 
-def underfit_flags(history: DataFrame, window: int, target: float, by: list[str], buckets: int | None = None) -> DataFrame:
+def underfit_flags(segmented: DataFrame, window: int, target: float, by: list[str]) -> DataFrame:
     """Flag iterations whose last `window` train averages improved by too little.
 
-    `by` includes the segment. The value `window - 1` records back is found by an
-    equi-join on the record's number within its segment.
+    Input: a history with segments and positions. The record `window - 1` back is found by
+    an equi-join on the position and only counts within the same segment.
     """
-    numbered = dense_row_id(history, "iteration", "_i", by=by, buckets=buckets)
-    oldest = numbered.select(*by, (F.col("_i") + window - 1).alias("_i"), F.col("train_avg").alias("oldest"))
+    oldest = segmented.select(
+        *by, "segment", (F.col("position") + window - 1).alias("position"), F.col("train_avg").alias("oldest"))
     gain = F.try_divide(F.col("oldest") - F.col("train_avg"), F.col("oldest"))
     flat = (compare(F.lit(target)) == 0) & (compare(F.col("gain")) <= 0)
     slow = compare(F.col("gain"), F.lit(target)) < 0
-    return (
-        numbered.join(oldest, [*by, "_i"], "left").withColumn("gain", gain)
-        .withColumn("underfit", F.coalesce(flat | slow, F.lit(False)))
-        .drop("_i")
-    )
+    joined = segmented.join(oldest, [*by, "segment", "position"], "left").withColumn("gain", gain)
+    return joined.withColumn("underfit", F.col("gain").isNotNull() & (flat | slow))
 
 
-def overfit_flags(history: DataFrame, window: int, by: list[str], buckets: int | None = None) -> DataFrame:
+def overfit_flags(segmented: DataFrame, window: int, by: list[str], buckets: int | None = None) -> DataFrame:
     """Flag iterations that are `window` records into a stretch without a new best test average.
 
-    `since_best` is 1 on a new best. A value within the tolerance of the best so far
-    counts as a new best.
+    Input: a history with segments and positions. `since_best` is 1 on a new best; a value
+    within the tolerance of the best so far counts as one.
     """
-    numbered = dense_row_id(history, "iteration", "_i", by=by, buckets=buckets)
-    best = prefix_scan(numbered, "iteration", {"_best": ("min", "test_avg", True)}, by=by, buckets=buckets)
-    fresh = best.withColumn("_at", F.when(F.col("_best").isNull() | (F.col("test_avg") - F.col("_best") <= EPS), F.col("_i")))
-    last = prefix_scan(fresh, "iteration", {"_last": ("max", "_at")}, by=by, buckets=buckets)
+    keys = [*by, "segment"]
+    segmented = settle(segmented)
+    if buckets is None:
+        buckets = int(segmented.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = range_boundaries(segmented, "iteration", buckets)
+    best = prefix_scan(segmented, "iteration", {"_best": ("min", "test_avg", True)}, by=keys, boundaries=cuts)
+    fresh = F.col("_best").isNull() | (F.col("test_avg") - F.col("_best") <= EPS)
+    marked = best.withColumn("_at", F.when(fresh, F.col("position")))
+    last = prefix_scan(marked, "iteration", {"_last": ("max", "_at")}, by=keys, boundaries=cuts, once=True)
     return (
-        last.withColumn("since_best", F.col("_i") - F.col("_last") + 1)
+        last.withColumn("since_best", F.col("position") - F.col("_last") + 1)
         .withColumn("overfit", F.col("since_best") >= window)
-        .drop("_i", "_best", "_at", "_last")
+        .drop("_best", "_at", "_last")
     )
 
 

@@ -16,13 +16,23 @@ log = logging.getLogger(__name__)
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster shares for checkpoints; a local one where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="alttree-")
-        spark.sparkContext.setCheckpointDir(folder)
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or context.getCheckpointDir() or tempfile.mkdtemp(prefix="alttree-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a table once and keep it in the shared folder, for use by several later steps.
+
+    Lost executors do not cost a recomputation, and the lineage starts anew.
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def save_nodes(nodes: DataFrame, path: str) -> None:
     """Write a table of nodes; an earlier model at the path is replaced."""
     nodes.select(*NODES.names).write.mode("overwrite").parquet(path)
@@ -65,7 +75,8 @@ def save_sample(sample: DataFrame, path: str, required: bool = False) -> bool:
 
 
 def load_sample(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    saved = spark.read.parquet(path)
+    return saved.withColumn("is_train", F.col("is_train").cast("boolean"))
 
 
 def history_df(spark: SparkSession, records: list[dict]) -> DataFrame:
