@@ -30,6 +30,24 @@ def lower_bound(sorted_array: Column, x: Column, max_size: int) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
 
 
+# Up to this many cut points the search is spelled out as nested conditions, which Spark compiles.
+SPELLED_OUT = 64
+
+
+def cut_index(cuts: list[float], x: Column) -> Column:
+    """Number of sorted constants below `x`."""
+    if len(cuts) > SPELLED_OUT:
+        return lower_bound(constant(cuts, "array<double>"), x, len(cuts))
+
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x > cuts[mid], between(mid + 1, hi)).otherwise(between(lo, mid))
+
+    return between(0, len(cuts))
+
+
 def dense_value(feature, features="features") -> Column:
     """Feature value of a dense row; 0 when absent. The root's feature -1 reads position 0."""
     index = feature if isinstance(feature, Column) else F.lit(feature)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alttree.functions.arrays import constant, lower_bound
-from alttree.operators.scan import prefix_scan
+from alttree.functions.arrays import SPELLED_OUT, constant, cut_index, lower_bound
+from alttree.operators.scan import prefix_scan, ranges_for
 from alttree.schema import THRESHOLDS
 from alttree.sources.store import settle
 
@@ -40,7 +40,7 @@ def thresholds(long: DataFrame, num_slices: int, buckets: int | None = None) ->
     if num_slices < 1:
         raise ValueError("num_slices must be positive")
     values = settle(distinct_values(long))
-    ranked = ranked_values(values, buckets)
+    ranked = ranked_values(values, buckets or ranges_for(values))
     counts = values.groupBy("feature").agg(F.count("*").alias("n"))
     size = F.greatest(F.lit(1), F.floor(F.col("n") / num_slices))
     # counts has one row per feature, which the row layout bounds
@@ -98,8 +98,11 @@ def slot_of(x: Column, cuts: Column, max_size: int) -> Column:
 
 def bin_rows(rows: DataFrame, cuts: list[list[float]]) -> DataFrame:
     """Add `bins`, the slot of every feature of a dense row."""
+    if sum(len(c) for c in cuts) <= SPELLED_OUT:
+        bins = F.array(*[cut_index(c, F.get("features", F.lit(f))).cast("smallint") for f, c in enumerate(cuts)])
+        return rows.withColumn("bins", bins)
     table = constant(cuts, "array<array<double>>")
-    widest = max((len(c) for c in cuts), default=0)
+    widest = max(len(c) for c in cuts)
     empty = F.array().cast("array<double>")
     bins = F.transform("features", lambda x, f: slot_of(x, F.coalesce(F.get(table, f), empty), widest).cast("smallint"))
     return rows.withColumn("bins", bins)
@@ -122,7 +125,8 @@ def sorted_positions(long: DataFrame, buckets: int | None = None) -> DataFrame:
     value plus the rank among equal values, both found by range-wise scans.
     """
     per_value = settle(long.groupBy("feature", "value").agg(F.count("*").alias("n_equal")))
-    before = prefix_scan(per_value, "value", {"_before": ("sum", "n_equal", True)}, by=["feature"], buckets=buckets)
+    before = prefix_scan(
+        per_value, "value", {"_before": ("sum", "n_equal", True)}, by=["feature"], buckets=buckets or ranges_for(per_value))
     ones = long.withColumn("_one", F.lit(1).cast("long"))
     within = prefix_scan(ones, "row_id", {"_within": ("sum", "_one")}, by=["feature", "value"], buckets=buckets)
     joined = within.join(before.select("feature", "value", "_before"), ["feature", "value"])

@@ -217,6 +217,35 @@ def best_candidate(scored: DataFrame) -> DataFrame:
 
 # Parts of an admission pass: what a record's `part` and `i` say.
 LOSS_PART, CANDIDATE_PART = 0, 1
+_STATS = ["w_pos", "w_neg", "n_pos", "n_neg", "sq_pos", "sq_neg"]
+
+
+class Splits:
+    """Which rows of a column batch pass a list of splits below their parents."""
+
+    def __init__(self, splits: list, onehot: bool):
+        self.onehot = onehot
+        self.used = np.array(sorted({t.feature for t in splits}), dtype=np.int64)
+        self.parents = sorted({t.parent_id for t in splits})
+
+    def load(self, values: pa.Array, hits: pa.Array) -> None:
+        self.block = feature_block(values, self.used, self.onehot)
+        ids = hits.flatten().to_numpy()
+        row = np.repeat(np.arange(len(hits)), np.diff(hits.offsets.to_numpy()))
+        self.member = {}
+        for p in self.parents:
+            self.member[p] = np.zeros(len(hits), bool)
+            self.member[p][row[ids == p]] = True
+
+    def passing(self, t) -> np.ndarray:
+        value = self.block[:, np.searchsorted(self.used, t.feature)]
+        return self.member[t.parent_id] & (~(value - t.threshold > EPS) == t.split_eval)
+
+    def gained(self, nodes: list[Node], n: int) -> np.ndarray:
+        total = np.zeros(n)
+        for t in nodes:
+            total += self.passing(t) * t.pred
+        return total
 
 
 def admission_pass(state: DataFrame, new_nodes: list[Node], candidates: list[Candidate]) -> DataFrame:
@@ -225,11 +254,11 @@ def admission_pass(state: DataFrame, new_nodes: list[Node], candidates: list[Can
     The nodes admitted since the state was built are applied on the fly (AdaBoost
     weights), then the pass sums, per task and overall: the weights, squared weights and
     counts by class of training rows (part 0, i = 0) and held-out rows (part 0, i = 1),
-    and the class weights of every candidate's training members (part 1, i = candidate).
+    and the same sums over every candidate's training members (part 1, i = candidate).
     """
     onehot = layout(state) == "nz"
-    used = np.array(sorted({t.feature for t in [*new_nodes, *candidates]}), dtype=np.int64)
-    parents = np.array(sorted({t.parent_id for t in [*new_nodes, *candidates]}), dtype=np.int64)
+    values = "nz" if onehot else "features"
+    splits = Splits([*new_nodes, *candidates], onehot)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         losses, sums = np.zeros((2, 6)), np.zeros((len(candidates), 6))
@@ -237,42 +266,38 @@ def admission_pass(state: DataFrame, new_nodes: list[Node], candidates: list[Can
             col = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
             y, w = col["y"].to_numpy(), col["w"].to_numpy()
             train = col["is_train"].to_numpy(zero_copy_only=False)
-            block = feature_block(col["nz" if onehot else "features"], used, onehot)
-            n = len(y)
-            hits = col["hits"].flatten().to_numpy()
-            hit_row = np.repeat(np.arange(n), np.diff(col["hits"].offsets.to_numpy()))
-            member = {}
-            for p in parents:
-                member[p] = np.zeros(n, bool)
-                member[p][hit_row[hits == p]] = True
-
-            def passing(t):
-                value = block[:, np.searchsorted(used, t.feature)]
-                return member[t.parent_id] & (~(value - t.threshold > EPS) == t.split_eval)
-
-            gained = np.zeros(n)
-            for t in new_nodes:
-                gained += passing(t) * t.pred
-            w = w * np.exp(-y * gained)
+            splits.load(col[values], col["hits"])
+            w = w * np.exp(-y * splits.gained(new_nodes, len(y)))
             pos = (y > 0).astype(float)
             neg = 1.0 - pos
             stats = np.stack([w * pos, w * neg, pos, neg, w * w * pos, w * w * neg], axis=1)
             losses[0] += stats[train].sum(axis=0)
             losses[1] += stats[~train].sum(axis=0)
-            held_in = stats * train[:, None]
             if candidates:
-                matrix = np.stack([passing(c) for c in candidates]).astype(float)
-                sums += matrix @ held_in
+                members = np.stack([splits.passing(c) for c in candidates]).astype(float)
+                sums += members @ (stats * train[:, None])
         rows = [(LOSS_PART, i, *losses[i]) for i in (0, 1)] + [(CANDIDATE_PART, i, *s) for i, s in enumerate(sums)]
-        columns = list(zip(*rows))
+        part, index, *stats = zip(*rows)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.float64()) for c in columns[2:]]],
+            [pa.array(part, pa.int32()), pa.array(index, pa.int32()), *[pa.array(s, pa.float64()) for s in stats]],
             ["part", "i", *_STATS])
 
     ddl = "part int, i int, " + ", ".join(f"{s} double" for s in _STATS)
-    values = "nz" if onehot else "features"
     parts = state.select("y", "w", "is_train", "hits", values).mapInArrow(partial, ddl)
     return parts.groupBy("part", "i").agg(*[F.sum(s).alias(s) for s in _STATS])
 
 
-_STATS = ["w_pos", "w_neg", "n_pos", "n_neg", "sq_pos", "sq_neg"]
+def current_scores(state: DataFrame, new_nodes: list[Node]) -> DataFrame:
+    """is_train, y and the score since the last resample, with `new_nodes` applied on the fly."""
+    score = F.col("delta")
+    if new_nodes:
+        onehot = layout(state) == "nz"
+        splits = Splits(new_nodes, onehot)
+
+        @F.arrow_udf("double")
+        def gained(values: pa.Array, hits: pa.Array) -> pa.Array:
+            splits.load(values, hits)
+            return pa.array(splits.gained(new_nodes, len(hits)))
+
+        score = score + gained(F.col("nz" if onehot else "features"), F.col("hits"))
+    return state.select("is_train", "y", score.alias("score"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alttree.functions.exprs import EPS, is_pos
-from alttree.operators.scan import prefix_scan
+from alttree.operators.scan import prefix_scan, ranges_for
 from alttree.operators.scoring import staged_scores
 from alttree.schema import Node
 from alttree.sources.store import settle
@@ -21,6 +21,7 @@ def score_groups(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
 def _cumulative(scored: DataFrame, by: list[str], buckets: int | None) -> DataFrame:
     """Cumulative counts by falling score. The rows are read once, for the groups."""
     groups = settle(score_groups(scored, by))
+    buckets = buckets or ranges_for(groups)
     scans = {"cum_tp": ("sum", "tp"), "cum_n": ("sum", "n")}
     cum = prefix_scan(groups, "score", scans, by=by, descending=True, buckets=buckets)
     if by:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alttree.functions.exprs import is_pos
-from alttree.operators.scan import dense_row_id, prefix_scan
+from alttree.operators.scan import dense_row_id, prefix_scan, ranges_of
 from alttree.operators.scoring import score
 from alttree.operators.state import WeightFn, weight_function
 from alttree.schema import Node
@@ -112,6 +112,7 @@ def systematic_sample(pool: DataFrame, weighted: DataFrame, plan: SamplePlan, ba
 
     The wide pool is only joined with the ids that were drawn.
     """
+    buckets = buckets or ranges_of(balance.n_rows)
     scaled = weighted.select("row_id", scaled_weight(balance).alias("ws"))
     drawn = systematic_copies(scaled, plan, buckets).where("copies > 0").select("row_id", "copies")
     chunks = pool.join(drawn, "row_id").withColumn(

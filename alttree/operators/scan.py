@@ -11,26 +11,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alttree.functions.arrays import constant, lower_bound
+from alttree.functions.arrays import cut_index
 from alttree.sources.store import settle
 
 _EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
 
 
+# A range this long is scanned in one task without strain. Very large tables get longer
+# ranges instead of more: their sort spills, while cut points and offsets stay few.
+ROWS_PER_RANGE = 500_000
+MAX_RANGES = 5_000
+
+
+def ranges_of(n_rows: int) -> int:
+    return min(MAX_RANGES, max(1, -(-n_rows // ROWS_PER_RANGE)))
+
+
+def ranges_for(settled: DataFrame) -> int:
+    """Ranges to cut a settled table into; counting one is cheap."""
+    return ranges_of(settled.count())
+
+
 def range_boundaries(df: DataFrame, key: str, buckets: int) -> list[float]:
     """At most `buckets - 1` cut points that spread the rows evenly over the key's range."""
     if buckets <= 1:
         return []
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(F.col(key).cast("double"), shares).alias("cuts")).first()["cuts"]
+    quantiles = F.percentile_approx(F.col(key).cast("double"), shares, max(10_000, 20 * buckets))
+    cuts = df.agg(quantiles.alias("cuts")).first()["cuts"]
     return sorted(set(cuts or []))
 
 
 def with_bucket(df: DataFrame, key: str, boundaries: list[float], name: str = "_bucket") -> DataFrame:
-    if not boundaries:
-        return df.withColumn(name, F.lit(0))
-    cuts = constant(boundaries, "array<double>")
-    return df.withColumn(name, lower_bound(cuts, F.col(key).cast("double"), len(boundaries)))
+    return df.withColumn(name, cut_index(boundaries, F.col(key).cast("double")))
 
 
 def _running(op: str, value: Column, window) -> Column:
@@ -88,7 +101,9 @@ def prefix_scan(
         buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     types = {f.name: f.dataType for f in df.schema.fields}
     columns = df.columns
-    df = with_bucket(df, key, range_boundaries(df, key, buckets) if boundaries is None else boundaries)
+    if boundaries is None:
+        boundaries = range_boundaries(df, key, buckets)
+    df = with_bucket(df, key, boundaries)
     order = F.col(key).desc() if descending else F.col(key).asc()
     forward = -F.col(key) if descending else F.col(key)
     inside = Window.partitionBy(*by, "_bucket").orderBy(order)
@@ -101,6 +116,12 @@ def prefix_scan(
     for name, (op, value, *exclusive) in scans.items():
         if exclusive and exclusive[0]:
             out = out.withColumn(f"_ex_{name}", _running(op, F.col(value), prior))
+    if not boundaries:
+        found = {name: F.col(f"_ex_{name}" if exclusive and exclusive[0] else f"_in_{op}_{value}")
+                 for name, (op, value, *exclusive) in scans.items()}
+        starts = {name: F.coalesce(found[name], F.lit(0).cast(types[v])) if op == "sum" else found[name]
+                  for name, (op, v, *_) in scans.items()}
+        return out.select(*columns, *[c.alias(name) for name, c in starts.items()])
     if once:
         out = settle(out)
     totals = out.groupBy(*by, "_bucket").agg(*[

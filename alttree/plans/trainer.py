@@ -29,7 +29,10 @@ from alttree.sources import store
 
 @dataclass
 class TrainParams:
-    """Training options. Sizes <= 0 mean automatic; `max_iters` 0 means no limit."""
+    """Training options. Sizes <= 0 mean automatic; `max_iters` 0 means no limit.
+
+    `histogram` is "sql", "arrow" or "auto"; both give the same sums.
+    """
 
     sample_frac: float = 0.1
     num_slices: int = 2
@@ -46,6 +49,7 @@ class TrainParams:
     seed: int = 0
     strict_max_iters: bool = True
     compat_left_reject: bool = False
+    histogram: str = "auto"
     auprc_every: int = 1
     ref_every: int = 100
     pr_every: int = 1000
@@ -168,8 +172,12 @@ class Trainer:
         return binning.collect_thresholds(binning.thresholds(binning.to_long(train), p.num_slices))
 
     def _search(self, state: DataFrame, cuts: list[list[float]], k: int) -> DataFrame:
-        p = self.params
-        return learner.search(state, cuts, k, self.loss, p.compat_left_reject, p.features_subset)
+        """One-hot rows have many features and are summed per task; dense rows in SQL."""
+        p, onehot, hist = self.params, layout(state) == "nz", None
+        if p.histogram == "arrow" or (p.histogram == "auto" and onehot):
+            widths = [2] * p.n_features if onehot else [len(c) + 1 for c in cuts]
+            hist = learner.split_histogram_arrow(state, eligible(self.nodes, self.depth), widths)
+        return learner.search(state, cuts, k, self.loss, p.compat_left_reject, p.features_subset, hist)
 
     # data of one sampling period
 
@@ -285,11 +293,8 @@ class Trainer:
             out.update(self._true_losses(current))
         curve_due = bool(p.pr_every) and iteration % p.pr_every == 0
         if curve_due or (p.auprc_every and iteration % p.auprc_every == 0):
-            # `current` lags by the nodes of this batch in the one-pass form
-            scored = current
-            for node in new if current is self.state else []:
-                scored = apply_node(scored, node, p.algorithm, track=False)
-            scored = scored.select("is_train", "y", F.col("delta").alias("score"))
+            pending = new if current is self.state else []
+            scored = learner.current_scores(current, pending)
             areas = metrics.auprc(scored, by=["is_train"]).collect()
             for r in areas:
                 out["train_auprc" if r["is_train"] else "test_auprc"] = r["auprc"]
