@@ -72,7 +72,7 @@ def _total(op: str, value: Column, running: Column, exact: bool, order: Column)
 
 def _combine(op: str, before: Column, running: Column) -> Column:
     if op == "sum":
-        return F.coalesce(before, F.lit(0)) + running
+        return F.coalesce(before, F.lit(0)) + F.coalesce(running, F.lit(0))
     if op == "min":
         return F.least(before, running)
     if op == "max":
@@ -93,8 +93,13 @@ def prefix_scan(
     """Add running values in `key` order, per group of `by` if given.
 
     `scans` maps a new column to (sum | min | max | last, value column); a third member
-    True leaves the row itself out (a sum then starts at 0, the others at null). `key`
-    must be numeric and unique within a group.
+    True leaves the row itself out. Nulls are skipped; the sum of nothing is 0, the other
+    scans of nothing are null. `key` must be numeric and unique within a group.
+
+    There are `buckets` ranges (default: as many as shuffle partitions); give 1 only for
+    inputs of bounded size. Known `boundaries` spare the pass that finds them. The input
+    is read twice, for the rows and for the range totals; with `once` the scanned ranges
+    are settled instead, which pays off for inputs that are dear to compute.
     """
     by = by or []
     if buckets is None:
@@ -139,8 +144,6 @@ def prefix_scan(
         s = sources[op, value]
         if exclusive and exclusive[0]:
             running = F.col(f"_ex_{name}")
-            if op == "sum":
-                running = F.coalesce(running, F.lit(0).cast(types[value]))
         else:
             running = F.col(f"_in_{s}")
         results[name] = _combine(op, F.col(f"_o_{s}"), running).alias(name)

@@ -19,6 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alttree.functions.arrays import constant
 from alttree.functions.exprs import EPS, RATIO_MAX, RATIO_MIN, boost_loss
 from alttree.operators import binning, learner, metrics, sampling
 from alttree.operators.scoring import layout, score
@@ -57,6 +58,9 @@ class TrainParams:
     output: str | None = None
 
 
+# Nodes replayed by a caller's updater in one plan before the state is settled.
+REPLAY_CHAIN = 20
+
 Sampler = Callable[[DataFrame, list[Node]], DataFrame]
 
 
@@ -199,10 +203,18 @@ class Trainer:
         if self.updater is None:
             state = rebuild_state(self.rows, self.nodes, self.last_resample, self.depth, p.algorithm)
         else:
-            state = self.rows.withColumns({"hits": F.array().cast("array<int>"), "delta": F.lit(0.0), "w": F.lit(1.0)})
+            fresh = {"delta": F.lit(0.0), "w": F.lit(1.0)}
+            state = self.rows.withColumns({"hits": F.array().cast("array<int>"), **fresh})
             for node in self.nodes:
+                if node.node_id == self.last_resample:
+                    state = state.withColumns(fresh)
                 state = self.updater(state, node)
-            state = state.checkpoint()
+                if node.node_id % REPLAY_CHAIN == REPLAY_CHAIN - 1:
+                    state = store.settle(state)
+            if self.last_resample >= len(self.nodes):
+                state = state.withColumns(fresh)
+            parents = constant(eligible(self.nodes, self.depth), "array<int>")
+            state = store.settle(state.withColumn("hits", F.array_intersect("hits", parents)))
         state = state.persist(StorageLevel.MEMORY_AND_DISK)
         if getattr(self, "state", None) is not None:
             self.state.unpersist()
