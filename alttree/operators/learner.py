@@ -45,33 +45,35 @@ def split_histogram_arrow(state: DataFrame, node_ids: list[int], widths: list[in
     features records. `widths` is the number of slots of every feature.
     """
     onehot = layout(state) == "nz"
+    cells_of = "nz" if onehot else "bins"
     first_cell = np.concatenate([[0], np.cumsum(widths)]).astype(np.int64)
-    n_features, n_cells, ids = len(widths), int(first_cell[-1]), np.array(sorted(node_ids))
+    n_cells, ids = int(first_cell[-1]), np.array(sorted(node_ids))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((4, len(ids), n_cells))
+        # per node and cell: weight and count, class by class; the last column takes padding
+        weight, count = np.zeros((2, len(ids), n_cells + 1, 2))
         for batch in batches:
             col = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
-            y, w = col["y"].to_numpy(), col["w"].to_numpy()
-            n = len(y)
-            cells = col["nz" if onehot else "bins"]
-            flat = cells.flatten().to_numpy().astype(np.int64)
-            sizes = np.diff(cells.offsets.to_numpy())
+            w, neg = col["w"].to_numpy(), (col["y"].to_numpy() <= 0).astype(np.int64)
+            n = len(w)
+            flat = col[cells_of].flatten().to_numpy().astype(np.int64)
+            sizes = np.diff(col[cells_of].offsets.to_numpy())
             row = np.repeat(np.arange(n), sizes)
-            if onehot:
-                cell = first_cell[flat] + 1
-            else:
-                cell = np.tile(first_cell[:-1], n) + flat if n else flat
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keys = np.full((n, max(sizes, default=0)), n_cells, dtype=np.int64)
+            keys[row, place] = first_cell[flat] + 1 if onehot else first_cell[place] + flat
+            keys = 2 * keys + neg[:, None]
             hits = col["hits"].flatten().to_numpy()
             hit_row = np.repeat(np.arange(n), np.diff(col["hits"].offsets.to_numpy()))
-            pos = (y > 0).astype(float)
-            for k, node in enumerate(ids):
-                member = np.zeros(n)
-                member[hit_row[hits == node]] = 1.0
-                take = member[row] > 0
-                at, of = cell[take], row[take]
-                for j, part in enumerate((w * pos, w * (1 - pos), pos, 1 - pos)):
-                    sums[j, k] += np.bincount(at, weights=part[of], minlength=n_cells)
+            order = np.argsort(hits, kind="stable")
+            ends = np.searchsorted(hits[order], ids, side="right")
+            starts = np.searchsorted(hits[order], ids, side="left")
+            for k, (lo, hi) in enumerate(zip(starts, ends)):
+                rows = hit_row[order[lo:hi]]
+                at, size = keys[rows].ravel(), 2 * (n_cells + 1)
+                weight[k] += np.bincount(at, np.repeat(w[rows], keys.shape[1]), size).reshape(-1, 2)
+                count[k] += np.bincount(at, minlength=size).reshape(-1, 2)
+        sums = [a[:, :n_cells, c] for a in (weight, count) for c in (0, 1)]
         node, cell = np.nonzero(sums[2] + sums[3])
         feature = np.searchsorted(first_cell, cell, side="right") - 1
         yield pa.RecordBatch.from_arrays(

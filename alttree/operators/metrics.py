@@ -26,9 +26,7 @@ def _cumulative(scored: DataFrame, by: list[str], buckets: int | None) -> DataFr
     cum = prefix_scan(groups, "score", scans, by=by, descending=True, buckets=buckets)
     if by:
         return cum.join(groups.groupBy(*by).agg(F.sum("tp").alias("p")), by)
-    # one row
-    return cum.withColumn("_k", F.lit(1)).join(
-        F.broadcast(groups.agg(F.sum("tp").alias("p"), F.lit(1).alias("_k"))), "_k").drop("_k")
+    return cum.withColumn("p", F.lit(groups.agg(F.sum("tp")).first()[0]).cast("long"))
 
 
 def pr_curve(scored: DataFrame, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:

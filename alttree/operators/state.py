@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alttree.functions.arrays import constant, value_of
@@ -86,14 +86,15 @@ def assignments(state: DataFrame) -> DataFrame:
 def node_totals(state: DataFrame) -> DataFrame:
     """Class weights and counts of every node in `hits`, and of the rows outside it.
 
-    One aggregation: the pseudo node -1 that holds every row gives the grand totals.
+    One aggregation over the rows: the pseudo node -1 holds every row and gives the grand
+    totals. What is left has one record per node, so its window is small.
     """
     every = F.concat(F.array(F.lit(-1)), F.col("hits"))
     per_node = state.select("y", "w", F.explode(every).alias("node_id")).groupBy("node_id").agg(*class_sums())
-    grand = per_node.where("node_id = -1").select(
-        (F.col("w_pos") + F.col("w_neg")).alias("_w"), (F.col("n_pos") + F.col("n_neg")).alias("_n"), F.lit(1).alias("_k"))
-    joined = per_node.where("node_id >= 0").withColumn("_k", F.lit(1)).join(F.broadcast(grand), "_k")
-    return joined.select(
-        "node_id", "w_pos", "w_neg", (F.col("_w") - F.col("w_pos") - F.col("w_neg")).alias("w_rej"),
-        "n_pos", "n_neg", (F.col("_n") - F.col("n_pos") - F.col("n_neg")).alias("n_rej"),
-    )
+    nodes = Window.partitionBy()
+    whole = F.col("node_id") == -1
+    grand_w = F.max(F.when(whole, F.col("w_pos") + F.col("w_neg"))).over(nodes)
+    grand_n = F.max(F.when(whole, F.col("n_pos") + F.col("n_neg"))).over(nodes)
+    rejected = {"w_rej": grand_w - F.col("w_pos") - F.col("w_neg"), "n_rej": grand_n - F.col("n_pos") - F.col("n_neg")}
+    return per_node.withColumns(rejected).where("node_id >= 0").select(
+        "node_id", "w_pos", "w_neg", "w_rej", "n_pos", "n_neg", "n_rej")
