@@ -75,11 +75,13 @@ def hash_sample(spark, sf):
     return sp.hash_sample(rows, 0.1, seed=7)
 
 
-@query(f"""WITH {EVT},
-numbered AS (SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY row_id) - 1 AS idx, count(*) OVER (PARTITION BY y) AS n FROM evt),
+DRAWS = """numbered AS (SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY row_id) - 1 AS idx, count(*) OVER (PARTITION BY y) AS n FROM evt),
 sizes AS (SELECT DISTINCT y, n FROM numbered),
-draws AS (SELECT range + 1 AS draw, y, ((range + 1) * 1103515245 + (y + 2) * 12345) % 2147483648 % n AS idx FROM range(300), sizes)
-SELECT d.draw, d.y, row_id FROM draws d JOIN numbered r ON r.y = d.y AND r.idx = d.idx""")
+draws AS (SELECT range + 1 AS draw, y, ((range + 1) * 1103515245 + (y + 2) * 12345) % 2147483648 % n AS idx FROM range(300), sizes),
+drawn AS (SELECT d.draw, d.y, row_id FROM draws d JOIN numbered r ON r.y = d.y AND r.idx = d.idx)"""
+
+
+@query(f"WITH {EVT}, {DRAWS} SELECT draw, y, row_id FROM drawn")
 def stratified_draw(spark, sf):
     return sp.stratified_draw(evt(spark, sf), 300).select("draw", "y", "row_id")
 

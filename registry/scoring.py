@@ -10,6 +10,7 @@ from alttree.operators.binning import to_long
 from alttree.operators.sampling import stratified_draw, train_flag
 from alttree.operators.state import rebuild_state
 from registry import query
+from registry.sampling import DRAWS
 from registry.fixtures import EVT, FIRED, MODEL, STATE, R, evt, r6, score_sql
 
 _SCORED = f"scored AS (SELECT row_id, y, {score_sql()} AS score FROM fired)"
@@ -112,10 +113,12 @@ def staged_metrics(spark, sf):
     return out.select("node_id", *[r6(c).alias(c) for c in ("train_error", "test_error", "effective", "sum_w")])
 
 
-@query()
+@query(f"""WITH {EVT}, {FIRED}, staged AS ({_STAGED}), {DRAWS}
+SELECT d.draw, d.y, d.row_id, node_id, {R('score')} AS score FROM drawn d JOIN staged s ON s.row_id = d.row_id""")
 def staged_export(spark, sf):
     """Scores after every node for a fixed number of rows of either class, drawn with replacement."""
-    return s.staged_scores(stratified_draw(evt(spark, sf), 300), MODEL).select("row_id", "draw", "y", "node_id", "score")
+    out = s.staged_scores(stratified_draw(evt(spark, sf), 300), MODEL)
+    return out.select("draw", "y", "row_id", "node_id", r6("score").alias("score"))
 
 
 @query(f"""WITH {STATE} SELECT {R('sum(exp(-y * score))')} AS sum_loss, {R('sum(w)')} AS sum_w, TRUE AS same FROM state""")

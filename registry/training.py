@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,9 +14,10 @@ from alttree.operators import sampling as sp
 from alttree.operators import state as st
 from alttree.plans import history as hs
 from alttree.plans.trainer import Trainer, TrainParams, root_frame
-from alttree.schema import NODES, Node
+from alttree.schema import NODES, Node, nodes_df
 from alttree.sources import store
 from registry import query
+from registry.boosting_sql import drawn_sample, hashed_sample, training_sql
 from registry.fixtures import EVT, FIRED, HIST, MODEL, STATE, TREE, R, evt, evt_state, history, r6, score_sql, tree_nodes
 from registry.learning import _IN, _NEW, BASE, CUMULATIVE, HIST as SPLIT_HIST, ROUND, SEARCH, SLICES, SPLITS, TOP, TOTALS, binned_state, loss_sql
 
@@ -24,18 +26,26 @@ def _folder(spark) -> str:
     return os.path.join(store.shared_folder(spark), f"query-{uuid.uuid4().hex}")
 
 
-_PARAMS = dict(sample_frac=0.5, num_slices=4, max_iters=10, candidate_size=10, admit_size=4, auprc_every=5, pr_every=0, seed=1)
+_SEED = 1
+_PARAMS = dict(sample_frac=0.5, num_slices=4, max_iters=6, candidate_size=4, admit_size=3, auprc_every=0, pr_every=0, seed=_SEED)
+_DRAWN = drawn_sample(0.5, random.Random(_SEED).random()).format(seed=_SEED)
 
 
-def _history(spark, result):
-    return store.history_df(spark, result.history)
+def _iterations(spark, nodes, history):
+    """Every iteration's node beside its metrics."""
+    numbers = ["train_avg", "train_avg_pos", "test_avg", "effective", "weight_change"]
+    metrics = history.select("iteration", *[r6(m).alias(m) for m in numbers])
+    tests = nodes_df(spark, nodes).select(
+        F.col("node_id").alias("iteration"), "feature", r6("threshold").alias("threshold"), "split_eval", r6("pred").alias("pred"))
+    return tests.join(metrics, "iteration")
 
 
-@query()
+@query(training_sql(_DRAWN, 4, 4, 3, 2))
 def train_small(spark, sf):
-    """History of a ten-iteration run on a resample of the events pool."""
+    """Resample the events pool, then two batches of three admissions below the root."""
     rows = evt(spark, sf)
-    return _history(spark, Trainer(spark, TrainParams(**_PARAMS)).fit(rows, reference=rows))
+    result = Trainer(spark, TrainParams(**_PARAMS)).fit(rows, reference=rows)
+    return _iterations(spark, result.nodes, store.history_df(spark, result.history))
 
 
 @query(f"""WITH {ROUND}
@@ -105,7 +115,7 @@ def custom_loss(spark, sf):
     return best.select("parent_id", "feature", r6("threshold").alias("threshold"), "split_eval", r6("z").alias("z"))
 
 
-@query()
+@query(training_sql(hashed_sample(0.5, 3), 3, 2, 3, 1, features=[0, 3]))
 def custom_hooks(spark, sf):
     """A run whose sampler, thresholds, search and update are all supplied by the caller."""
 
@@ -116,14 +126,15 @@ def custom_hooks(spark, sf):
         return b.collect_thresholds(b.thresholds(b.to_long(train), 3))
 
     def searcher(state, cuts, k):
-        return ln.search(state, cuts, 6, features=[0, 3])
+        return ln.search(state, cuts, k, features=[0, 3])
 
     def updater(state, node):
         return st.apply_node(state, node)
 
-    params = TrainParams(max_iters=3, candidate_size=6, admit_size=3, auprc_every=0, pr_every=0)
+    params = TrainParams(max_iters=3, candidate_size=2, admit_size=3, auprc_every=0, pr_every=0)
     trainer = Trainer(spark, params, sampler=sampler, binner=binner, searcher=searcher, updater=updater)
-    return _history(spark, trainer.fit(evt(spark, sf)))
+    result = trainer.fit(evt(spark, sf))
+    return _iterations(spark, result.nodes, store.history_df(spark, result.history))
 
 
 _NODE_COLUMNS = ", ".join(NODES.names)
@@ -153,9 +164,10 @@ def sample_roundtrip(spark, sf):
     return store.load_sample(spark, path).select("row_id", "y", "is_train", packed.alias("packed"))
 
 
-@query()
+@query(training_sql(_DRAWN, 4, 4, 3, 1))
 def history_sink(spark, sf):
-    """The history a run writes, read back from its table."""
+    """The model and history a run writes, read back from its tables."""
     path = _folder(spark)
-    Trainer(spark, TrainParams(**{**_PARAMS, "max_iters": 4, "pr_every": 2}, output=path)).fit(evt(spark, sf))
-    return spark.read.parquet(os.path.join(path, "history"))
+    Trainer(spark, TrainParams(**{**_PARAMS, "max_iters": 3}, output=path)).fit(evt(spark, sf))
+    nodes = store.load_model(spark, os.path.join(path, "model"))
+    return _iterations(spark, nodes, spark.read.parquet(os.path.join(path, "history")))
