@@ -61,6 +61,9 @@ class TrainParams:
 # Nodes replayed by a caller's updater in one plan before the state is settled.
 REPLAY_CHAIN = 20
 
+# Histogram cells a task may hold in memory (32 bytes each) before the SQL form takes over.
+TASK_CELLS = 4_000_000
+
 Sampler = Callable[[DataFrame, list[Node]], DataFrame]
 
 
@@ -176,11 +179,13 @@ class Trainer:
         return binning.collect_thresholds(binning.thresholds(binning.to_long(train), p.num_slices))
 
     def _search(self, state: DataFrame, cuts: list[list[float]], k: int) -> DataFrame:
-        """One-hot rows have many features and are summed per task; dense rows in SQL."""
+        """One-hot rows have many features and are summed per task while the sums fit; dense rows in SQL."""
         p, onehot, hist = self.params, layout(state) == "nz", None
         if p.histogram == "arrow" or (p.histogram == "auto" and onehot):
             widths = [2] * p.n_features if onehot else [len(c) + 1 for c in cuts]
-            hist = learner.split_histogram_arrow(state, eligible(self.nodes, self.depth), widths)
+            parents = eligible(self.nodes, self.depth)
+            if p.histogram == "arrow" or len(parents) * sum(widths) <= TASK_CELLS:
+                hist = learner.split_histogram_arrow(state, parents, widths)
         return learner.search(state, cuts, k, self.loss, p.compat_left_reject, p.features_subset, hist)
 
     # data of one sampling period

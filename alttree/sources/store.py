@@ -79,6 +79,11 @@ def load_sample(spark: SparkSession, path: str) -> DataFrame:
     return saved.withColumn("is_train", F.col("is_train").cast("boolean"))
 
 
+def save_staged(staged: DataFrame, path: str) -> None:
+    """Keep scores or metrics of every model prefix, as `staged_scores` and `staged_metrics` give them."""
+    staged.write.mode("overwrite").parquet(path)
+
+
 def history_df(spark: SparkSession, records: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(f) for f in HISTORY.names) for r in records], HISTORY)
 

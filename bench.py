@@ -98,7 +98,9 @@ def main() -> None:
     scored = scoring.score(rows, random_model(100, cuts)).select("y", "score")
     timed("auprc", lambda: metrics.auprc(scored).collect())
 
-    coded = encode.encode(documents_letters(spark, SF_DIR)).persist()
+    letters = documents_letters(spark, SF_DIR).repartition(int(CPUS)).persist()
+    letters.count()
+    coded = encode.encode(letters).persist()
     timed("encode", lambda: run(coded))
     hot_cuts = binning.collect_thresholds(binning.onehot_thresholds(coded, encode.n_features(), 2))
     hot_model = random_model(10, hot_cuts)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from alttree.operators import metrics as m
 from alttree.operators import scoring as s
 from alttree.operators.binning import to_long
 from alttree.operators.sampling import stratified_draw, train_flag
-from alttree.operators.state import rebuild_state
+from alttree.operators.state import apply_node, rebuild_state
+from alttree.sources import store
 from registry import query
-from registry.sampling import DRAWS
 from registry.fixtures import EVT, FIRED, MODEL, STATE, R, evt, r6, score_sql
+from registry.sampling import DRAWS
 
 _SCORED = f"scored AS (SELECT row_id, y, {score_sql()} AS score FROM fired)"
 _SCORE = f"WITH {EVT}, {FIRED}, {_SCORED} SELECT row_id, y, {R('score')} AS score FROM scored"
@@ -109,7 +113,10 @@ SELECT node_id, {R('avg(bad) FILTER (tr)')} AS train_error, {R('avg(bad) FILTER
   {R('(sum(w) FILTER (tr)) ** 2 / (sum(w * w) FILTER (tr))')} AS effective, {R('sum(w) FILTER (tr)')} AS sum_w
 FROM t GROUP BY node_id""")
 def staged_metrics(spark, sf):
-    out = m.staged_metrics(evt(spark, sf).withColumn("is_train", train_flag()), MODEL)
+    """Errors, effective count and weight after every node, through their table."""
+    path = os.path.join(store.shared_folder(spark), f"staged-{uuid.uuid4().hex}")
+    store.save_staged(m.staged_metrics(evt(spark, sf).withColumn("is_train", train_flag()), MODEL), path)
+    out = spark.read.parquet(path)
     return out.select("node_id", *[r6(c).alias(c) for c in ("train_error", "test_error", "effective", "sum_w")])
 
 
@@ -125,8 +132,6 @@ def staged_export(spark, sf):
 def loss_weight_identity(spark, sf):
     """Weights built step by step must sum to the exponential loss of the scores."""
     rows = s.score(evt(spark, sf), MODEL, name="score")
-    from alttree.operators.state import apply_node
-
     state = rows.withColumns({"hits": F.array().cast("array<int>"), "delta": F.lit(0.0), "w": F.lit(1.0)})
     for node in MODEL:
         state = apply_node(state, node)
