@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ def constant(value, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), ddl)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a costly value once, however often `body` uses it and wherever the optimizer copies it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lower_bound(sorted_array: Column, x: Column, max_size: int) -> Column:
     """Number of elements below `x`, by halving steps; `max_size` bounds the array's size."""
     if max_size <= 0:

@@ -73,7 +73,7 @@ def thresholds(long: DataFrame, num_slices: int, buckets: int | None = None) ->
 def onehot_thresholds(rows: DataFrame, n_features: int, num_slices: int) -> DataFrame:
     """A 0/1 feature has the single threshold 0.5 unless it is constant (or one slice is asked)."""
     n_rows = rows.count()
-    ones = rows.select(F.explode("nz").alias("feature")).groupBy("feature").agg(F.count("*").alias("ones"))
+    ones = rows.select(F.explode_outer("nz").alias("feature")).where("feature is not null").groupBy("feature").agg(F.count("*").alias("ones"))
     varied = (F.col("ones") < n_rows) & (F.col("feature") < n_features) & F.lit(num_slices >= 2)
     return ones.where(varied).select("feature", F.lit(0).alias("slot"), F.lit(0.5).alias("threshold"))
 

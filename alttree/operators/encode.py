@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alttree.functions.arrays import let
+
 # Alphabet, and the letters kept left and right of the skipped centre pair.
 ALPHABET = "ACGT"
 CENTER = 60
@@ -77,23 +79,25 @@ def encode(
     """
     if on_unknown not in ("error", "skip", "null"):
         raise ValueError(f"on_unknown={on_unknown!r}")
-    rows = rows.where(F.length(seq) >= min_length).withColumn("_win", window_extract(F.col(seq)))
+    rows = rows.where(F.length(seq) >= min_length)
+    win = let(F.col(seq), window_extract)
     if on_unknown == "skip":
-        rows = rows.where(~has_unknown(F.col("_win")))
-    win = F.col("_win")
+        rows = rows.where(~has_unknown(win))
     if on_unknown == "error":
         message = F.concat(F.lit("letter outside the alphabet in row "), F.col("row_id").cast("string"))
-        win = F.when(has_unknown(win), F.raise_error(message).cast("string")).otherwise(win)
-    rows = rows.withColumn("_letters", letters_of(win))
-    ids = single_ids(F.col("_letters"))
-    if pairs:
-        ids = F.concat(ids, pair_ids(F.col("_letters")))
-    return rows.withColumn("nz", F.array_sort(F.array_compact(ids))).drop("_win", "_letters", seq)
+        win = let(win, lambda w: F.when(has_unknown(w), F.raise_error(message).cast("string")).otherwise(w))
+    ids = let(letters_of(win), lambda ls: F.concat(single_ids(ls), pair_ids(ls)) if pairs else single_ids(ls))
+    return rows.withColumn("nz", F.array_sort(F.array_compact(ids))).drop(seq)
 
 
 def onehot_long(rows: DataFrame) -> DataFrame:
-    """Long form of the ones; every feature not listed is 0."""
-    return rows.select("row_id", F.explode("nz").alias("feature"), F.lit(1.0).alias("value"))
+    """Long form of the ones; every feature not listed is 0.
+
+    The outer form keeps Spark from computing the ids again to look for empty lists.
+    """
+    kept = [c for c in rows.columns if c != "nz"]
+    ones = rows.select(*kept, F.explode_outer("nz").alias("feature")).where("feature is not null")
+    return ones.withColumn("value", F.lit(1.0))
 
 
 def feature_dictionary(spark: SparkSession, pairs: bool = False) -> DataFrame:

@@ -159,7 +159,8 @@ def staged_scores(rows: DataFrame, nodes: list[Node]) -> DataFrame:
     ids = constant([t.node_id for t in nodes], "array<int>")
     kept = [c for c in rows.columns if c not in ("features", "nz")]
     staged = rows.withColumn("_s", _arrow_column(rows, nodes, "array<double>", make))
-    return staged.select(*kept, F.posexplode("_s").alias("_i", "score")).withColumn(
+    # outer: a plain explode would evaluate the Arrow function again to look for empty lists
+    return staged.select(*kept, F.posexplode_outer("_s").alias("_i", "score")).withColumn(
         "node_id", F.get(ids, F.col("_i"))).drop("_i")
 
 

@@ -135,13 +135,13 @@ def unknown_letters(spark, sf):
 
 @query(f"WITH {LETTERS}, {SINGLE} SELECT row_id, feature, CAST(1.0 AS DOUBLE) AS value FROM single")
 def encode_p1(spark, sf):
-    return enc.onehot_long(enc.encode(documents_letters(spark, sf)))
+    return enc.onehot_long(enc.encode(documents_letters(spark, sf))).drop("y")
 
 
 @query(f"""WITH {LETTERS}, {SINGLE}, {PAIR}
 SELECT row_id, feature, CAST(1.0 AS DOUBLE) AS value FROM single UNION ALL SELECT row_id, feature, 1.0 FROM pair""")
 def encode_p2(spark, sf):
-    return enc.onehot_long(enc.encode(documents_letters(spark, sf), pairs=True))
+    return enc.onehot_long(enc.encode(documents_letters(spark, sf), pairs=True)).drop("y")
 
 
 @query(f"""WITH {LETTERS}, {SINGLE}, {PAIR},
@@ -158,6 +158,6 @@ FROM dict d LEFT JOIN used USING (feature)""")
 def feature_dictionary(spark, sf):
     """Every feature of the dictionary with how many rows have it."""
     coded = enc.encode(documents_letters(spark, sf), pairs=True)
-    used = coded.select("y", F.explode("nz").alias("feature")).groupBy("feature").agg(
+    used = enc.onehot_long(coded).groupBy("feature").agg(
         F.count("*").alias("n_rows"), F.sum("y").alias("sum_y"))
     return enc.feature_dictionary(spark, pairs=True).join(used, "feature", "left").fillna(0, ["n_rows", "sum_y"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from registry.fixtures import EVT, FEATURES, R
+from registry.fixtures import EVT, FEATURES, R4, R
 from registry.sampling import BALANCE, COPIES
 
 _FS = ", ".join(f"f{k}" for k in range(FEATURES))
@@ -82,7 +82,7 @@ def training_sql(sample: str, slices: int, k: int, admit: int, batches: int, fea
     out = []
     for i in range(step + 1):
         node = "-1 AS feature, CAST(0 AS DOUBLE) AS threshold, TRUE AS split_eval" if i == 0 else f"feature, {R('threshold')} AS threshold, side = 0 AS split_eval"
-        change = "CAST(NULL AS DOUBLE)" if i == 0 else R(f"(SELECT sum(w) FROM w{i} WHERE is_train) - (SELECT sum(w) FROM w{i - 1} WHERE is_train)")
+        change = "CAST(NULL AS DOUBLE)" if i == 0 else R4(f"(SELECT sum(w) FROM w{i} WHERE is_train) - (SELECT sum(w) FROM w{i - 1} WHERE is_train)")
         out.append(f"""SELECT {i} AS iteration, {node}, {R('pred')} AS pred, m.*, {change} AS weight_change FROM node{i}, (
           SELECT {R('avg(w) FILTER (is_train)')} AS train_avg, {R('avg(w) FILTER (is_train AND y > 0)')} AS train_avg_pos,
                  {R('avg(w) FILTER (NOT is_train)')} AS test_avg,

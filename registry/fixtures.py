@@ -23,6 +23,15 @@ def R(x: str) -> str:
     return f"(round({x}, 6) + 0.0)"
 
 
+def r4(c: Column | str) -> Column:
+    """For sums over many rows, whose last digits depend on the order of addition."""
+    return F.round(c, 4)
+
+
+def R4(x: str) -> str:
+    return f"(round({x}, 4) + 0.0)"
+
+
 # Rows from events: positive = purchase
 
 FEATURES = 5

@@ -11,7 +11,7 @@ from alttree.plans.trainer import root_frame
 from alttree.schema import Candidate, Node
 from registry import query
 from registry.binning import SLICES, SLOTS, THRESHOLDS
-from registry.fixtures import EVT, FIRED, LONG, MEMBER, MODEL, STATE, R, evt, evt_state, r6, score_sql
+from registry.fixtures import EVT, FIRED, LONG, MEMBER, MODEL, R4, STATE, R, evt, evt_state, r4, r6, score_sql
 
 BASE = f"{STATE}, {LONG}, {MEMBER}, {THRESHOLDS}, {SLOTS}"
 _CLASS = """sum(CASE WHEN y > 0 THEN w ELSE 0 END) AS w_pos, sum(CASE WHEN y > 0 THEN 0 ELSE w END) AS w_neg,
@@ -58,7 +58,7 @@ def binned_state(spark, sf):
 
 
 def _rounded(df, *names):
-    return df.withColumns({n: r6(n) for n in names})
+    return df.withColumns({n: r4(n) if n.startswith(("w_", "right_")) else r6(n) for n in names})
 
 
 @query(f"""WITH {EVT} SELECT 0 AS node_id, -1 AS parent_id, 0 AS depth, -1 AS feature, CAST(0 AS DOUBLE) AS threshold, TRUE AS split_eval,
@@ -68,20 +68,20 @@ def root_node(spark, sf):
 
 
 @query(f"""WITH {STATE}, {MEMBER}, {TOTALS}
-SELECT node_id, {R('w_pos')} AS w_pos, {R('w_neg')} AS w_neg, {R('w_rej')} AS w_rej, n_pos, n_neg, n_rej FROM totals""")
+SELECT node_id, {R4('w_pos')} AS w_pos, {R4('w_neg')} AS w_neg, {R4('w_rej')} AS w_rej, n_pos, n_neg, n_rej FROM totals""")
 def node_totals(spark, sf):
     return _rounded(st.node_totals(evt_state(spark, sf)), "w_pos", "w_neg", "w_rej")
 
 
 @query(f"""WITH {BASE}, {HIST}
-SELECT node_id, feature, slot, {R('w_pos')} AS w_pos, {R('w_neg')} AS w_neg, n_pos, n_neg FROM hist""")
+SELECT node_id, feature, slot, {R4('w_pos')} AS w_pos, {R4('w_neg')} AS w_neg, n_pos, n_neg FROM hist""")
 def split_histogram(spark, sf):
     state, _ = binned_state(spark, sf)
     return _rounded(ln.split_histogram(state), "w_pos", "w_neg")
 
 
 @query(f"""WITH {BASE}, {HIST}
-SELECT node_id, feature, slot, {R('w_pos')} AS w_pos, {R('w_neg')} AS w_neg, n_pos, n_neg FROM hist""")
+SELECT node_id, feature, slot, {R4('w_pos')} AS w_pos, {R4('w_neg')} AS w_neg, n_pos, n_neg FROM hist""")
 def split_histogram_arrow(spark, sf):
     state, cuts = binned_state(spark, sf)
     widths = [len(c) + 1 for c in cuts]
@@ -89,8 +89,8 @@ def split_histogram_arrow(spark, sf):
 
 
 @query(f"""WITH {BASE}, {TOTALS}, {HIST}, {CUMULATIVE}
-SELECT node_id, feature, slot, {R('w_pos')} AS w_pos, {R('w_neg')} AS w_neg, n_pos, n_neg,
-       {R('greatest(tp - w_pos, 0)')} AS right_pos, {R('greatest(tn - w_neg, 0)')} AS right_neg FROM cum""")
+SELECT node_id, feature, slot, {R4('w_pos')} AS w_pos, {R4('w_neg')} AS w_neg, n_pos, n_neg,
+       {R4('greatest(tp - w_pos, 0)')} AS right_pos, {R4('greatest(tn - w_neg, 0)')} AS right_neg FROM cum""")
 def cumulative_slots(spark, sf):
     state, cuts = binned_state(spark, sf)
     cum = ln.cumulative_slots(ln.split_histogram(state), st.node_totals(state), cuts)
@@ -139,7 +139,7 @@ _RE = REEVALUATED.replace("CASE WHEN y >", "CASE WHEN m.y >").replace("FILTER (y
 
 
 @query(f"""WITH {STATE}, {LONG}, {MEMBER}, {_RE}
-SELECT i, parent_id, feature, threshold, split_eval, n_pos, n_neg, {R('w_pos')} AS w_pos, {R('w_neg')} AS w_neg,
+SELECT i, parent_id, feature, threshold, split_eval, n_pos, n_neg, {R4('w_pos')} AS w_pos, {R4('w_neg')} AS w_neg,
        {R('z')} AS z, {R('pred')} AS pred FROM rescored""")
 def reevaluate_candidates(spark, sf):
     out = ln.reevaluate(evt_state(spark, sf), _CANDIDATES)
@@ -155,7 +155,7 @@ def best_candidate(spark, sf):
 
 
 @query(f"""WITH {STATE}, {LONG}, {MEMBER}, {_RE}
-SELECT part, i, {R('w_pos')} AS w_pos, {R('w_neg')} AS w_neg, n_pos, n_neg FROM (
+SELECT part, i, {R4('w_pos')} AS w_pos, {R4('w_neg')} AS w_neg, n_pos, n_neg FROM (
   SELECT 1 AS part, i, w_pos, w_neg, n_pos, n_neg FROM rescored
   UNION ALL SELECT 0, 0, sum(CASE WHEN y > 0 THEN w ELSE 0 END), sum(CASE WHEN y > 0 THEN 0 ELSE w END),
     count(*) FILTER (y > 0), count(*) FILTER (y <= 0) FROM state)""")
@@ -163,7 +163,7 @@ def admission_pass(spark, sf):
     """Loss sums and candidate sums of one admission, from one pass over the state."""
     state = evt_state(spark, sf).withColumn("is_train", F.lit(True))
     out = ln.admission_pass(state, [], _CANDIDATES).where("part = 1 or i = 0")
-    return out.select("part", "i", r6("w_pos").alias("w_pos"), r6("w_neg").alias("w_neg"),
+    return out.select("part", "i", r4("w_pos").alias("w_pos"), r4("w_neg").alias("w_neg"),
                       F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"))
 
 

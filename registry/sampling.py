@@ -9,7 +9,7 @@ from alttree.operators import sampling as sp
 from alttree.operators.state import rebuild_state
 from alttree.sources.store import settle
 from registry import query
-from registry.fixtures import EVT, MODEL, STATE, R, evt, r6, table
+from registry.fixtures import EVT, MODEL, R4, STATE, R, evt, r4, r6, table
 
 FRAC, SHARE = 0.1, 0.5
 
@@ -36,11 +36,11 @@ def importance_weights(spark, sf):
 
 
 @query(f"""WITH {STATE}, {BALANCE}
-SELECT CAST(n AS BIGINT) AS n_rows, {R('wp')} AS w_pos, {R('wn')} AS w_neg, {R('ps')} AS pos_scale, {R('ns')} AS neg_scale,
-       {R('total')} AS scaled_total FROM plan""")
+SELECT CAST(n AS BIGINT) AS n_rows, {R4('wp')} AS w_pos, {R4('wn')} AS w_neg, {R('ps')} AS pos_scale, {R('ns')} AS neg_scale,
+       {R4('total')} AS scaled_total FROM plan""")
 def class_balance(spark, sf):
     out = sp.class_balance(_weighted(spark, sf))
-    return out.withColumns({c: r6(c) for c in out.columns if c != "n_rows"})
+    return out.withColumns({c: r6(c) if c.endswith("scale") else r4(c) for c in out.columns if c != "n_rows"})
 
 
 @query(f"WITH {STATE}, {BALANCE} SELECT size, {R('segment')} AS segment, {R('off')} AS start FROM seg")

@@ -14,7 +14,7 @@ from alttree.operators.sampling import stratified_draw, train_flag
 from alttree.operators.state import apply_node, rebuild_state
 from alttree.sources import store
 from registry import query
-from registry.fixtures import EVT, FIRED, MODEL, STATE, R, evt, r6, score_sql
+from registry.fixtures import EVT, FIRED, MODEL, R4, STATE, R, evt, r4, r6, score_sql
 from registry.sampling import DRAWS
 
 _SCORED = f"scored AS (SELECT row_id, y, {score_sql()} AS score FROM fired)"
@@ -71,10 +71,10 @@ def staged_scores(spark, sf):
 
 @query(f"""WITH {EVT}, {FIRED}, {_SCORED}, l AS (SELECT y, exp(-y * score) AS l FROM scored)
 SELECT {R('avg(l)')} AS avg_loss, {R('avg(l) FILTER (y > 0)')} AS avg_loss_pos,
-       {R('avg(l) FILTER (y <= 0)')} AS avg_loss_neg, {R('sum(l)')} AS sum_loss FROM l""")
+       {R('avg(l) FILTER (y <= 0)')} AS avg_loss_neg, {R4('sum(l)')} AS sum_loss FROM l""")
 def exp_loss(spark, sf):
     out = m.exp_loss(s.score(evt(spark, sf), MODEL))
-    return out.select(*[r6(c).alias(c) for c in out.columns])
+    return out.withColumns({c: r4(c) if c == "sum_loss" else r6(c) for c in out.columns})
 
 
 @query(f"""WITH {EVT}, {FIRED}, {_ROUNDED}, {_GROUPS}
@@ -110,14 +110,15 @@ def margin_error(spark, sf):
 @query(f"""WITH {EVT}, {FIRED}, staged AS ({_STAGED}),
 t AS (SELECT node_id, {_TRAIN} AS tr, CASE WHEN score * y <= 1e-8 THEN 1.0 ELSE 0.0 END AS bad, exp(-y * score) AS w FROM staged)
 SELECT node_id, {R('avg(bad) FILTER (tr)')} AS train_error, {R('avg(bad) FILTER (NOT tr)')} AS test_error,
-  {R('(sum(w) FILTER (tr)) ** 2 / (sum(w * w) FILTER (tr))')} AS effective, {R('sum(w) FILTER (tr)')} AS sum_w
+  {R4('(sum(w) FILTER (tr)) ** 2 / (sum(w * w) FILTER (tr))')} AS effective, {R4('sum(w) FILTER (tr)')} AS sum_w
 FROM t GROUP BY node_id""")
 def staged_metrics(spark, sf):
     """Errors, effective count and weight after every node, through their table."""
     path = os.path.join(store.shared_folder(spark), f"staged-{uuid.uuid4().hex}")
     store.save_staged(m.staged_metrics(evt(spark, sf).withColumn("is_train", train_flag()), MODEL), path)
     out = spark.read.parquet(path)
-    return out.select("node_id", *[r6(c).alias(c) for c in ("train_error", "test_error", "effective", "sum_w")])
+    return out.select("node_id", r6("train_error").alias("train_error"), r6("test_error").alias("test_error"),
+                      r4("effective").alias("effective"), r4("sum_w").alias("sum_w"))
 
 
 @query(f"""WITH {EVT}, {FIRED}, staged AS ({_STAGED}), {DRAWS}
@@ -128,7 +129,7 @@ def staged_export(spark, sf):
     return out.select("draw", "y", "row_id", "node_id", r6("score").alias("score"))
 
 
-@query(f"""WITH {STATE} SELECT {R('sum(exp(-y * score))')} AS sum_loss, {R('sum(w)')} AS sum_w, TRUE AS same FROM state""")
+@query(f"""WITH {STATE} SELECT {R4('sum(exp(-y * score))')} AS sum_loss, {R4('sum(w)')} AS sum_w, TRUE AS same FROM state""")
 def loss_weight_identity(spark, sf):
     """Weights built step by step must sum to the exponential loss of the scores."""
     rows = s.score(evt(spark, sf), MODEL, name="score")
@@ -137,4 +138,4 @@ def loss_weight_identity(spark, sf):
         state = apply_node(state, node)
     out = state.agg(F.sum(F.exp(-F.col("y") * F.col("score"))).alias("sum_loss"), F.sum("w").alias("sum_w"))
     same = F.abs(F.col("sum_loss") - F.col("sum_w")) <= 1e-9 * F.col("sum_w")
-    return out.select(r6("sum_loss").alias("sum_loss"), r6("sum_w").alias("sum_w"), same.alias("same"))
+    return out.select(r4("sum_loss").alias("sum_loss"), r4("sum_w").alias("sum_w"), same.alias("same"))

@@ -18,7 +18,7 @@ from alttree.schema import NODES, Node, nodes_df
 from alttree.sources import store
 from registry import query
 from registry.boosting_sql import drawn_sample, hashed_sample, training_sql
-from registry.fixtures import EVT, FIRED, HIST, MODEL, STATE, TREE, R, evt, evt_state, history, r6, score_sql, tree_nodes
+from registry.fixtures import EVT, FIRED, HIST, MODEL, R4, STATE, TREE, R, evt, evt_state, history, r4, r6, score_sql, tree_nodes
 from registry.learning import _IN, _NEW, BASE, CUMULATIVE, HIST as SPLIT_HIST, ROUND, SEARCH, SLICES, SPLITS, TOP, TOTALS, binned_state, loss_sql
 
 
@@ -33,8 +33,8 @@ _DRAWN = drawn_sample(0.5, random.Random(_SEED).random()).format(seed=_SEED)
 
 def _iterations(spark, nodes, history):
     """Every iteration's node beside its metrics."""
-    numbers = ["train_avg", "train_avg_pos", "test_avg", "effective", "weight_change"]
-    metrics = history.select("iteration", *[r6(m).alias(m) for m in numbers])
+    numbers = ["train_avg", "train_avg_pos", "test_avg", "effective"]
+    metrics = history.select("iteration", *[r6(m).alias(m) for m in numbers], r4("weight_change").alias("weight_change"))
     tests = nodes_df(spark, nodes).select(
         F.col("node_id").alias("iteration"), "feature", r6("threshold").alias("threshold"), "split_eval", r6("pred").alias("pred"))
     return tests.join(metrics, "iteration")
@@ -62,12 +62,12 @@ def admit_node(spark, sf):
     return root.unionByName(child).withColumns({"threshold": r6("threshold"), "pred": r6("pred")})
 
 
-@query(f"""WITH {STATE} SELECT {R('sum(w)')} AS before, {R(f'sum(CASE WHEN {_IN} THEN w * exp(-y * 0.35) ELSE w END)')} AS after,
-  {R(f'sum(CASE WHEN {_IN} THEN w * exp(-y * 0.35) ELSE w END) - sum(w)')} AS change FROM state""")
+@query(f"""WITH {STATE} SELECT {R4('sum(w)')} AS before, {R4(f'sum(CASE WHEN {_IN} THEN w * exp(-y * 0.35) ELSE w END)')} AS after,
+  {R4(f'sum(CASE WHEN {_IN} THEN w * exp(-y * 0.35) ELSE w END) - sum(w)')} AS change FROM state""")
 def weight_change(spark, sf):
     state = evt_state(spark, sf).withColumn("w_old", F.col("w"))
     out = st.apply_node(state, _NEW).agg(F.sum("w_old").alias("before"), F.sum("w").alias("after"))
-    return out.select(r6("before").alias("before"), r6("after").alias("after"), r6(F.col("after") - F.col("before")).alias("change"))
+    return out.select(r4("before").alias("before"), r4("after").alias("after"), r4(F.col("after") - F.col("before")).alias("change"))
 
 
 @query(f"""WITH {SEARCH}, {TOP} SELECT CAST(count(*) AS BIGINT) AS n_candidates, CAST(ceil(0.3 * count(*)) AS BIGINT) AS automatic,
