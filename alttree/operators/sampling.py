@@ -133,7 +133,7 @@ def row_hash(key: Column | str, copy: Column | int = 1, seed: int = 0) -> Column
 
 def hash_sample(rows: DataFrame, frac: float, seed: int = 0, key: str = "row_id") -> DataFrame:
     """Bernoulli sample without replacement; the same rows on every run and retry."""
-    return rows.where(F.pmod(row_hash(key, seed=seed), F.lit(10_000)) < round(frac * 10_000))
+    return rows.where(row_hash(key, seed=seed) < round(frac * HASH_MOD))
 
 
 def train_flag(split_by: str = "row", seed: int = 0, portion: float = TRAIN_PORTION) -> Column:
@@ -170,15 +170,17 @@ def resample(
 def stratified_draw(rows: DataFrame, per_class: int, seed: int = 0, buckets: int | None = None) -> DataFrame:
     """Draw `per_class` rows of either class with replacement.
 
-    Rows are numbered within their class; every draw picks a number by hash. The draws
-    are 2 x per_class records, broadcast only while that is small.
+    Rows are numbered within their class; every draw picks a number by two chained hashes,
+    which reach all numbers of classes beyond 2^31 rows too. The draws are 2 x per_class
+    records, broadcast only while that is small.
     """
     spark = rows.sparkSession
     numbered = dense_row_id(rows, "row_id", "_idx", by=["y"], buckets=buckets)
     sizes = rows.groupBy("y").agg(F.count("*").alias("_n"))
     draws = spark.range(per_class).select((F.col("id") + 1).alias("draw"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("y"))
     # two classes: two size records
-    picked = draws.join(F.broadcast(sizes), "y").select(
-        "draw", "y", F.pmod(row_hash("draw", F.col("y") + 2, seed), F.col("_n")).alias("_idx"))
+    high = row_hash("draw", F.col("y") + 2, seed)
+    number = high * HASH_MOD + row_hash(high, F.col("y") + 2, seed + 1)
+    picked = draws.join(F.broadcast(sizes), "y").select("draw", "y", F.pmod(number, F.col("_n")).alias("_idx"))
     picked = F.broadcast(picked) if per_class <= 500_000 else picked
     return numbered.join(picked, ["y", "_idx"]).drop("_idx")

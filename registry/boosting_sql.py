@@ -19,7 +19,7 @@ drawn AS (SELECT s.row_id, s.copy, s.y, ((s.row_id * 1103515245 + 12345 + {{seed
 def hashed_sample(frac: float, seed: int) -> str:
     hashed = "((row_id * 1103515245 + 12345 + {}) % 2147483648)"
     return f"""drawn AS (SELECT row_id, 1 AS copy, y, {hashed.format(seed)} % 100 < 75 AS is_train, {_FS}
-          FROM evt WHERE {hashed.format(0)} % 10000 < {round(frac * 10000)})"""
+          FROM evt WHERE {hashed.format(0)} < {round(frac * 2**31)})"""
 
 
 def _loss(rej: str, pos: str, neg: str) -> str:

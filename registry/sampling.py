@@ -69,7 +69,7 @@ def hash_split(spark, sf):
 
 
 @query("""SELECT event_id AS row_id, value FROM events
-WHERE ((event_id * 1103515245 + 12345 + 7) % 2147483648) % 10000 < 1000""")
+WHERE (event_id * 1103515245 + 12345 + 7) % 2147483648 < 214748365""")
 def hash_sample(spark, sf):
     rows = table(spark, sf, "events").select(F.col("event_id").alias("row_id"), "value")
     return sp.hash_sample(rows, 0.1, seed=7)
@@ -77,7 +77,8 @@ def hash_sample(spark, sf):
 
 DRAWS = """numbered AS (SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY row_id) - 1 AS idx, count(*) OVER (PARTITION BY y) AS n FROM evt),
 sizes AS (SELECT DISTINCT y, n FROM numbered),
-draws AS (SELECT range + 1 AS draw, y, ((range + 1) * 1103515245 + (y + 2) * 12345) % 2147483648 % n AS idx FROM range(300), sizes),
+high AS (SELECT range + 1 AS draw, y, n, ((range + 1) * 1103515245 + (y + 2) * 12345) % 2147483648 AS h FROM range(300), sizes),
+draws AS (SELECT draw, y, (h * 2147483648 + (h * 1103515245 + (y + 2) * 12345 + 1) % 2147483648) % n AS idx FROM high),
 drawn AS (SELECT d.draw, d.y, row_id FROM draws d JOIN numbered r ON r.y = d.y AND r.idx = d.idx)"""
 
 
