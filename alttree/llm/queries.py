@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from alttree.llm import quality_rules
+from alttree.llm import chat, quality_rules, sharding, url_filter
 
 QUERIES = {
+    "op2_chat_format": chat.op2_chat_format,
+    "op5_url_filter": url_filter.op5_url_filter,
+    "op6_sharding": sharding.op6_sharding,
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 ORACLES = {
+    "op2_chat_format": chat.SQL,
+    "op5_url_filter": url_filter.SQL,
+    "op6_sharding": sharding.SQL,
     "op7_quality_rules": quality_rules.SQL,
 }
