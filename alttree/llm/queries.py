@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from alttree.llm import chat, quality_classifier, quality_rules, sharding, url_filter
+from alttree.llm import bpe, chat, packing, quality_classifier, quality_rules, sharding, url_filter
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op2_chat_format": chat.op2_chat_format,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_sharding": sharding.op6_sharding,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_packing": packing.op8_packing,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
 }
 ORACLES = {
