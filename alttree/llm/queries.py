@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from alttree.llm import bpe, chat, packing, quality_classifier, quality_rules, sharding, url_filter
+from alttree.llm import bpe, chat, jaccard, packing, quality_classifier, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     "op2_chat_format": chat.op2_chat_format,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_sharding": sharding.op6_sharding,
