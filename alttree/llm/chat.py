@@ -1,15 +1,15 @@
 """Chat formatting: reply trees to root-to-leaf conversations, one string and loss mask each, with DataFrame functions only.
 
-A message names its parent. Self-joins grow every path from its root by one reply at a time; a path that meets a
-message without replies is complete. Paths of a tree are ranked by their total score (ties: by the messages' ids) and
-the best `paths_per_tree` are formatted.
+A message names its parent. Self-joins double the reach of every message upwards, so that a path of n replies takes
+log n rounds: first to sum the scores from root to leaf, then, for the `paths_per_tree` best branches of a tree (ties:
+the smaller leaf id), to list the messages of the path. Each chosen path is formatted as one conversation.
 
 A turn is written `[role]text</s>`. Inside roles and texts `~ [ ] <` become `~0 ~1 ~3 ~2`, so that control strings in a
 text neither open nor close a turn and every string can be read back. The loss mask covers the escaped texts of the
 assistant's turns, not their marks.
 
 Null roles, texts and scores count as empty, empty and 0. A message whose parent is null or not in its tree is a root.
-Messages that only refer to one another in a circle have no root and belong to no path. Ids must be unique in a tree;
+Messages that refer to one another in a circle, and replies to these, have no root and belong to no path. Ids must be unique in a tree;
 the query numbers repeated turns one after the other. An empty table gives no conversations.
 """
 
@@ -22,7 +22,6 @@ from pyspark.sql.window import Window
 from alttree.llm.tables import keep, read
 
 END = "</s>"
-HOPS = 4
 #: Escapes, in the order in which they are made.
 ESCAPES = [("~", "~0"), ("[", "~1"), ("<", "~2"), ("]", "~3")]
 
@@ -39,35 +38,38 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(tree_id, path, score) of every root-to-leaf path. messages: tree_id, node_id, parent_id, score."""
-    links = messages.select(
-        F.col("tree_id").alias("t"), F.col("node_id").alias("child"), F.col("parent_id").alias("parent"),
-        F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("gain"))
-    nodes = links.select(F.col("t").alias("tree_id"), F.col("child").alias("node"))
-    under = F.col("t").eqNullSafe(F.col("tree_id")) & (F.col("parent") == F.col("node"))
-    roots = links.join(nodes, under, "left_anti")
-    open_ = roots.select(F.col("t").alias("tree_id"), F.col("child").alias("node"), F.array("child").alias("path"), F.col("gain").alias("score"))
-    done = None
-    while True:
-        for _ in range(HOPS):
-            grown = open_.join(links, under, "left")
-            open_ = grown.select(
-                "tree_id", F.col("child").alias("node"),
-                F.when(F.col("child").isNull(), F.col("path")).otherwise(F.concat("path", F.array("child"))).alias("path"),
-                (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"))
-        step = keep(open_, "paths")  # a path without a node has met its leaf
-        ended = step.where(F.col("node").isNull()).select("tree_id", "path", "score")
-        done = ended if done is None else done.unionByName(ended)
-        open_ = step.where(F.col("node").isNotNull())
-        if open_.isEmpty():
-            return done
+def jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables r = 0, 1, ... of (tree_id, node, up, score): the message 2^r replies above, null beyond the root, and the
+    score summed on the way; and the last table's rows that met a root, whose score is that of the path from it."""
+    nodes = messages.select("tree_id", F.col("node_id").alias("node"), "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    known = nodes.select(F.col("tree_id").alias("t"), F.col("node").alias("up"))
+    held = F.col("t").eqNullSafe(F.col("tree_id")) & (F.col("up") == F.col("parent_id"))
+    tables = [keep(nodes.join(known, held, "left").select("tree_id", "node", "up", "score"), "jump")]
+    rounds = max(1, messages.count()).bit_length()
+    while len(tables) <= rounds and not tables[-1].where(F.col("up").isNotNull()).isEmpty():
+        last = tables[-1]
+        above = last.select(F.col("tree_id").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("score").alias("more"))
+        met = F.col("t").eqNullSafe(F.col("tree_id")) & (F.col("n") == F.col("up"))
+        step = last.join(above, met, "left").select(
+            "tree_id", "node", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+        tables.append(keep(step, "jump"))
+    return tables[:-1], tables[-1].where(F.col("up").isNull()).drop("up")
 
 
 def best_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
-    """(tree_id, rank, path, score) of the best branches."""
-    order = Window.partitionBy("tree_id").orderBy(F.desc("score"), "path")
-    return paths(messages).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= paths_per_tree)
+    """(tree_id, rank, score, node, back) of each message of the best branches; back: replies from the path's end."""
+    tables, rooted = jumps(messages)
+    asked = messages.select(F.col("tree_id").alias("t"), F.col("parent_id").alias("p")).where(F.col("p").isNotNull())
+    leaves = rooted.join(asked, F.col("t").eqNullSafe(F.col("tree_id")) & (F.col("p") == F.col("node")), "left_anti")
+    order = Window.partitionBy("tree_id").orderBy(F.desc("score"), "node")
+    best = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= paths_per_tree)
+    reached = keep(best.select("tree_id", "rank", "score", "node", F.lit(0).cast("long").alias("back")), "reached")
+    for r, table in enumerate(tables):  # each round doubles the known end of every path
+        up = table.select(F.col("tree_id").alias("t"), F.col("node").alias("n"), "up").where(F.col("up").isNotNull())
+        met = F.col("t").eqNullSafe(F.col("tree_id")) & (F.col("n") == F.col("node"))
+        more = reached.join(up, met).select("tree_id", "rank", "score", F.col("up").alias("node"), (F.col("back") + 2**r).alias("back"))
+        reached = keep(reached.unionByName(more), "reached")
+    return reached
 
 
 def format_paths(messages: DataFrame, chosen: DataFrame, trained_role: str = "assistant") -> DataFrame:
@@ -75,7 +77,7 @@ def format_paths(messages: DataFrame, chosen: DataFrame, trained_role: str = "as
     texts = messages.select(
         F.col("tree_id").alias("t"), F.col("node_id").alias("n"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    steps = chosen.select("tree_id", "rank", "score", F.posexplode("path").alias("pos", "node"))
+    steps = chosen.withColumn("pos", -F.col("back"))
     turn = F.struct("pos", "role", F.concat(F.lit("["), escape(F.col("role")), F.lit("]")).alias("head"), escape(F.col("text")).alias("body"))
     told = steps.join(texts, F.col("t").eqNullSafe(F.col("tree_id")) & (F.col("n") == F.col("node"))).groupBy("tree_id", "rank").agg(
         F.first("score").alias("score"), F.sort_array(F.collect_list(turn)).alias("turns"))
@@ -125,7 +127,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICK).alias("text"))
     messages = keep(reply_chains(table.unionByName(extra)), "messages")
-    out = format_paths(messages, best_paths(messages))
+    out = keep(format_paths(messages, best_paths(messages)), "formatted")  # written: else it is made anew for each mark
     loss = masked_text(F.col("formatted"), F.col("mask"))
     read_back = out.select("tree_id", "formatted", loss.alias("loss"), parse(F.col("formatted")).alias("turns"))
     told = F.concat_ws("", F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))))
