@@ -28,12 +28,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alttree.llm import wordbytes as wb
+from alttree.llm.bitmaps import count_bitmaps, marked
 from alttree.llm.graph import Unions, components
 from alttree.llm.tables import keep, partitions, read, utf8
 
@@ -69,70 +69,15 @@ def sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     return out
 
 
-# Frequencies
-
-
-def _counted(p: Params, parts_log2: int):
-    """Tokens of many documents, sorted, cut to their first bytes and packed by range of the hash."""
-
-    def pack(tokens: list[np.ndarray]) -> pa.RecordBatch:
-        t = np.sort(np.concatenate(tokens))
-        cut = np.searchsorted(t >> np.uint64(64 - parts_log2), np.arange(2**parts_log2 + 1))
-        raw = np.ascontiguousarray(t.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :p.count_bytes])
-        rows = [(k, raw[a:b].tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "tokens"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for _, _, raw, offsets in wb.slices(batch.column("text")):
-                held += sets(raw, offsets, p.width)
-                size = sum(map(len, held))
-                if size > 4_000_000:
-                    yield pack(held)
-                    held, size = [], 0
-        if held:
-            yield pack(held)
-
-    return run
-
-
-def _bitmaps(p: Params, parts_log2: int):
-    """A part's stretch of the two bitmaps."""
-    width = p.bitmap_bits - parts_log2
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        raw = np.frombuffer(b"".join(f["tokens"]), np.uint8).reshape(-1, p.count_bytes)
-        full = np.zeros((len(raw), 8), np.uint8)
-        full[:, :p.count_bytes] = raw
-        t, n = np.unique(full.view(">u8").ravel().astype(np.uint64), return_counts=True)
-        bit = (t >> np.uint64(64 - p.bitmap_bits)).astype(np.int64) & ((1 << width) - 1)
-        out = {}
-        for name, least in (("twice", 2), ("frequent", p.frequent + 1)):
-            marks = np.zeros(1 << width, bool)
-            marks[bit[n >= least]] = True
-            out[name] = [np.packbits(marks, bitorder="little").tobytes()]
-        return pd.DataFrame({"part": [f["part"].iloc[0]]} | out)
-
-    return run
+def frequency_bitmaps(docs: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of tokens in two documents or more and in more than p.frequent."""
 
+    def tokens(column: pa.Array) -> Iterator[np.ndarray]:
+        for _, _, raw, offsets in wb.slices(column):
+            yield from sets(raw, offsets, p.width)
 
-def frequency_bitmaps(docs: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of tokens in two documents or more and in more than p.frequent: 2^bitmap_bits bits each, on the driver."""
-    log2 = min(p.bitmap_bits - 3, max(4, (2 * partitions(docs.sparkSession) - 1).bit_length()))
-    counted = docs.select(utf8().alias("text")).mapInArrow(_counted(p, log2), "part int, tokens binary")
-    rows = counted.groupBy("part").applyInPandas(_bitmaps(p, log2), "part int, twice binary, frequent binary").collect()
-    size = (1 << p.bitmap_bits - log2) // 8
-    maps = np.zeros((2, 1 << log2, size), np.uint8)
-    for r in rows:
-        for k, data in enumerate((r.twice, r.frequent)):
-            maps[k, r.part] = np.frombuffer(bytes(data), np.uint8)
-    return maps[0].ravel(), maps[1].ravel()
-
-
-def marked(bitmap: np.ndarray, tokens: np.ndarray, bits: int) -> np.ndarray:
-    at = (tokens >> np.uint64(64 - bits)).astype(np.int64)
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    twice, frequent = count_bitmaps(docs.select(utf8().alias("text")), tokens, [2, p.frequent + 1], p.bitmap_bits, p.count_bytes)
+    return twice, frequent
 
 
 # Keys
