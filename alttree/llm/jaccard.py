@@ -320,9 +320,9 @@ def one_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The documents with one left of each group of linked ones, the one with the smallest doc_id."""
     rows = keep(classes(docs, p), "classes")
     out = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("first"))
-    stay = out.select(F.col("first.doc_id").alias("_id"), F.col("first.node").alias("_node")).unionByName(
-        rows.where(F.col("class").isNull()).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (node_of() == F.col("_node"))
+    stay = out.select(F.col("first.doc_id").alias("__llm_id"), F.col("first.node").alias("__llm_node")).unionByName(
+        rows.where(F.col("class").isNull()).select(F.col("doc_id").alias("__llm_id"), F.col("node").alias("__llm_node"))).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (node_of() == F.col("__llm_node"))
     return docs.join(stay, same, "left_semi").dropDuplicates()
 
 

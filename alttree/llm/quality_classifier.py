@@ -184,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     """labels: doc_id and label (0 or 1). At most p.sample of them are learned from."""
     chosen = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "label").orderBy(
         F.xxhash64("doc_id"), "doc_id", "label").limit(p.sample)
-    rows = docs.join(F.broadcast(chosen), "doc_id").withColumn("place", F.xxhash64("doc_id"))
+    known = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    rows = docs.select(*known).join(F.broadcast(chosen), "doc_id").withColumn("place", F.xxhash64("doc_id"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(r, f) for r, f in _batch_features(batches, p.buckets)]
@@ -228,8 +229,8 @@ def select_good(docs: DataFrame, labels: DataFrame, p: Params = Params(), learn_
     """The documents scored at least p.good, with all their columns."""
     model = train(docs if learn_from is None else learn_from, labels, p)
     good = score(docs, model, p).where(F.col("score") >= p.good).select(
-        F.col("doc_id").alias("_id"), F.col("content").alias("_content")).dropDuplicates()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_content"))
+        F.col("doc_id").alias("__llm_id"), F.col("content").alias("__llm_content")).dropDuplicates()
+    same = F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__llm_content"))
     return docs.join(good, same, "left_semi")
 
 

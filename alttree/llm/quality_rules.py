@@ -148,7 +148,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the lines whose normalised hash is in the row's list."""
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        texts, lists = batch.column(at).to_pylist(), batch.column("_removed").to_pylist()
+        texts, lists = batch.column(at).to_pylist(), batch.column("__llm_removed").to_pylist()
         for i, drop in enumerate(lists):
             if drop:
                 lines, gone = texts[i].split("\n"), set(drop)
@@ -169,11 +169,11 @@ def _line_hash(line: str) -> int | None:
 def apply(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The kept documents with all their columns, texts without the lines above the limits."""
     verdict = judge(docs, limits).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.col("removed_lines").alias("_removed")
-    ).dropDuplicates(["_id", "_content"])
+        F.col("doc_id").alias("__llm_id"), F.col("content").alias("__llm_content"), F.col("removed_lines").alias("__llm_removed")
+    ).dropDuplicates(["__llm_id", "__llm_content"])
     content = F.xxhash64(F.coalesce("text", F.lit("")))
-    kept = docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("_id")) & (content == F.col("_content")))
-    return kept.select(*docs.columns, "_removed").mapInArrow(_without, docs.schema)
+    kept = docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (content == F.col("__llm_content")))
+    return kept.select(*docs.columns, "__llm_removed").mapInArrow(_without, docs.schema)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

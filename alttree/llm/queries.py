@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from alttree.llm import bpe, chat, jaccard, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
+from alttree.llm import bpe, chat, jaccard, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter, vector_dedup
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     "op2_chat_format": chat.op2_chat_format,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op4_vector_dedup": vector_dedup.op4_vector_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_sharding": sharding.op6_sharding,
     "op7_quality_rules": quality_rules.op7_quality_rules,

@@ -239,14 +239,14 @@ def kept_bytes(raw: np.ndarray, whole: bool | None, spans: list[dict] | None, th
 
 
 def _applied(docs: DataFrame, p: Params) -> DataFrame:
-    keyed = docs.withColumns({f"_{c}": k for c, k in zip(KEY, text_key(), strict=True)})
-    found = repeats(docs, p).select(*(F.col(c).alias(f"_r{c}") for c in (*KEY, "doc_id")), F.col("whole").alias("_whole"), F.col("spans").alias("_spans"))
-    same = (F.col("_k1") == F.col("_rk1")) & (F.col("_k2") == F.col("_rk2")) & F.col("doc_id").eqNullSafe(F.col("_rdoc_id"))
+    keyed = docs.withColumns({f"__llm_{c}": k for c, k in zip(KEY, text_key(), strict=True)})
+    found = repeats(docs, p).select(*(F.col(c).alias(f"__llm_r{c}") for c in (*KEY, "doc_id")), F.col("whole").alias("__llm_whole"), F.col("spans").alias("__llm_spans"))
+    same = (F.col("__llm_k1") == F.col("__llm_rk1")) & (F.col("__llm_k2") == F.col("__llm_rk2")) & F.col("doc_id").eqNullSafe(F.col("__llm_rdoc_id"))
     return keyed.join(found, same, "left")
 
 
 def _marks(batch: pa.RecordBatch):
-    return zip(batch.column("_whole").to_pylist(), batch.column("_spans").to_pylist(), strict=True)
+    return zip(batch.column("__llm_whole").to_pylist(), batch.column("__llm_spans").to_pylist(), strict=True)
 
 
 def removal(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -266,7 +266,7 @@ def removal(docs: DataFrame, p: Params = Params()) -> DataFrame:
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _applied(docs.select("doc_id", "text"), p).select("doc_id", utf8().alias("_text"), "_whole", "_spans")
+    rows = _applied(docs.select("doc_id", "text"), p).select("doc_id", utf8().alias("_text"), "__llm_whole", "__llm_spans")
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -284,7 +284,7 @@ def without_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:-2])]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2])
 
-    return _applied(docs, p).select(*docs.columns, "_whole", "_spans").mapInArrow(run, docs.schema)
+    return _applied(docs, p).select(*docs.columns, "__llm_whole", "__llm_spans").mapInArrow(run, docs.schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

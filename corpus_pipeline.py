@@ -1,19 +1,46 @@
-"""The corpus pipeline: documents through quality rules and the stages after them, each stage's table written and reread."""
+"""The corpus pipeline: documents to packed sequences. Each stage's table is written and reread as the next one's documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alttree.llm import quality_rules
+from alttree.llm import jaccard, packing, quality_classifier, quality_rules, suffix_dedup
 from alttree.llm.tables import keep, read
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without the lines above the limits."""
     return quality_rules.apply(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts good."""
+    return quality_classifier.select_good(docs, quality_classifier.quality_labels(spark, sf_dir))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return jaccard.one_each(docs, jaccard.Params(width=5, percent=80))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 200-byte strings that also start elsewhere."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece: its sequence and place there."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", rules),
+    ("quality_classifier", classifier),
+    ("ngram_jaccard_join", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
+    ("best_fit_packing", pack),
+]
+#: SQL can express neither the fitted classifier nor the tokens; the tests run the stages against brute force.
 ORACLE_SQL = None
 
 
