@@ -1,7 +1,6 @@
 """Bitmaps of fixed size over 64-bit hashes: which hashes are counted often. Spark counts, tasks look up.
 
-Hashes travel sorted and cut to `count_bytes` bytes, packed by range of the hash, and are counted exactly on these
-bytes; clashes of shorter hashes and of bits only make a hash look more frequent than it is.
+Hashes travel sorted, cut to `count_bytes` bytes and as differences, packed by range of the hash, and are counted exactly; clashes of shorter hashes and of bits only make a hash look more frequent than it is.
 """
 
 from __future__ import annotations
@@ -15,15 +14,29 @@ from pyspark.sql import DataFrame
 
 from alttree.llm.tables import partitions
 
-HELD = 4_000_000  # hashes that a task holds before it packs them
+HELD = 2_000_000  # hashes that a task holds before it packs them
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Sorted numbers as the first and the differences, in as few bytes each as the largest needs."""
+    steps = np.diff(numbers)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + numbers[:1].astype("<u8").tobytes() + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[0])
+    full = np.zeros((len(raw) + 1, 8), np.uint8)
+    full[0] = np.frombuffer(data, np.uint8, 8, 1)
+    full[1:, :data[0]] = raw
+    return np.cumsum(full.view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
 def _packed(hashes: Callable[[pa.Array], Iterator[np.ndarray]], parts_log2: int, count_bytes: int):
     def pack(held: list[np.ndarray]) -> pa.RecordBatch:
-        t = np.sort(np.concatenate(held))
-        cut = np.searchsorted(t >> np.uint64(64 - parts_log2), np.arange(2**parts_log2 + 1))
-        raw = np.ascontiguousarray(t.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :count_bytes])
-        rows = [(k, raw[a:b].tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        t = np.sort(np.concatenate(held) >> np.uint64(64 - 8 * count_bytes))
+        cut = np.searchsorted(t >> np.uint64(8 * count_bytes - parts_log2), np.arange(2**parts_log2 + 1))
+        rows = [(k, packed(t[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,11 +59,8 @@ def _stretch(leasts: list[int], bits: int, parts_log2: int, count_bytes: int):
     width = bits - parts_log2
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        raw = np.frombuffer(b"".join(f["hashes"]), np.uint8).reshape(-1, count_bytes)
-        full = np.zeros((len(raw), 8), np.uint8)
-        full[:, :count_bytes] = raw
-        t, n = np.unique(full.view(">u8").ravel().astype(np.uint64), return_counts=True)
-        bit = (t >> np.uint64(64 - bits)).astype(np.int64) & ((1 << width) - 1)
+        t, n = np.unique(np.concatenate([unpacked(b) for b in f["hashes"]]), return_counts=True)
+        bit = (t >> np.uint64(8 * count_bytes - bits)).astype(np.int64) & ((1 << width) - 1)
         maps = []
         for least in leasts:
             marks = np.zeros(1 << width, bool)

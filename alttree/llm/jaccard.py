@@ -10,7 +10,7 @@ size of the set; a set whose partners may have another number gives the keys of
 
 The documents of a key are candidates of each other. Keys are grouped by their smallest document, the hub, so that the
 many keys of a group of near copies are one block, and blocks are split by size. Their documents are compared all
-against all, tile by tile, inside tasks: first by sketches, a fixed quarter of each set, which rule out most for
+against all, tile by tile, inside tasks: first by sketches, a fixed eighth of each set, which rule out most for
 certain, then by whole sets. Tasks give a forest of the links, never pairs. No candidate is left out.
 
 The frequencies are counted exactly, on a prefix of `count_bytes` bytes of the token's hash. What tasks need to know of
@@ -116,7 +116,7 @@ def keys(tokens: np.ndarray, frequent: np.ndarray, p: Params) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-SKETCH = 4  # a sketch holds the tokens whose hash is 0 modulo this, cut to 32 bits
+SKETCH = 8  # a sketch holds the tokens whose hash is 0 modulo this, cut to 32 bits
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -188,9 +188,7 @@ def tiled(members: DataFrame) -> DataFrame:
 def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[dict[str, list]]:
     """Columns of each run of equal values in sorted batches."""
     held, last = None, None
-    for batch in batches:
-        if not len(batch):
-            continue
+    for batch in (b.slice(at, 256) for b in batches for at in range(0, len(b), 256)):
         columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
         marks = list(zip(*(columns[c] for c in by), strict=True))
         start = 0
@@ -280,16 +278,25 @@ def _linked(p: Params):
     return run
 
 
-def _sets_of(p: Params):
+def _sets_of(p: Params, shared):
+    """Whole sets of the rows whose node is marked in a bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            nodes = batch.column("node").to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(marked(shared.value, node_bits(nodes), p.bitmap_bits)))
             for first, last, raw, offsets in wb.slices(batch.column("text")):
                 got = [t.astype("<u8").tobytes() for t in sets(raw, offsets, p.width)]
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, last - first), pa.array(got, pa.binary())], ["node", "tokens"])
+                rows = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("doc_id"), pa.array(got, pa.binary())], ["node", "doc_id", "tokens"])
 
     return run
 
 
+def node_bits(nodes: np.ndarray) -> np.ndarray:
+    return wb.mixed(nodes.astype(np.int64).view(np.uint64))
+
+
 def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, node, n_shingles, class) of each row: class is the same for documents that links connect, null for empty sets."""
     indexed = index(docs, *frequency_bitmaps(docs, p), p)
@@ -300,8 +307,13 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     near = keep(near, "hopeful")
     wanted = near.select("node").distinct().join(sketches.select("node", "doc_id"), "node")
     same = (F.col("d.node") == F.col("w.node")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
-    texts = docs.select("doc_id", node_of().alias("node"), utf8().alias("text")).alias("d").join(wanted.alias("w"), same, "left_semi")
-    tokens = keep(texts.select("node", "text").mapInArrow(_sets_of(p), "node long, tokens binary"), "sets").dropDuplicates(["node"])
+    wanted = keep(wanted, "wanted")
+    bitmap = count_bitmaps(wanted.select(F.col("node").alias("text")), lambda c: [node_bits(c.to_numpy(zero_copy_only=False))], [1], p.bitmap_bits)[0]
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # so that texts outside blocks are not shuffled
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", node_of().alias("node"), utf8().alias("text"))
+    some = texts.mapInArrow(_sets_of(p, shared), f"node long, doc_id {id_kind}, tokens binary").alias("d")
+    tokens = some.join(wanted.alias("w"), same, "left_semi").select("node", "tokens").dropDuplicates(["node"])
     ready = near.join(tokens, "node").repartition(partitions(docs.sparkSession), *PLACE).sortWithinPartitions(*PLACE)
     groups = components(ready.mapInArrow(_linked(p), "a long, b long")).withColumnRenamed("node", "member")
     return indexed.join(groups, F.col("node") == F.col("member"), "left").select(
@@ -322,8 +334,11 @@ def one_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
     out = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("first"))
     stay = out.select(F.col("first.doc_id").alias("__llm_id"), F.col("first.node").alias("__llm_node")).unionByName(
         rows.where(F.col("class").isNull()).select(F.col("doc_id").alias("__llm_id"), F.col("node").alias("__llm_node"))).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (node_of() == F.col("__llm_node"))
-    return docs.join(stay, same, "left_semi").dropDuplicates()
+    stay = stay.withColumn("__llm_key", F.xxhash64("__llm_id", "__llm_node"))
+    keyed = docs.withColumn("__llm_own", F.xxhash64(F.col("doc_id"), node_of()))
+    same = (F.col("__llm_own") == F.col("__llm_key")) & F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (node_of() == F.col("__llm_node"))
+    one = keyed.join(stay, same).dropDuplicates(["__llm_own", "__llm_id", "__llm_node"])  # repeated rows lie where the join put them
+    return one.select(*docs.columns)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([model.dump()])], ["model"])
 
     one = _inputs(rows, F.col("label").cast("double"), "place").coalesce(1).mapInArrow(learn, "model binary").collect()
-    return Model.load(bytes(one[0].model))
+    return Model.load(bytes(one[0].model)) if one else Model(0.5, *(np.zeros(0) for _ in range(4)))
 
 
 def score(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
