@@ -5,16 +5,16 @@ itself chooses: each stretch of `threshold` bytes (a window) has the `first`-byt
 as its anchor, and windows in a row with the same anchor make a run. Equal windows have equal anchors, so a run whose
 anchor string occurs once holds no repeat and drops out (ranks of the first `first` bytes, unique ones dropped).
 
-Of the rest, Spark sorts pairs of ranks at growing offsets: first each run with its anchor, then runs 1, 2, 4, ... runs
-apart, reranking the pairs that occur twice and dropping unique ones, until a run's pair spans all bytes of its windows
-(past the threshold) or is unique. Runs with an equal rank at the end repeat as a whole. Runs that are unique as a whole
-may repeat in part, at the edge of a common passage: for these and one run of each equal rank that shares their anchor,
-the last doubling is done for each window, on pairs of the hashes of its first and last `first` bytes.
-
-Copies of a text are ranked once; they repeat as a whole. Null texts count as empty. Texts under the threshold keep
-everything and take nothing from others. Rows are judged as they are, and rows that repeat a document count as copies.
-Offsets are in bytes of UTF-8; where a kept text is wanted, characters cut apart are left out. Other columns are
-carried along by `without_repeats` and not read.
+Of the rest, Spark sorts pairs of ranks at growing offsets and reranks those that occur twice: the anchor with the
+`first` bytes from the run's start, then their rank with the `first` bytes up to its end, which together are past the
+threshold and span all bytes of the run's windows. Runs with an equal rank at the end repeat as a whole. Runs that are
+unique as a whole may repeat in part, at the edge of a common passage: for these and one run of each equal rank that
+shares their anchor, the last doubling is done for each window, on pairs of the ranks of its first and last bytes.
+
+Null texts count as empty. Texts under the threshold keep everything and take nothing from others. Rows are judged as
+they are, and rows that repeat a document are copies of it. Runs of a text that are equal, as in one repeated phrase,
+are one row with many places. Offsets are in bytes of UTF-8; where a kept text is wanted, characters cut apart are left
+out. Other columns are carried along by `without_repeats` and not read.
 """
 
 from __future__ import annotations
@@ -31,15 +31,17 @@ from pyspark.sql.window import Window
 
 from alttree.llm import wordbytes as wb
 from alttree.llm.bitmaps import marked, twice_bitmap
-from alttree.llm.tables import keep, read, utf8
+from alttree.llm.tables import forget, keep, read, utf8
 
 KEY = ["k1", "k2"]
 
 
 @dataclass(frozen=True)
 class Params:
+    """`first` is at least half the threshold. A larger one makes more and shorter runs, and fewer windows at their edges."""
+
     threshold: int = 200
-    first: int = 128
+    first: int = 136
     bitmap_bits: int = 26
 
 
@@ -96,70 +98,49 @@ def _names(p: Params):
     return of
 
 
-RUNS = [("j", pa.int32()), ("lo", pa.int64()), ("w", pa.int32()), ("m", pa.int32()), ("name", pa.int64()), ("token", pa.int64())]
+RUNS = "los array<long>, w int, lead int, name long, left long, right long"
 
 
 def _candidates(p: Params, shared):
-    """Runs whose anchor occurs twice: number, first window, windows, runs that span all their bytes, anchor, own bytes.
-
-    The bytes after the last window are a run of no windows, so that spans reach the end of the text.
-    """
+    """Runs whose anchor occurs twice: first windows of its equals in the text, windows, bytes before the anchor, and the
+    hashes of the anchor and of the first and last `first` bytes of all its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
         for batch in batches:
             raw, offsets = wb.column_bytes(batch.column("text"))
-            parts, of_row = [], []
-            for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-                r = runs(raw[a:b], p)
-                if r is None:
+            for at in range(0, len(batch), 1000):
+                parts = []
+                for k in range(at, min(at + 1000, len(batch))):
+                    r = runs(raw[offsets[k]:offsets[k + 1]], p)
+                    stay = np.flatnonzero(marked(bitmap, r.name, p.bitmap_bits)) if r is not None else ()
+                    if len(stay):
+                        lo, hi, end = r.first[stay], r.last[stay], r.last[stay] + p.threshold
+                        left, right = wb.stretch(r.sums, lo, lo + p.first), wb.stretch(r.sums, end - p.first, end)
+                        both = np.stack([np.full(len(lo), k), hi - lo + 1, r.anchor[stay] - lo, *(h.view(np.int64) for h in (r.name[stay], left, right)), lo])
+                        parts.append(both[:, np.lexsort(both[:-1])])
+                if not parts:
                     continue
-                stay = marked(bitmap, r.name, p.bitmap_bits)
-                if not stay.any():
-                    continue
-                edges = np.concatenate([r.first, [r.last[-1] + 1, b - a]])
-                span = np.searchsorted(edges, r.last + p.threshold) - np.arange(len(r.first))
-                token = wb.stretch(r.sums, edges[:-1], edges[1:])
-                token[:-1] = wb.mixed(token[:-1] + (r.anchor - r.first).astype(np.uint64))
-                n = len(r.first)
-                number = np.append(np.flatnonzero(stay), n)
-                parts.append((number, edges[:-1][number], np.append(r.last - r.first + 1, 0)[number], np.append(span, 0)[number],
-                              np.append(r.name, np.uint64(0))[number].view(np.int64), token[number].view(np.int64)))
-                of_row.append(np.full(len(number), k))
-            if parts:
-                rows = pa.array(np.concatenate(of_row))
-                columns = [batch.column(c).take(rows) for c in (*KEY, "doc_id")]
-                columns += [pa.array(np.concatenate([x[k] for x in parts])).cast(kind) for k, (_, kind) in enumerate(RUNS)]
-                yield pa.RecordBatch.from_arrays(columns, [*KEY, "doc_id", *(c for c, _ in RUNS)])
+                rows = np.concatenate(parts, axis=1)
+                new = np.ones(rows.shape[1], bool)
+                new[1:] = (rows[:-1, 1:] != rows[:-1, :-1]).any(0)
+                first = np.flatnonzero(new)
+                one = rows[:, first]
+                columns = [batch.column(c).take(pa.array(one[0])) for c in (*KEY, "doc_id")]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(first, rows.shape[1]), pa.int32()), pa.array(rows[-1])))
+                columns += [pa.array(one[1].astype(np.int32)), pa.array(one[2].astype(np.int32)), *(pa.array(x) for x in one[3:6])]
+                yield pa.RecordBatch.from_arrays(columns, [*KEY, "doc_id", "los", "w", "lead", "name", "left", "right"])
 
     return run
 
 
-def rerank(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Sort the combinations of `by` that occur twice or more and number them: `rank`. Rows of unique ones drop out."""
-    again = pairs.groupBy(*by).count().where("count > 1").select(*by).orderBy(*by)
-    ranks = keep(again.withColumn("new", F.monotonically_increasing_id()), "ranks")
-    return pairs.join(ranks, by).drop(*by).withColumnRenamed("new", "rank")
-
-
-def whole_repeats(positions: DataFrame) -> DataFrame:
-    """(k1, k2, j, class): the runs that repeat as a whole; equal ones have an equal class."""
-    pos = keep(rerank(positions.select(*KEY, "j", "m", "name", "token"), ["name", "token"]), "pos")
-    most = pos.agg(F.max("m")).first()[0] or 0
-    offset, done = 1, []
-    while True:
-        at = pos.select(*KEY, F.col("j").alias("to"), F.col("rank").alias("next"))
-        last = pos.where((F.col("m") > offset) & (F.col("m") <= 2 * offset)).withColumn("to", F.col("j") + F.col("m") - offset)
-        equal = rerank(last.join(at, [*KEY, "to"]).withColumn("m2", F.col("m")).drop("to", "m"), ["rank", "next", "m2"])
-        done.append(equal.select(*KEY, "j", (F.col("rank") * 64 + int(offset).bit_length()).alias("class")))
-        if 2 * offset >= most:
-            break
-        step = pos.withColumn("to", F.col("j") + offset).join(at, [*KEY, "to"]).drop("to")
-        pos = keep(rerank(step, ["rank", "next"]), "pos")
-        offset *= 2
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
+def rerank(positions: DataFrame, pair: list[str], rank: str) -> DataFrame:
+    """Sort the combinations of `pair` that occur twice or more and number them. Unique ones have no rank."""
+    again = positions.where(" AND ".join(f"`{c}` IS NOT NULL" for c in pair)).groupBy(*pair).agg(F.sum(F.size("los")).alias("n"))
+    ranks = keep(again.where("n > 1").select(*pair).orderBy(*pair).withColumn(rank, F.monotonically_increasing_id()), "ranks")
+    out = keep(positions.join(ranks, pair, "left"), "ranked")
+    forget(ranks)
+    forget(positions)
     return out
 
 
@@ -189,66 +170,50 @@ def _same_text(left: str, right: str) -> Column:
 
 
 def repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(k1, k2, doc_id, whole, spans) of texts with a repeat: whole, or stretches of windows (lo, w) that repeat."""
+    """(k1, k2, doc_id, spans) of texts with a repeat: stretches of w windows from each of los on that repeat."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(*text_key(), "doc_id", utf8().alias("text"))
-    shared = spark.sparkContext.broadcast(twice_bitmap(texts.select("text"), _names(p), p.bitmap_bits))
-    schema = f"k1 long, k2 int, doc_id {kind}, j int, lo long, w int, m int, name long, token long"
-    found = texts.mapInArrow(_candidates(p, shared), schema)
-    names = [c for c, _ in RUNS]
-    positions = keep(found.groupBy(*KEY, *names).agg(F.min("doc_id").alias("doc_id")), "positions")
-    state = keep(positions.where("w > 0").join(whole_repeats(positions), [*KEY, "j"], "left").select(
-        *KEY, "doc_id", "j", "lo", "w", "name", "class"), "state")
+    shared = spark.sparkContext.broadcast(twice_bitmap(texts.select("text"), _names(p), p.bitmap_bits))  # of fixed size
+    positions = keep(texts.mapInArrow(_candidates(p, shared), f"k1 long, k2 int, doc_id {kind}, {RUNS}"), "positions")
+    state = rerank(rerank(positions, ["name", "lead", "left"], "half"), ["half", "w", "right"], "class")
 
     unique = state.where(F.col("class").isNull())
-    run = F.struct(*KEY, "j", "doc_id", "lo", "w")
+    run = F.struct(*KEY, F.element_at("los", 1).alias("lo"), "w", "doc_id")
     one = state.where(F.col("class").isNotNull()).join(unique.select("name").distinct(), "name", "left_semi").groupBy("name", "class").agg(
         F.min(run).alias("r")).select("name", "r.*")
-    edge = unique.select("name", *KEY, "j", "doc_id", "lo", "w").unionByName(one)
+    edge = unique.select("name", run.alias("r")).select("name", "r.*").unionByName(one)
     shared_name = edge.groupBy("name").count().where("count > 1").select("name")
     edge = keep(edge.join(shared_name, "name").select(F.monotonically_increasing_id().alias("run"), *KEY, "doc_id", "lo", "w"), "edge")
     per_text = edge.groupBy(*KEY, "doc_id").agg(F.collect_list(F.struct("run", "lo", "w")).alias("parts"))
     asked = texts.alias("t").join(per_text.alias("e"), _same_text("t", "e")).select("t.text", "e.parts")
     windows = asked.mapInArrow(_edge_windows(p), "a long, b long, run long, off int")
     again = windows.withColumn("n", F.count("*").over(Window.partitionBy("a", "b"))).where("n > 1")
-    hits = again.groupBy("run").agg(F.collect_set("off").alias("offs")).join(edge, "run").select(
-        *KEY, "doc_id", F.explode("offs").alias("off"), "lo").select(*KEY, "doc_id", (F.col("lo") + F.col("off")).alias("lo"), F.lit(1).alias("w"))
-
-    ids = docs.select(*text_key(), "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
-    copied = ids.groupBy(*KEY).agg(F.count("*").alias("c"), F.max("n").alias("n")).where((F.col("c") > 1) & (F.col("n") >= p.threshold))
-    whole = ids.select(*KEY, "doc_id").distinct().join(copied.select(*KEY), KEY).select(
-        *KEY, "doc_id", F.lit(True).alias("whole"), F.lit(None).cast("struct<lo:bigint,w:int>").alias("span"))
-    parts = state.where(F.col("class").isNotNull()).select(*KEY, "doc_id", "lo", "w").unionByName(hits).select(
-        *KEY, "doc_id", F.lit(False).alias("whole"), F.struct("lo", "w").alias("span"))
-    return whole.unionByName(parts).groupBy(*KEY, "doc_id").agg(
-        F.max("whole").alias("whole"), F.collect_list("span").alias("spans"))
+    hits = again.groupBy("run").agg(F.collect_set(F.col("off").cast("long")).alias("offs")).join(edge, "run").select(
+        *KEY, "doc_id", F.transform("offs", lambda o: o + F.col("lo")).alias("los"), F.lit(1).alias("w"))
+    parts = state.where(F.col("class").isNotNull()).select(*KEY, "doc_id", "los", "w").unionByName(hits)
+    return parts.groupBy(*KEY, "doc_id").agg(F.collect_list(F.struct("los", "w")).alias("spans"))
 
 
-def kept_bytes(raw: np.ndarray, whole: bool | None, spans: list[dict] | None, threshold: int) -> tuple[np.ndarray, int]:
+def kept_bytes(raw: np.ndarray, spans: list[dict] | None, threshold: int) -> tuple[np.ndarray, int]:
     """What is left of a text, and the number of stretches taken out."""
-    n = len(raw)
-    if whole:
-        return raw[:0], 1
     if not spans:
         return raw, 0
-    lo, w = np.array([s["lo"] for s in spans]), np.array([s["w"] for s in spans])
-    edge = np.bincount(lo, minlength=n + 1)[:n + 1] - np.bincount(lo + w + threshold - 1, minlength=n + 1)[:n + 1]
+    n = len(raw)
+    lo = np.concatenate([np.array(s["los"], np.int64) for s in spans])
+    end = lo + np.repeat([s["w"] for s in spans], [len(s["los"]) for s in spans]) + threshold - 1
+    edge = np.bincount(lo, minlength=n + 1) - np.bincount(end, minlength=n + 1)
     gone = np.cumsum(edge)[:n] > 0
     return raw[~gone], int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
 
 
 def _applied(docs: DataFrame, p: Params) -> DataFrame:
     keyed = docs.withColumns({f"__llm_{c}": k for c, k in zip(KEY, text_key(), strict=True)})
-    found = repeats(docs, p).select(*(F.col(c).alias(f"__llm_r{c}") for c in (*KEY, "doc_id")), F.col("whole").alias("__llm_whole"), F.col("spans").alias("__llm_spans"))
+    found = repeats(docs, p).select(*(F.col(c).alias(f"__llm_r{c}") for c in (*KEY, "doc_id")), F.col("spans").alias("__llm_spans"))
     same = (F.col("__llm_k1") == F.col("__llm_rk1")) & (F.col("__llm_k2") == F.col("__llm_rk2")) & F.col("doc_id").eqNullSafe(F.col("__llm_rdoc_id"))
     return keyed.join(found, same, "left")
 
 
-def _marks(batch: pa.RecordBatch):
-    return zip(batch.column("__llm_whole").to_pylist(), batch.column("__llm_spans").to_pylist(), strict=True)
-
-
 def removal(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -257,16 +222,16 @@ def removal(docs: DataFrame, p: Params = Params()) -> DataFrame:
         for batch in batches:
             raw, offsets = wb.column_bytes(batch.column("_text"))
             out = []
-            for k, (whole, spans) in enumerate(_marks(batch)):
+            for k, spans in enumerate(batch.column("__llm_spans").to_pylist()):
                 text = raw[offsets[k]:offsets[k + 1]]
-                left, count = kept_bytes(text, whole, spans, p.threshold)
+                left, count = kept_bytes(text, spans, p.threshold)
                 out.append((len(text), len(text) - len(left), count, hashlib.sha256(left.tobytes()).hexdigest()))
             n, gone, spans, digest = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _applied(docs.select("doc_id", "text"), p).select("doc_id", utf8().alias("_text"), "__llm_whole", "__llm_spans")
+    rows = _applied(docs.select("doc_id", "text"), p).select("doc_id", utf8().alias("_text"), "__llm_spans")
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -278,13 +243,13 @@ def without_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
             raw, offsets = wb.column_bytes(batch.column("text"))
             at = batch.schema.get_field_index("text")
             texts = []
-            for k, (whole, spans) in enumerate(_marks(batch)):
-                left, count = kept_bytes(raw[offsets[k]:offsets[k + 1]], whole, spans, p.threshold)
+            for k, spans in enumerate(batch.column("__llm_spans").to_pylist()):
+                left, count = kept_bytes(raw[offsets[k]:offsets[k + 1]], spans, p.threshold)
                 texts.append(left.tobytes().decode("utf-8", "ignore") if count else batch.column(at)[k].as_py())
-            columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:-2])]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2])
+            columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return _applied(docs, p).select(*docs.columns, "__llm_whole", "__llm_spans").mapInArrow(run, docs.schema)
+    return _applied(docs, p).select(*docs.columns, "__llm_spans").mapInArrow(run, docs.schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
