@@ -16,8 +16,11 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
+import struct
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Generic, TypeVar
 
 import numpy as np
 import pandas as pd
@@ -27,9 +30,21 @@ from pyspark.sql import functions as F
 
 from alttree.llm.tables import keep, partitions, read, utf8
 
+K = TypeVar("K")
 LONG = 4096
-CACHE = 200_000
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
+CACHE = 400_000  # words of a cache generation, and pieces
+
+
+def _latin(kinds: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(0x21, 0x250) if unicodedata.category(chr(c))[0] in kinds)
+
+
+# Characters below U+0250 need no normalisation but lower case, so their pieces are found without the library.
+LATIN = re.compile(f"[{_latin('LNPS')}]*")
+LATIN_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_latin('L')}]+|[{_latin('N')}]|[{_latin('PS')}]+")
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: The byte-level alphabet: shown bytes as they are, the others from U+0100 on.
+BYTE_LETTERS = {b: b for b in _SHOWN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -38,14 +53,35 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@dataclass(frozen=True)
+@dataclass
 class Item:
     """Part of a text in order: ready ids, or the leaves of one long piece (its symbols, still to be encoded)."""
 
-    ids: list[int]
+    ids: bytes
     leaves: list[str]
 
 
+class Recent(Generic[K]):
+    """A function's values for the keys seen lately: two generations of CACHE keys at most."""
+
+    def __init__(self, make: Callable[[K], bytes]):
+        self.make, self.new, self.old = make, {}, {}
+
+    def all(self, keys: list[K]) -> list[bytes]:
+        got = list(map(self.new.get, keys))
+        if None in got:
+            for k, found in enumerate(got):
+                if found is None:
+                    key = keys[k]
+                    found = self.old.get(key)
+                    if found is None:
+                        found = self.make(key)
+                    if len(self.new) >= CACHE:
+                        self.old, self.new = self.new, {}
+                    got[k] = self.new[key] = found
+        return got
+
+
 class Encoder:
     """The library's encoding, word by word, with a bounded cache."""
 
@@ -62,56 +98,53 @@ class Encoder:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["merges"])
         self.ranks = {tuple(m): k for k, m in enumerate(pairs)}
         self.vocab, self.suffix = spec["vocab"], spec.get("end_of_word_suffix") or ""
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces, self.words = Recent(self._piece), Recent(self._word)
 
     def token(self, i: int) -> str:
         return self.tokenizer.id_to_token(i)
 
     def split(self, text: str) -> list[str]:
         """Pieces of a stretch without special tokens, in the model's symbols."""
-        if text.isascii() and text.isprintable():
-            return ASCII_PIECES.findall(text.lower())
+        low = text.lower()
+        if LATIN.fullmatch(low):
+            pieces = LATIN_PIECES.findall(low)
+            return pieces if low.isascii() else [p.encode().decode("latin-1").translate(BYTE_LETTERS) for p in pieces]
         normal = self.tokenizer.normalizer.normalize_str(text)
         return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(piece)]
-        return ids
+    def _piece(self, piece: str) -> bytes:
+        return ids_bytes([t.id for t in self.model.tokenize(piece)])
 
-    def word(self, word: bytes) -> list[int]:
+    def _word(self, word: bytes) -> bytes:
         """Ids of a stretch without ASCII white space."""
         text = word.decode("utf-8", "replace")
         if "<|" in text and self.special.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return [i for p in self.split(text) for i in self.piece(p)]
+            return ids_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(self.pieces.all(self.split(text)))
 
     def items(self, words: list[bytes]) -> list[Item]:
         """A text's words in order, long pieces as leaves."""
-        out = [Item([], [])]
+        out: list[Item] = []
 
-        def ready(ids: list[int]) -> None:
-            if out[-1].leaves:
-                out.append(Item([], []))
-            out[-1].ids.extend(ids)
+        def ready(ids: bytes) -> None:
+            if not out or out[-1].leaves:
+                out.append(Item(b"", []))
+            out[-1].ids += ids
 
         for w in words:
             if len(w) <= self.long:
-                ready(self.word(w))
+                ready(self.words.all([w])[0])
                 continue
             text = w.decode("utf-8", "replace")
             at = 0
             for m in [*self.special.finditer(text), None]:
                 for p in self.split(text[at:m.start() if m else len(text)]):
                     if len(p) <= self.long:
-                        ready(self.piece(p))
+                        ready(self.pieces.all([p])[0])
                     else:
-                        out.append(Item([], [p[k:k + self.long] for k in range(0, len(p), self.long)]))
+                        out.append(Item(b"", [p[k:k + self.long] for k in range(0, len(p), self.long)]))
                 if m:
-                    ready([self.tokenizer.token_to_id(m.group())])
+                    ready(ids_bytes([self.tokenizer.token_to_id(m.group())]))
                     at = m.end()
         return out
 
@@ -167,24 +200,17 @@ def encoder(path: str, long: int = LONG) -> Encoder:
 
 
 def ids_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def word_ids(texts: pa.Array, enc: Encoder, cache: dict[bytes, bytes]) -> Iterator[bytes | list[Item]]:
+def word_ids(texts: pa.Array, enc: Encoder) -> Iterator[bytes | list[Item]]:
     """Per text its ids as little-endian 32-bit numbers, or its items where it has a long unsplit stretch."""
     for value in texts:
         words = value.as_py().split()
         if words and max(map(len, words)) > enc.long:
             yield enc.items(words)
-            continue
-        got = list(map(cache.get, words))
-        if None in got:
-            for k, w in enumerate(words):
-                if got[k] is None:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    got[k] = cache[w] = ids_bytes(enc.word(w))
-        yield b"".join(got)
+        else:
+            yield b"".join(enc.words.all(words))
 
 
 def column_names(schema: str) -> list[str]:
@@ -204,13 +230,13 @@ def encode(docs: DataFrame, path: str | None = None, long: int = LONG, finish=No
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, cache = encoder(path, long), {}
+        enc = encoder(path, long)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 rows = batch.slice(at, 512)
-                got = list(word_ids(rows.column("text"), enc, cache))
+                got = list(word_ids(rows.column("text"), enc))
                 ids = [g if isinstance(g, bytes) else b"" for g in got]
-                items = [None if isinstance(g, bytes) else [{"ids": ids_bytes(i.ids), "leaves": i.leaves} for i in g] for g in got]
+                items = [None if isinstance(g, bytes) else [{"ids": i.ids, "leaves": i.leaves} for i in g] for g in got]
                 columns = [rows.column("row_id"), rows.column("doc_id"), pa.array(items, ITEMS), *finish(enc, ids)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
