@@ -39,21 +39,23 @@ def unescape(text: Column) -> Column:
 
 
 def jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Tables r = 0, 1, ... of (tree_id, node, up, score): the message 2^r replies above, null beyond the root, and the
-    score summed on the way; and the last table's rows that met a root, whose score is that of the path from it."""
+    """Tables r = 0, 1, ... of (tree_id, node, up, score), the message 2^r replies above of those that have one and the
+    score summed on the way; and (tree_id, node, score) of all messages under a root, scores summed from the root."""
     nodes = messages.select("tree_id", F.col("node_id").alias("node"), "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("tree_id").alias("t"), F.col("node").alias("up"))
     held = F.col("t").eqNullSafe(F.col("tree_id")) & (F.col("up") == F.col("parent_id"))
-    tables = [keep(nodes.join(known, held, "left").select("tree_id", "node", "up", "score"), "jump")]
-    rounds = max(1, messages.count()).bit_length()
-    while len(tables) <= rounds and not tables[-1].where(F.col("up").isNotNull()).isEmpty():
-        last = tables[-1]
-        above = last.select(F.col("tree_id").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("score").alias("more"))
+    step = keep(nodes.join(known, held, "left").select("tree_id", "node", "up", "score"), "jump")
+    tables, rooted = [], None
+    for _ in range(max(1, messages.count()).bit_length() + 1):
+        ended, rest = step.where(F.col("up").isNull()), step.where(F.col("up").isNotNull())
+        rooted = ended if rooted is None else rooted.unionByName(ended)
+        if rest.isEmpty():
+            break
+        tables.append(rest)  # only messages that have not met their root yet go on
+        above = rooted.unionByName(rest).select(F.col("tree_id").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("score").alias("more"))
         met = F.col("t").eqNullSafe(F.col("tree_id")) & (F.col("n") == F.col("up"))
-        step = last.join(above, met, "left").select(
-            "tree_id", "node", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-        tables.append(keep(step, "jump"))
-    return tables[:-1], tables[-1].where(F.col("up").isNull()).drop("up")
+        step = keep(rest.join(above, met).select("tree_id", "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score")), "jump")
+    return tables, rooted.drop("up")
 
 
 def best_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
