@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alttree.functions.arrays import SPELLED_OUT, constant, cut_index, lower_bound
+from alttree.functions.arrays import SPELLED_OUT, constant, cut_index, let, lower_bound
 from alttree.operators.scan import prefix_scan, ranges_for
-from alttree.schema import THRESHOLDS
 from alttree.sources.store import settle
 
 
@@ -39,7 +38,8 @@ def thresholds(long: DataFrame, num_slices: int, buckets: int | None = None) ->
     """
     if num_slices < 1:
         raise ValueError("num_slices must be positive")
-    values = settle(distinct_values(long))
+    # NaN lies on no side of a cut
+    values = settle(distinct_values(long.withColumn("value", F.coalesce("value", F.lit(0.0))).where(~F.isnan("value"))))
     ranked = ranked_values(values, buckets or ranges_for(values))
     counts = values.groupBy("feature").agg(F.count("*").alias("n"))
     size = F.greatest(F.lit(1), F.floor(F.col("n") / num_slices))
@@ -86,9 +86,9 @@ def collect_thresholds(th: DataFrame) -> list[list[float]]:
     return [found.get(f, []) for f in range(max(found, default=-1) + 1)]
 
 
-def thresholds_df(spark: SparkSession, cuts: list[list[float]]) -> DataFrame:
-    rows = [(f, s, float(t)) for f, ts in enumerate(cuts) for s, t in enumerate(ts)]
-    return spark.createDataFrame(rows, THRESHOLDS)
+def binned_value(x: Column) -> Column:
+    """What a value counts as in slots: null is 0, and NaN, which passes every "at most" test, is below all cuts."""
+    return F.when(F.isnan(x), float("-inf")).otherwise(F.coalesce(x, F.lit(0.0)))
 
 
 def slot_of(x: Column, cuts: Column, max_size: int) -> Column:
@@ -97,14 +97,19 @@ def slot_of(x: Column, cuts: Column, max_size: int) -> Column:
 
 
 def bin_rows(rows: DataFrame, cuts: list[list[float]]) -> DataFrame:
-    """Add `bins`, the slot of every feature of a dense row."""
+    """Add `bins`, the slot of every feature that `cuts` lists; an absent or null value is 0.
+
+    Few cuts are spelled out as compiled conditions, more are walked; both give the same slots.
+    """
+    def value(f: Column) -> Column:
+        return binned_value(F.get("features", f))
+
     if sum(len(c) for c in cuts) <= SPELLED_OUT:
-        bins = F.array(*[cut_index(c, F.get("features", F.lit(f))).cast("smallint") for f, c in enumerate(cuts)])
+        bins = F.array(*[cut_index(c, value(F.lit(f))).cast("smallint") for f, c in enumerate(cuts)])
         return rows.withColumn("bins", bins)
     table = constant(cuts, "array<array<double>>")
     widest = max(len(c) for c in cuts)
-    empty = F.array().cast("array<double>")
-    bins = F.transform("features", lambda x, f: slot_of(x, F.coalesce(F.get(table, f), empty), widest).cast("smallint"))
+    bins = F.transform(table, lambda c, f: let(value(f), lambda x: slot_of(x, c, widest)).cast("smallint"))
     return rows.withColumn("bins", bins)
 
 
@@ -114,7 +119,7 @@ def bin_long(long: DataFrame, th: DataFrame, num_slices: int) -> DataFrame:
     empty = F.array().cast("array<double>")
     # one bounded array per feature
     joined = long.join(F.broadcast(cuts), "feature", "left")
-    slot = slot_of(F.col("value"), F.coalesce("cuts", empty), 2 * num_slices)
+    slot = slot_of(binned_value(F.col("value")), F.coalesce("cuts", empty), 2 * num_slices)
     return joined.withColumn("slot", slot).drop("cuts")
 
 

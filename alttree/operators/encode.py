@@ -70,21 +70,25 @@ def encode(
     seq: str = "seq",
     pairs: bool = False,
     on_unknown: str = "error",
-    min_length: int = MIN_LENGTH,
+    on_short: str = "keep",
 ) -> DataFrame:
     """One-hot rows (sorted ids in `nz`) from sequences.
 
-    Sequences shorter than `min_length` are left out. A letter outside the alphabet
-    fails the job ("error"), drops the row ("skip") or gives no feature ("null").
+    A sequence shorter than MIN_LENGTH keeps the features of the positions it has ("keep")
+    or fails the job ("error"); a null one has none. A letter outside the alphabet fails the
+    job ("error"), drops the row ("skip") or gives no feature ("null").
     """
-    if on_unknown not in ("error", "skip", "null"):
-        raise ValueError(f"on_unknown={on_unknown!r}")
-    rows = rows.where(F.length(seq) >= min_length)
-    win = let(F.col(seq), window_extract)
+    if on_unknown not in ("error", "skip", "null") or on_short not in ("keep", "error"):
+        raise ValueError(f"on_unknown={on_unknown!r}, on_short={on_short!r}")
+    letters = F.coalesce(seq, F.lit(""))
+    if on_short == "error":
+        letters = F.when(F.length(letters) < MIN_LENGTH, F.raise_error(F.lit(f"sequence shorter than {MIN_LENGTH}")).cast("string")).otherwise(letters)
+    win = let(letters, window_extract)
     if on_unknown == "skip":
         rows = rows.where(~has_unknown(win))
     if on_unknown == "error":
-        message = F.concat(F.lit("letter outside the alphabet in row "), F.col("row_id").cast("string"))
+        place = F.col("row_id").cast("string") if "row_id" in rows.columns else F.col(seq)
+        message = F.concat(F.lit("letter outside the alphabet in row "), place)
         win = let(win, lambda w: F.when(has_unknown(w), F.raise_error(message).cast("string")).otherwise(w))
     ids = let(letters_of(win), lambda ls: F.concat(single_ids(ls), pair_ids(ls)) if pairs else single_ids(ls))
     return rows.withColumn("nz", F.array_sort(F.array_compact(ids))).drop(seq)

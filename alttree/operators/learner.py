@@ -15,6 +15,7 @@ from alttree.functions.exprs import EPS, boost_loss, check, class_sums, safe_log
 from alttree.operators.scoring import feature_block, layout
 from alttree.operators.state import node_totals
 from alttree.schema import Candidate, Node
+from alttree.sources.store import settle
 
 LossFn = Callable[[Column, Column, Column], Column]
 
@@ -156,6 +157,7 @@ def best_per_feature(scored: DataFrame) -> DataFrame:
 def top_k(best: DataFrame, k: int) -> DataFrame:
     """The k best splits overall; k <= 0 takes the best tenth, rounded up."""
     if k <= 0:
+        best = settle(best)  # counted and sorted: computed once
         k = math.ceil(0.1 * best.count())
     return best.orderBy(F.round("z", SCORE_DIGITS), *TIE_ORDER).limit(k)
 

@@ -18,8 +18,11 @@ from alttree.sources.store import settle
 
 TRAIN_PORTION = 0.75
 
-# Multiplier, increment and modulus of the arithmetic row hash.
-HASH_MUL, HASH_ADD, HASH_MOD = 1103515245, 12345, 2147483648
+# Factors of key, copy and seed, the two mixing factors and the modulus of the arithmetic row hash.
+HASH_MUL, HASH_ADD, HASH_SEED, HASH_MOD = 1103515245, 12345, 1540483477, 2147483648
+# Keeps a split apart from a sample drawn with the same seed.
+SPLIT_SEED = 1000003
+HASH_MIX = ((15, 739982445), (12, 695872825))
 
 
 def importance_weights(pool: DataFrame, nodes: list[Node], weight_fn: str | WeightFn = "adaboost") -> DataFrame:
@@ -124,11 +127,17 @@ def systematic_sample(pool: DataFrame, weighted: DataFrame, plan: SamplePlan, ba
 
 
 def row_hash(key: Column | str, copy: Column | int = 1, seed: int = 0) -> Column:
-    """Arithmetic hash of (key, copy, seed) in [0, 2^31)."""
+    """Arithmetic hash of (key, copy, seed) in [0, 2^31).
+
+    Two rounds of shift and multiplication follow the sum, so that neighbouring seeds give unrelated hashes.
+    """
     key = F.col(key) if isinstance(key, str) else key
     copy = copy if isinstance(copy, Column) else F.lit(copy)
-    mixed = F.pmod(key, F.lit(HASH_MOD)) * HASH_MUL + F.pmod(copy, F.lit(HASH_MOD)) * HASH_ADD + F.lit(seed)
-    return F.pmod(mixed, F.lit(HASH_MOD))
+    start = F.pmod(key, F.lit(HASH_MOD)) * HASH_MUL + F.pmod(copy, F.lit(HASH_MOD)) * HASH_ADD
+    mixed = F.pmod(start.cast("long") + seed % HASH_MOD * HASH_SEED % HASH_MOD, F.lit(HASH_MOD))
+    for shift, factor in HASH_MIX:
+        mixed = F.pmod(mixed.bitwiseXOR(F.shiftright(mixed, shift)) * factor, F.lit(HASH_MOD))
+    return mixed
 
 
 def hash_sample(rows: DataFrame, frac: float, seed: int = 0, key: str = "row_id") -> DataFrame:
@@ -141,7 +150,7 @@ def train_flag(split_by: str = "row", seed: int = 0, portion: float = TRAIN_PORT
     if split_by not in ("row", "copy"):
         raise ValueError(f"split_by={split_by!r}")
     copy = F.col("copy") if split_by == "copy" else F.lit(1)
-    return F.pmod(row_hash("row_id", copy, seed), F.lit(100)) < round(100 * portion)
+    return row_hash("row_id", copy, seed + SPLIT_SEED) < round(portion * HASH_MOD)
 
 
 def hash_split(rows: DataFrame, split_by: str = "row", seed: int = 0, portion: float = TRAIN_PORTION) -> tuple[DataFrame, DataFrame]:
@@ -170,17 +179,17 @@ def resample(
 def stratified_draw(rows: DataFrame, per_class: int, seed: int = 0, buckets: int | None = None) -> DataFrame:
     """Draw `per_class` rows of either class with replacement.
 
-    Rows are numbered within their class; every draw picks a number by two chained hashes,
-    which reach all numbers of classes beyond 2^31 rows too. The draws are 2 x per_class
-    records, broadcast only while that is small.
+    Ids are numbered within their class; every draw picks a number by two chained hashes,
+    which reach all numbers of classes beyond 2^31 rows too. The wide rows are only joined
+    with the ids that were drawn.
     """
     spark = rows.sparkSession
-    numbered = dense_row_id(rows, "row_id", "_idx", by=["y"], buckets=buckets)
+    numbered = dense_row_id(rows.select("row_id", "y"), "row_id", "_idx", by=["y"], buckets=buckets)
     sizes = rows.groupBy("y").agg(F.count("*").alias("_n"))
     draws = spark.range(per_class).select((F.col("id") + 1).alias("draw"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("y"))
     # two classes: two size records
     high = row_hash("draw", F.col("y") + 2, seed)
     number = high * HASH_MOD + row_hash(high, F.col("y") + 2, seed + 1)
     picked = draws.join(F.broadcast(sizes), "y").select("draw", "y", F.pmod(number, F.col("_n")).alias("_idx"))
-    picked = F.broadcast(picked) if per_class <= 500_000 else picked
-    return numbered.join(picked, ["y", "_idx"]).drop("_idx")
+    drawn = numbered.join(picked, ["y", "_idx"]).select("row_id", "draw")
+    return rows.join(drawn, "row_id")

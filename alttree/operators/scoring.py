@@ -37,7 +37,7 @@ def layout(rows: DataFrame) -> str:
 def feature_block(column: pa.Array, used: np.ndarray, onehot: bool) -> np.ndarray:
     """Values of the features in `used`, one matrix row per table row."""
     n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().fill_null(0).to_numpy(zero_copy_only=False)
     sizes = np.diff(column.offsets.to_numpy())
     if onehot:
         block = np.zeros((n, len(used)))
@@ -199,12 +199,13 @@ def score_relational(long: DataFrame, nodes: list[Node]) -> DataFrame:
         tests.setdefault(feature, []).append((node_id, threshold, split_eval))
     by_feature = spark.createDataFrame(
         sorted(tests.items()), "feature int, tests array<struct<node_id: int, threshold: double, split_eval: boolean>>")
-    preds = constant({str(t.node_id): t.pred for t in nodes}, "map<string, double>")
+    by_id = {t.node_id: t.pred for t in nodes}
+    preds = constant([by_id.get(k, 0.0) for k in range(max(by_id) + 1)], "array<double>")
     everything = float(sum(t.pred for t in nodes))
     # one record per feature of the model: bounded by the model
     joined = long.join(F.broadcast(by_feature), "feature", "left")
     broken = F.filter("tests", lambda t: ~check(F.col("value"), F.col("feature"), t["threshold"], t["split_eval"]))
     lost = joined.select("row_id", F.explode_outer(F.transform(broken, lambda t: t["node_id"])).alias("node_id"))
     per_row = lost.groupBy("row_id").agg(F.collect_set("node_id").alias("lost"))
-    missed = F.aggregate("lost", F.lit(0.0), lambda acc, i: acc + F.element_at(preds, i.cast("string")))
+    missed = F.aggregate("lost", F.lit(0.0), lambda acc, i: acc + F.get(preds, i))
     return per_row.select("row_id", (F.lit(everything) - missed).alias("score"))

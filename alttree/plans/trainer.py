@@ -14,6 +14,7 @@ import uuid
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -61,7 +62,7 @@ class TrainParams:
 # Nodes replayed by a caller's updater in one plan before the state is settled.
 REPLAY_CHAIN = 20
 
-# Histogram cells a task may hold in memory (32 bytes each) before the SQL form takes over.
+# Histogram cells a task may hold in memory (32 bytes each); more nodes are summed in several passes.
 TASK_CELLS = 4_000_000
 
 Sampler = Callable[[DataFrame, list[Node]], DataFrame]
@@ -179,13 +180,14 @@ class Trainer:
         return binning.collect_thresholds(binning.thresholds(binning.to_long(train), p.num_slices))
 
     def _search(self, state: DataFrame, cuts: list[list[float]], k: int) -> DataFrame:
-        """One-hot rows have many features and are summed per task while the sums fit; dense rows in SQL."""
+        """One-hot rows have many features and are summed per task, by blocks of nodes whose sums fit; dense rows in SQL."""
         p, onehot, hist = self.params, layout(state) == "nz", None
         if p.histogram == "arrow" or (p.histogram == "auto" and onehot):
             widths = [2] * p.n_features if onehot else [len(c) + 1 for c in cuts]
             parents = eligible(self.nodes, self.depth)
-            if p.histogram == "arrow" or len(parents) * sum(widths) <= TASK_CELLS:
-                hist = learner.split_histogram_arrow(state, parents, widths)
+            block = max(1, TASK_CELLS // max(1, sum(widths)))
+            parts = [learner.split_histogram_arrow(state, parents[at:at + block], widths) for at in range(0, len(parents), block)]
+            hist = reduce(DataFrame.unionByName, parts)
         return learner.search(state, cuts, k, self.loss, p.compat_left_reject, p.features_subset, hist)
 
     # data of one sampling period

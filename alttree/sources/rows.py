@@ -18,10 +18,27 @@ def parse_sequences(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.withColumns(parts)
 
 
-def read_sequences(spark: SparkSession, path: str, pathGlobFilter: str | None = None) -> DataFrame:
-    """Labelled sequences of a text folder: y, seq. Lines that do not parse are left out."""
+def with_row_id(rows: DataFrame) -> DataFrame:
+    """Add `row_id` to rows without a key: number of the input split, then place in it. Unique, the same on every
+    read of the same files, with gaps, and made without moving a row."""
+    return rows.withColumn("row_id", F.monotonically_increasing_id())
+
+
+def _checked(parsed: DataFrame, line: str, on_malformed: str) -> DataFrame:
+    """Fail the job at a line without a label, or keep it with null fields."""
+    if on_malformed not in ("error", "null"):
+        raise ValueError(f"on_malformed={on_malformed!r}")
+    if on_malformed == "null":
+        return parsed
+    message = F.concat(F.lit("malformed line: "), F.substring(F.col(line), 1, 80))
+    return parsed.withColumn("y", F.when(F.col("y").isNull(), F.raise_error(message).cast("int")).otherwise(F.col("y")))
+
+
+def read_sequences(spark: SparkSession, path: str, pathGlobFilter: str | None = None, on_malformed: str = "error") -> DataFrame:
+    """Labelled sequences of a text folder: row_id, y, seq."""
     options = {"pathGlobFilter": pathGlobFilter} if pathGlobFilter else {}
-    return parse_sequences(spark.read.options(**options).text(path)).where("y is not null").select("y", "seq")
+    lines = with_row_id(spark.read.options(**options).text(path))
+    return _checked(parse_sequences(lines), "value", on_malformed).select("row_id", "y", "seq")
 
 
 def remap_label(label):
@@ -39,9 +56,10 @@ def parse_dense(lines: DataFrame, line: str = "value") -> DataFrame:
     }).drop("_v")
 
 
-def read_dense_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header-less CSV: y, features."""
-    return parse_dense(spark.read.text(path)).select("y", "features")
+def read_dense_csv(spark: SparkSession, path: str, on_malformed: str = "error") -> DataFrame:
+    """Header-less CSV: row_id, y, features."""
+    lines = with_row_id(spark.read.text(path))
+    return _checked(parse_dense(lines), "value", on_malformed).select("row_id", "y", "features")
 
 
 def write_sequences(rows: DataFrame, path: str) -> None:

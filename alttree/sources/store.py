@@ -15,10 +15,14 @@ log = logging.getLogger(__name__)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster shares for checkpoints; a local one where none is set, as in tests."""
+    """The folder the cluster shares for checkpoints; a local one only where none is set and everything runs here."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    folder = folder or context.getCheckpointDir() or tempfile.mkdtemp(prefix="alttree-")
+    folder = folder or context.getCheckpointDir()
+    here = context.master == "local" or context.master.startswith("local[")
+    if not folder and not here:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="alttree-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from alttree.functions import exprs
@@ -10,8 +13,9 @@ from alttree.operators import encode as enc
 from alttree.operators.metrics import class_counts as count_classes
 from alttree.operators.sampling import train_flag
 from alttree.sources import rows as src
+from alttree.sources.store import shared_folder
 from registry import query
-from registry.fixtures import EVT, LETTERS, LONG, MODEL, MODEL_TABLE, PAIR, SINGLE, R, documents_letters, evt, r6, table
+from registry.fixtures import EVT, LETTERS, LONG, MODEL, MODEL_TABLE, PAIR, SINGLE, R, documents_letters, evt, r6, table, train_sql
 
 
 @query("""SELECT l_linenumber, cmp, CAST(count(*) AS BIGINT) AS n FROM (
@@ -72,7 +76,7 @@ def boost_loss(spark, sf):
 
 
 @query(f"""WITH {EVT}
-SELECT CASE WHEN ((row_id * 1103515245 + 12345) % 2147483648) % 100 < 75 THEN 'train' ELSE 'test' END AS dataset,
+SELECT CASE WHEN {train_sql()} THEN 'train' ELSE 'test' END AS dataset,
        CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (y > 0) AS BIGINT) AS n_pos,
        CAST(count(*) FILTER (y < 0) AS BIGINT) AS n_neg
 FROM evt GROUP BY 1""")
@@ -81,6 +85,19 @@ def class_counts(spark, sf):
     return count_classes(evt(spark, sf).withColumn("dataset", part), ["dataset"])
 
 
+@query(f"""WITH {LETTERS}, {SINGLE},
+ones AS (SELECT row_id, count(*) AS n FROM single GROUP BY row_id)
+SELECT y, md5(seq) AS seq_md5, CAST(coalesce(n, 0) AS INTEGER) AS n_ones, CAST(count(*) AS BIGINT) AS n_rows
+FROM seqs LEFT JOIN ones USING (row_id) GROUP BY 1, 2, 3""")
+def file_to_features(spark, sf):
+    """Labelled lines written to a text folder, read back with ids of their own and encoded."""
+    path = os.path.join(shared_folder(spark), f"lines-{uuid.uuid4().hex}")
+    src.write_sequences(documents_letters(spark, sf), path)
+    rows = src.read_sequences(spark, path)
+    coded = enc.encode(rows.withColumn("seq_md5", F.md5("seq"))).dropDuplicates(["row_id"])
+    return coded.groupBy("y", "seq_md5", F.size("nz").alias("n_ones")).agg(F.count("*").alias("n_rows"))
+
+
 @query("SELECT o_orderkey AS row_id, 2 * CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END - 1 AS y FROM orders")
 def label_remap(spark, sf):
     label = F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)
@@ -117,14 +134,14 @@ def csv_dense_rows(spark, sf):
 
 @query(f"WITH {LETTERS} SELECT row_id, y, win FROM seqs")
 def window_extract(spark, sf):
-    rows = documents_letters(spark, sf).where(F.length("seq") >= enc.MIN_LENGTH)
+    rows = documents_letters(spark, sf)
     return rows.select("row_id", "y", enc.window_extract(F.col("seq")).alias("win"))
 
 
-@query("""WITH raw AS (SELECT doc_id AS row_id, translate(text, 'acgt', 'ACGT') AS seq FROM documents WHERE length(text) >= 141),
+@query("""WITH raw AS (SELECT doc_id AS row_id, translate(text, 'acgt', 'ACGT') AS seq FROM documents),
 win AS (SELECT row_id, substr(seq, 1, 59) || substr(seq, 62, 80) AS win FROM raw)
 SELECT row_id, length(translate(win, 'ACGT', '')) > 0 AS has_unknown,
-       CAST(139 - length(translate(win, 'ACGT', '')) AS INTEGER) AS n_known
+       CAST(length(win) - length(translate(win, 'ACGT', '')) AS INTEGER) AS n_known
 FROM win""")
 def unknown_letters(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.translate("text", "acgt", "ACGT").alias("seq"))

@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from registry.fixtures import EVT, FEATURES, R4, R
+from registry.fixtures import EVT, FEATURES, R4, R, hash_sql, train_sql
 from registry.sampling import BALANCE, COPIES
 
 _FS = ", ".join(f"f{k}" for k in range(FEATURES))
 
 
-def drawn_sample(frac: float, share: float) -> str:
+def drawn_sample(frac: float, share: float, seed: int) -> str:
     """Rows of a first resample: all weights 1, split by row."""
     balance = BALANCE.replace("n * 0.1", f"n * {frac}").replace("size * 0.5", f"size * {share!r}")
     return f"""state AS (SELECT *, CAST(1 AS DOUBLE) AS w FROM evt), {balance}, {COPIES},
-drawn AS (SELECT s.row_id, s.copy, s.y, ((s.row_id * 1103515245 + 12345 + {{seed}}) % 2147483648) % 100 < 75 AS is_train, {_FS}
+drawn AS (SELECT s.row_id, s.copy, s.y, {train_sql('s.row_id', seed=seed)} AS is_train, {_FS}
           FROM sample s JOIN evt e USING (row_id))"""
 
 
 def hashed_sample(frac: float, seed: int) -> str:
-    hashed = "((row_id * 1103515245 + 12345 + {}) % 2147483648)"
-    return f"""drawn AS (SELECT row_id, 1 AS copy, y, {hashed.format(seed)} % 100 < 75 AS is_train, {_FS}
-          FROM evt WHERE {hashed.format(0)} < {round(frac * 2**31)})"""
+    return f"""drawn AS (SELECT row_id, 1 AS copy, y, {train_sql(seed=seed)} AS is_train, {_FS}
+          FROM evt WHERE {hash_sql('row_id')} < {round(frac * 2**31)})"""
 
 
 def _loss(rej: str, pos: str, neg: str) -> str:

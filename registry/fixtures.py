@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alttree.operators.encode import ALPHABET
+from alttree.operators.sampling import HASH_ADD, HASH_MIX, HASH_MOD, HASH_MUL, HASH_SEED, SPLIT_SEED, TRAIN_PORTION
 from alttree.operators.state import rebuild_state
 from alttree.schema import Node
 
@@ -32,6 +33,18 @@ def R4(x: str) -> str:
     return f"(round({x}, 4) + 0.0)"
 
 
+def hash_sql(key: str, copy: str | int = 1, seed: int = 0) -> str:
+    """The row hash of sampling and splits."""
+    h = f"(({key}) % {HASH_MOD} * {HASH_MUL} + CAST({copy} AS BIGINT) % {HASH_MOD} * {HASH_ADD} + {seed % HASH_MOD * HASH_SEED % HASH_MOD}) % {HASH_MOD}"
+    for shift, factor in HASH_MIX:
+        h = f"(xor({h}, ({h}) >> {shift}) * {factor}) % {HASH_MOD}"
+    return f"({h})"
+
+
+def train_sql(key: str = "row_id", copy: str | int = 1, seed: int = 0) -> str:
+    return f"({hash_sql(key, copy, seed + SPLIT_SEED)} < {round(TRAIN_PORTION * HASH_MOD)})"
+
+
 # Rows from events: positive = purchase
 
 FEATURES = 5
@@ -120,15 +133,15 @@ def documents_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 LETTERS = """letters AS (
   SELECT doc_id AS row_id, CASE WHEN lang = 'en' THEN 1 ELSE -1 END AS y,
          regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents),
-seqs AS (SELECT *, substr(seq, 1, 59) || substr(seq, 62, 80) AS win FROM letters WHERE length(seq) >= 141)"""
+seqs AS (SELECT *, substr(seq, 1, 59) || substr(seq, 62, 80) AS win FROM letters)"""
 
 SINGLE = """single AS (
   SELECT row_id, y, CAST(i * 4 + instr('ACGT', substr(win, i + 1, 1)) - 1 AS INTEGER) AS feature
-  FROM seqs, (SELECT CAST(range AS INTEGER) AS i FROM range(139)))"""
+  FROM seqs, (SELECT CAST(range AS INTEGER) AS i FROM range(139)) WHERE i < length(win))"""
 PAIR = """pair AS (
   SELECT row_id, y, CAST(556 + i * 16 + 4 * (instr('ACGT', substr(win, i + 1, 1)) - 1)
                          + instr('ACGT', substr(win, i + 2, 1)) - 1 AS INTEGER) AS feature
-  FROM seqs, (SELECT CAST(range AS INTEGER) AS i FROM range(138)))"""
+  FROM seqs, (SELECT CAST(range AS INTEGER) AS i FROM range(138)) WHERE i + 1 < length(win))"""
 
 
 # A large tree from events: node = event, eight children each

@@ -9,7 +9,7 @@ from alttree.operators import sampling as sp
 from alttree.operators.state import rebuild_state
 from alttree.sources.store import settle
 from registry import query
-from registry.fixtures import EVT, MODEL, R4, STATE, R, evt, r4, r6, table
+from registry.fixtures import EVT, MODEL, R4, STATE, R, evt, hash_sql, r4, r6, table, train_sql
 
 FRAC, SHARE = 0.1, 0.5
 
@@ -23,7 +23,6 @@ COPIES = """ordered AS (SELECT row_id, y, sum(CASE WHEN y > 0 THEN ps ELSE ns EN
 copies AS (SELECT row_id, y, CAST(floor((c - off) / segment) - floor((lag(c, 1, 0) OVER (ORDER BY row_id) - off) / segment) AS BIGINT) AS copies
            FROM ordered),
 sample AS (SELECT row_id, y, unnest(range(1, copies + 1)) AS copy FROM copies WHERE copies > 0)"""
-_TRAIN = "((row_id * 1103515245 + {copy} * 12345) % 2147483648) % 100 < 75"
 
 
 def _weighted(spark, sf):
@@ -62,23 +61,22 @@ _COPIED = "three AS (SELECT row_id, unnest([1, 2, 3]) AS copy FROM evt)"
 
 
 @query(f"""WITH {EVT}, {_COPIED}
-SELECT row_id, CAST(copy AS INTEGER) AS copy, {_TRAIN.format(copy=1)} AS by_row, {_TRAIN.format(copy='copy')} AS by_copy FROM three""")
+SELECT row_id, CAST(copy AS INTEGER) AS copy, {train_sql()} AS by_row, {train_sql(copy='copy')} AS by_copy FROM three""")
 def hash_split(spark, sf):
     copies = evt(spark, sf).select("row_id", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("copy"))
     return copies.withColumns({"by_row": sp.train_flag("row"), "by_copy": sp.train_flag("copy")})
 
 
-@query("""SELECT event_id AS row_id, value FROM events
-WHERE (event_id * 1103515245 + 12345 + 7) % 2147483648 < 214748365""")
+@query(f"SELECT event_id AS row_id, value FROM events WHERE {hash_sql('event_id', seed=7)} < 214748365")
 def hash_sample(spark, sf):
     rows = table(spark, sf, "events").select(F.col("event_id").alias("row_id"), "value")
     return sp.hash_sample(rows, 0.1, seed=7)
 
 
-DRAWS = """numbered AS (SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY row_id) - 1 AS idx, count(*) OVER (PARTITION BY y) AS n FROM evt),
+DRAWS = f"""numbered AS (SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY row_id) - 1 AS idx, count(*) OVER (PARTITION BY y) AS n FROM evt),
 sizes AS (SELECT DISTINCT y, n FROM numbered),
-high AS (SELECT range + 1 AS draw, y, n, ((range + 1) * 1103515245 + (y + 2) * 12345) % 2147483648 AS h FROM range(300), sizes),
-draws AS (SELECT draw, y, (h * 2147483648 + (h * 1103515245 + (y + 2) * 12345 + 1) % 2147483648) % n AS idx FROM high),
+high AS (SELECT range + 1 AS draw, y, n, {hash_sql('range + 1', 'y + 2')} AS h FROM range(300), sizes),
+draws AS (SELECT draw, y, (h * 2147483648 + {hash_sql('h', 'y + 2', 1)}) % n AS idx FROM high),
 drawn AS (SELECT d.draw, d.y, row_id FROM draws d JOIN numbered r ON r.y = d.y AND r.idx = d.idx)"""
 
 
@@ -88,7 +86,7 @@ def stratified_draw(spark, sf):
 
 
 @query(f"""WITH {STATE}, {BALANCE}, {COPIES}
-SELECT {_TRAIN.format(copy=1)} AS is_train, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (y > 0) AS BIGINT) AS n_pos,
+SELECT {train_sql()} AS is_train, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (y > 0) AS BIGINT) AS n_pos,
        CAST(count(*) FILTER (y < 0) AS BIGINT) AS n_neg, CAST(count(*) AS DOUBLE) AS sum_w
 FROM sample GROUP BY 1""")
 def resample_step(spark, sf):

@@ -14,7 +14,7 @@ from alttree.operators.sampling import stratified_draw, train_flag
 from alttree.operators.state import apply_node, rebuild_state
 from alttree.sources import store
 from registry import query
-from registry.fixtures import EVT, FIRED, MODEL, R4, STATE, R, evt, r4, r6, score_sql
+from registry.fixtures import EVT, FIRED, MODEL, R4, STATE, R, evt, r4, r6, score_sql, train_sql
 from registry.sampling import DRAWS
 
 _SCORED = f"scored AS (SELECT row_id, y, {score_sql()} AS score FROM fired)"
@@ -24,7 +24,7 @@ _ROUNDED = f"scored AS (SELECT row_id, y, {R(score_sql())} AS score FROM fired)"
 _GROUPS = """g AS (SELECT score, sum(CASE WHEN y > 0 THEN 1 ELSE 0 END) AS tp, count(*) AS n FROM scored GROUP BY score),
 c AS (SELECT score, tp, n, sum(tp) OVER (ORDER BY score DESC) AS ctp, sum(n) OVER (ORDER BY score DESC) AS cn,
              sum(tp) OVER () AS p FROM g)"""
-_TRAIN = "((row_id * 1103515245 + 12345) % 2147483648) % 100 < 75"
+_TRAIN = train_sql()
 
 
 def _rounded(spark, sf):

@@ -18,7 +18,7 @@ from alttree.schema import NODES, Node, nodes_df
 from alttree.sources import store
 from registry import query
 from registry.boosting_sql import drawn_sample, hashed_sample, training_sql
-from registry.fixtures import EVT, FIRED, HIST, MODEL, R4, STATE, TREE, R, evt, evt_state, history, r4, r6, score_sql, tree_nodes
+from registry.fixtures import EVT, FIRED, HIST, MODEL, R4, STATE, TREE, R, evt, evt_state, history, r4, r6, score_sql, train_sql, tree_nodes
 from registry.learning import _IN, _NEW, BASE, CUMULATIVE, HIST as SPLIT_HIST, ROUND, SEARCH, SLICES, SPLITS, TOP, TOTALS, binned_state, loss_sql
 
 
@@ -28,7 +28,7 @@ def _folder(spark) -> str:
 
 _SEED = 1
 _PARAMS = dict(sample_frac=0.5, num_slices=4, max_iters=6, candidate_size=4, admit_size=3, auprc_every=0, pr_every=0, seed=_SEED)
-_DRAWN = drawn_sample(0.5, random.Random(_SEED).random()).format(seed=_SEED)
+_DRAWN = drawn_sample(0.5, random.Random(_SEED).random(), _SEED)
 
 
 def _iterations(spark, nodes, history):
@@ -155,7 +155,7 @@ def snapshot_roundtrip(spark, sf):
     return store.load_nodes(spark, path, length=500)
 
 
-@query(f"""WITH {EVT} SELECT row_id, y, ((row_id * 1103515245 + 12345) % 2147483648) % 100 < 75 AS is_train,
+@query(f"""WITH {EVT} SELECT row_id, y, {train_sql()} AS is_train,
   CAST(f0 AS VARCHAR) || '|' || CAST(f3 AS VARCHAR) AS packed FROM evt""")
 def sample_roundtrip(spark, sf):
     path = os.path.join(_folder(spark), "sample")

@@ -112,3 +112,19 @@ def test_stratified_draw(spark):
     rows = spark.range(100).select(F.col("id").alias("row_id"), F.when(F.col("id") % 4 == 0, 1).otherwise(-1).alias("y"))
     out = sampling.stratified_draw(rows, 60, seed=1)
     assert {r.y: r["count"] for r in out.groupBy("y").count().collect()} == {1: 60, -1: 60}
+
+
+def test_neighbouring_seeds_give_unrelated_splits(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "row_id")
+    flags = rows.select(*[sampling.train_flag(seed=s).alias(f"s{s}") for s in (0, 1, 2)], (sampling.row_hash("row_id", seed=0) < 2**30).alias("half"))
+    shares = flags.agg(*[F.avg(c.cast("double")) for c in (
+        F.col("s0"), F.col("s0") == F.col("s1"), F.col("s1") == F.col("s2"), F.col("s0") == F.col("half"))]).first()
+    assert shares[0] == pytest.approx(0.75, abs=0.02)
+    assert shares[1] == pytest.approx(0.625, abs=0.03) and shares[2] == pytest.approx(0.625, abs=0.03)  # p^2 + (1 - p)^2
+    assert shares[3] == pytest.approx(0.5, abs=0.03)
+
+
+def test_held_out_share_is_not_rounded(spark):
+    rows = spark.range(100_000).withColumnRenamed("id", "row_id")
+    _, test = sampling.hash_split(rows, portion=0.995)
+    assert 350 < test.count() < 650

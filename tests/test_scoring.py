@@ -162,3 +162,23 @@ def test_metrics_without_a_class_are_null(spark):
     assert metrics.auprc(scored).first()[0] is None
     eff = metrics.effective_count(scored.withColumn("w", F.lit(1.0))).first()
     assert eff.effective == 1.0 and eff.effective_pos is None
+
+
+@pytest.mark.parametrize("n_cuts", [4, 90])
+def test_absent_null_and_nan_values_have_one_meaning(spark, n_cuts):
+    """Absent and null are 0, NaN passes every "at most" test; whatever the number of cuts."""
+    rows = spark.createDataFrame(
+        [(0, 1, [None, 3.0]), (1, 1, [-2.0]), (2, -1, []), (3, -1, [float("nan"), 1.0])], "row_id long, y int, features array<double>")
+    cuts = [[-1.0 + k for k in range(n_cuts)], [0.5]]
+    bins = {r.row_id: r.bins for r in binning.bin_rows(rows, cuts).collect()}
+    assert bins == {0: [1, 1], 1: [0, 0], 2: [1, 0], 3: [0, 1]}
+    nodes = [Node(0, -1, 0, -1, 0.0, True, 0.0), Node(1, 0, 1, 0, -1.0, True, 1.0), Node(2, 0, 1, 1, 0.5, False, 10.0)]
+    kernel = {r.row_id: r.score for r in scoring.score(rows, nodes).collect()}
+    plain = {r.row_id: r.s for r in rows.select("row_id", scoring.score_expression(rows, nodes).alias("s")).collect()}
+    assert kernel == plain == {0: 10.0, 1: 1.0, 2: 0.0, 3: 11.0}
+
+
+def test_nan_makes_no_threshold(spark):
+    long = spark.createDataFrame([(k, 0, v) for k, v in enumerate([0.5, 1.5, 2.5, 3.5, float("nan"), None])], "row_id long, feature int, value double")
+    found = binning.collect_thresholds(binning.thresholds(long, 5))
+    assert found == [[0.25, 1.0, 2.0, 3.0]]

@@ -21,8 +21,14 @@ def test_sequence_text_roundtrip(spark, tmp_path):
     data = [(1, _seq(150, 1)), (-1, _seq(141, 2))]
     path = str(tmp_path / "seq")
     rows.write_sequences(spark.createDataFrame(data, "y int, seq string"), path)
+    found = rows.read_sequences(spark, path).collect()
+    assert sorted((r.y, r.seq) for r in found) == sorted(data) and len({r.row_id for r in found}) == 2
+    assert encode.encode(rows.read_sequences(spark, path)).count() == 2
     spark.createDataFrame([("garbage",)], "value string").write.mode("append").text(path)
-    assert sorted(map(tuple, rows.read_sequences(spark, path).collect())) == sorted(data)
+    with pytest.raises(Exception, match="malformed line: garbage"):
+        rows.read_sequences(spark, path).collect()
+    kept = rows.read_sequences(spark, path, on_malformed="null").collect()
+    assert sorted(r.y for r in kept if r.y is not None) == [-1, 1] and len(kept) == 3
 
 
 def test_dense_csv(spark, tmp_path):
@@ -38,8 +44,13 @@ def test_encoding_by_hand(spark):
     win = seq[:59] + seq[61:141]
     single = [i * 4 + "ACGT".index(c) for i, c in enumerate(win)]
     pair = [556 + i * 16 + 4 * "ACGT".index(a) + "ACGT".index(b) for i, (a, b) in enumerate(zip(win, win[1:]))]
-    assert [r.nz for r in encode.encode(df).collect()] == [single]
-    assert [r.nz for r in encode.encode(df, pairs=True).collect()] == [sorted(single + pair)]
+    short = seq[:59] + seq[61:100]
+    some = [f for f in single if f < 4 * len(short)]
+    assert [r.nz for r in encode.encode(df).collect()] == [single, some]
+    some_pairs = [f for f in pair if f < 556 + 16 * (len(short) - 1)]
+    assert [r.nz for r in encode.encode(df, pairs=True).collect()] == [sorted(single + pair), sorted(some + some_pairs)]
+    with pytest.raises(Exception, match="shorter than 141"):
+        encode.encode(df, on_short="error").collect()
     assert (encode.n_features(), encode.n_features(True)) == (556, 2764)
 
 
