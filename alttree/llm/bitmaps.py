@@ -86,10 +86,6 @@ def count_bitmaps(texts: DataFrame, hashes: Callable[[pa.Array], Iterator[np.nda
     return [m.ravel() for m in out]
 
 
-def twice_bitmap(texts: DataFrame, hashes: Callable[[pa.Array], Iterator[np.ndarray]], bits: int) -> np.ndarray:
-    return count_bitmaps(texts, hashes, [2], bits)[0]
-
-
 def marked(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

@@ -5,11 +5,12 @@ itself chooses: each stretch of `threshold` bytes (a window) has the `first`-byt
 as its anchor, and windows in a row with the same anchor make a run. Equal windows have equal anchors, so a run whose
 anchor string occurs once holds no repeat and drops out (ranks of the first `first` bytes, unique ones dropped).
 
-Of the rest, Spark sorts pairs of ranks at growing offsets and reranks those that occur twice: the anchor with the
-`first` bytes from the run's start, then their rank with the `first` bytes up to its end, which together are past the
-threshold and span all bytes of the run's windows. Runs with an equal rank at the end repeat as a whole. Runs that are
-unique as a whole may repeat in part, at the edge of a common passage: for these and one run of each equal rank that
-shares their anchor, the last doubling is done for each window, on pairs of the ranks of its first and last bytes.
+Of the rest, Spark groups and counts pairs of ranks at growing offsets: the anchor with the `first` bytes from the run's
+start, and both with the `first` bytes up to its end, which together are past the threshold and span all bytes of the
+run's windows. Runs that are equal there repeat as a whole. Runs that are unique may repeat in part, at the edge of a
+common passage: for these and one run of each equal group with the same anchor, the last doubling is done for each
+window: Spark sorts the pairs of ranks of its first and last `first` bytes. What travels for a text is its unique
+runs and the windows found there; all other runs of repeated anchors repeat, and are found again from the text.
 
 Null texts count as empty. Texts under the threshold keep everything and take nothing from others. Rows are judged as
 they are, and rows that repeat a document are copies of it. Runs of a text that are equal, as in one repeated phrase,
@@ -25,15 +26,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from alttree.llm import wordbytes as wb
-from alttree.llm.bitmaps import marked, twice_bitmap
-from alttree.llm.tables import forget, keep, read, utf8
+from alttree.llm.bitmaps import count_bitmaps, marked
+from alttree.llm.tables import keep, read, utf8
 
 KEY = ["k1", "k2"]
+NO_MARKS = {"skips": None, "hits": None}
 
 
 @dataclass(frozen=True)
@@ -98,50 +101,67 @@ def _names(p: Params):
     return of
 
 
-RUNS = "los array<long>, w int, lead int, name long, left long, right long"
+def contexts(r: Runs, at: np.ndarray, p: Params) -> np.ndarray:
+    """Hash of the pairs of ranks that span all windows of the runs `at`, and of how the windows lie round the anchor."""
+    first, last, end = r.first[at], r.last[at], r.last[at] + p.threshold
+    left, right = wb.stretch(r.sums, first, first + p.first), wb.stretch(r.sums, end - p.first, end)
+    half = wb.mixed(r.name[at] + wb.mixed(left + (r.anchor[at] - first).astype(np.uint64)))
+    return wb.mixed(half + wb.mixed(right + (last - first).astype(np.uint64)))
 
 
-def _candidates(p: Params, shared):
-    """Runs whose anchor occurs twice: first windows of its equals in the text, windows, bytes before the anchor, and the
-    hashes of the anchor and of the first and last `first` bytes of all its windows."""
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    raw, offsets = wb.column_bytes(batch.column("text"))
+    for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        yield k, raw[a:b]
+
+
+def _candidates(p: Params, repeated, wanted=None):
+    """(name, context) of the runs whose anchor occurs twice and how often a task saw them; with `wanted`, a bitmap of
+    anchors, only theirs, with one place of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
-        for batch in batches:
-            raw, offsets = wb.column_bytes(batch.column("text"))
-            for at in range(0, len(batch), 1000):
-                parts = []
-                for k in range(at, min(at + 1000, len(batch))):
-                    r = runs(raw[offsets[k]:offsets[k + 1]], p)
-                    stay = np.flatnonzero(marked(bitmap, r.name, p.bitmap_bits)) if r is not None else ()
-                    if len(stay):
-                        lo, hi, end = r.first[stay], r.last[stay], r.last[stay] + p.threshold
-                        left, right = wb.stretch(r.sums, lo, lo + p.first), wb.stretch(r.sums, end - p.first, end)
-                        both = np.stack([np.full(len(lo), k), hi - lo + 1, r.anchor[stay] - lo, *(h.view(np.int64) for h in (r.name[stay], left, right)), lo])
-                        parts.append(both[:, np.lexsort(both[:-1])])
-                if not parts:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, len(b), 1000)):
+            parts = []
+            for k, text in _texts(batch):
+                r = runs(text, p)
+                if r is None:
                     continue
-                rows = np.concatenate(parts, axis=1)
-                new = np.ones(rows.shape[1], bool)
-                new[1:] = (rows[:-1, 1:] != rows[:-1, :-1]).any(0)
-                first = np.flatnonzero(new)
-                one = rows[:, first]
-                columns = [batch.column(c).take(pa.array(one[0])) for c in (*KEY, "doc_id")]
-                columns.append(pa.ListArray.from_arrays(pa.array(np.append(first, rows.shape[1]), pa.int32()), pa.array(rows[-1])))
-                columns += [pa.array(one[1].astype(np.int32)), pa.array(one[2].astype(np.int32)), *(pa.array(x) for x in one[3:6])]
-                yield pa.RecordBatch.from_arrays(columns, [*KEY, "doc_id", "los", "w", "lead", "name", "left", "right"])
+                stay = marked(repeated.value, r.name, p.bitmap_bits)
+                if wanted is not None:
+                    stay &= marked(wanted.value, r.name, p.bitmap_bits)
+                at = np.flatnonzero(stay)
+                if len(at):
+                    parts.append((r.name[at], contexts(r, at, p), np.full(len(at), k), r.first[at], r.last[at] - r.first[at] + 1))
+            if not parts:
+                continue
+            name, context, row, lo, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((context, name))
+            name, context = name[order], context[order]
+            new = np.ones(len(name), bool)
+            new[1:] = (name[1:] != name[:-1]) | (context[1:] != context[:-1])
+            one = np.flatnonzero(new)
+            columns = {"name": pa.array(name[one].view(np.int64)), "context": pa.array(context[one].view(np.int64)),
+                       "n": pa.array(np.diff(np.append(one, len(name))))}
+            if wanted is not None:
+                columns |= {c: batch.column(c).take(pa.array(row[order[one]])) for c in (*KEY, "doc_id")}
+                columns |= {"lo": pa.array(lo[order[one]]), "w": pa.array(w[order[one]].astype(np.int32))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-def rerank(positions: DataFrame, pair: list[str], rank: str) -> DataFrame:
-    """Sort the combinations of `pair` that occur twice or more and number them. Unique ones have no rank."""
-    again = positions.where(" AND ".join(f"`{c}` IS NOT NULL" for c in pair)).groupBy(*pair).agg(F.sum(F.size("los")).alias("n"))
-    ranks = keep(again.where("n > 1").select(*pair).orderBy(*pair).withColumn(rank, F.monotonically_increasing_id()), "ranks")
-    out = keep(positions.join(ranks, pair, "left"), "ranked")
-    forget(ranks)
-    forget(positions)
-    return out
+def _of_documents(shared, bits: int):
+    """Rows whose text is marked in a bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked(shared.value, key_bits(batch.column("k1")), bits)))
+
+    return run
+
+
+def key_bits(column: pa.Array) -> np.ndarray:
+    return wb.mixed(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
 
 
 def _edge_windows(p: Params):
@@ -169,87 +189,111 @@ def _same_text(left: str, right: str) -> Column:
     return (c(left, "k1") == c(right, "k1")) & (c(left, "k2") == c(right, "k2")) & c(left, "doc_id").eqNullSafe(c(right, "doc_id"))
 
 
-def repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(k1, k2, doc_id, spans) of texts with a repeat: stretches of w windows from each of los on that repeat."""
-    spark = docs.sparkSession
+@dataclass
+class Found:
+    """`repeated`: bitmap of the anchors that occur twice. `marks`: (k1, k2, doc_id, skips, hits) of texts whose runs of
+    such anchors are not all repeats: first windows of unique runs, and lists of windows that repeat."""
+
+    repeated: Broadcast
+    marks: DataFrame
+
+
+def repeats(docs: DataFrame, p: Params = Params()) -> Found:
+    context = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(*text_key(), "doc_id", utf8().alias("text"))
-    shared = spark.sparkContext.broadcast(twice_bitmap(texts.select("text"), _names(p), p.bitmap_bits))  # of fixed size
-    positions = keep(texts.mapInArrow(_candidates(p, shared), f"k1 long, k2 int, doc_id {kind}, {RUNS}"), "positions")
-    state = rerank(rerank(positions, ["name", "lead", "left"], "half"), ["half", "w", "right"], "class")
-
-    unique = state.where(F.col("class").isNull())
-    run = F.struct(*KEY, F.element_at("los", 1).alias("lo"), "w", "doc_id")
-    one = state.where(F.col("class").isNotNull()).join(unique.select("name").distinct(), "name", "left_semi").groupBy("name", "class").agg(
-        F.min(run).alias("r")).select("name", "r.*")
-    edge = unique.select("name", run.alias("r")).select("name", "r.*").unionByName(one)
-    shared_name = edge.groupBy("name").count().where("count > 1").select("name")
-    edge = keep(edge.join(shared_name, "name").select(F.monotonically_increasing_id().alias("run"), *KEY, "doc_id", "lo", "w"), "edge")
+
+    def shared(column: DataFrame, hashes, least: int) -> Broadcast:
+        return context.broadcast(count_bitmaps(column, hashes, [least], p.bitmap_bits)[0])  # of fixed size
+
+    repeated = shared(texts.select("text"), _names(p), 2)
+    seen = texts.select("text").mapInArrow(_candidates(p, repeated), "name long, context long, n long")
+    unique = seen.groupBy("name", "context").agg(F.sum("n").alias("n")).where("n = 1").select(F.col("name").alias("text"))
+    wanted = shared(unique, lambda c: [c.to_numpy(zero_copy_only=False).view(np.uint64)], 1)
+
+    listed = texts.mapInArrow(_candidates(p, repeated, wanted), f"name long, context long, n long, k1 long, k2 int, doc_id {kind}, lo long, w int")
+    place = F.struct(*KEY, "doc_id", "lo", "w")
+    groups = keep(listed.groupBy("name", "context").agg(F.sum("n").alias("n"), F.min(place).alias("r")).select("name", "n", "r.*"), "groups")
+    edges = groups.groupBy("name").agg(F.count("*").alias("groups"), F.min("n").alias("least")).where("groups > 1 and least = 1").select("name")
+    edge = keep(groups.join(edges, "name").select(F.monotonically_increasing_id().alias("run"), *KEY, "doc_id", "lo", "w"), "edge")
     per_text = edge.groupBy(*KEY, "doc_id").agg(F.collect_list(F.struct("run", "lo", "w")).alias("parts"))
-    asked = texts.alias("t").join(per_text.alias("e"), _same_text("t", "e")).select("t.text", "e.parts")
+    some = shared(edge.select(F.col("k1").alias("text")), lambda c: [key_bits(c)], 1)
+    asked = texts.mapInArrow(_of_documents(some, p.bitmap_bits), f"k1 long, k2 int, doc_id {kind}, text binary").alias("t").join(
+        per_text.alias("e"), _same_text("t", "e")).select("t.text", "e.parts")
     windows = asked.mapInArrow(_edge_windows(p), "a long, b long, run long, off int")
     again = windows.withColumn("n", F.count("*").over(Window.partitionBy("a", "b"))).where("n > 1")
     hits = again.groupBy("run").agg(F.collect_set(F.col("off").cast("long")).alias("offs")).join(edge, "run").select(
-        *KEY, "doc_id", F.transform("offs", lambda o: o + F.col("lo")).alias("los"), F.lit(1).alias("w"))
-    parts = state.where(F.col("class").isNotNull()).select(*KEY, "doc_id", "los", "w").unionByName(hits)
-    return parts.groupBy(*KEY, "doc_id").agg(F.collect_list(F.struct("los", "w")).alias("spans"))
+        *KEY, "doc_id", F.lit(None).cast("long").alias("skip"), F.transform("offs", lambda o: o + F.col("lo")).alias("hit"))
+    skips = groups.where("n = 1").select(*KEY, "doc_id", F.col("lo").alias("skip"), F.lit(None).cast("array<long>").alias("hit"))
+    marks = skips.unionByName(hits).groupBy(*KEY, "doc_id").agg(F.collect_list("skip").alias("skips"), F.collect_list("hit").alias("hits"))
+    return Found(repeated, keep(marks, "marks"))
 
 
-def kept_bytes(raw: np.ndarray, spans: list[dict] | None, threshold: int) -> tuple[np.ndarray, int]:
+def kept_bytes(raw: np.ndarray, found: np.ndarray, skips: list[int] | None, hits: list[list[int]] | None, p: Params) -> tuple[np.ndarray, int]:
     """What is left of a text, and the number of stretches taken out."""
-    if not spans:
+    r = runs(raw, p)
+    if r is None:
+        return raw, 0
+    stay = marked(found, r.name, p.bitmap_bits)
+    if skips:
+        stay &= ~np.isin(r.first, skips)
+    lo = np.concatenate([r.first[stay], *(np.array(h, np.int64) for h in hits or [])])
+    last = np.concatenate([r.last[stay], lo[np.count_nonzero(stay):]])
+    if not len(lo):
         return raw, 0
     n = len(raw)
-    lo = np.concatenate([np.array(s["los"], np.int64) for s in spans])
-    end = lo + np.repeat([s["w"] for s in spans], [len(s["los"]) for s in spans]) + threshold - 1
-    edge = np.bincount(lo, minlength=n + 1) - np.bincount(end, minlength=n + 1)
+    edge = np.bincount(lo, minlength=n + 1) - np.bincount(last + p.threshold, minlength=n + 1)
     gone = np.cumsum(edge)[:n] > 0
     return raw[~gone], int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
 
 
-def _applied(docs: DataFrame, p: Params) -> DataFrame:
+def _applied(docs: DataFrame, marks: DataFrame) -> DataFrame:
     keyed = docs.withColumns({f"__llm_{c}": k for c, k in zip(KEY, text_key(), strict=True)})
-    found = repeats(docs, p).select(*(F.col(c).alias(f"__llm_r{c}") for c in (*KEY, "doc_id")), F.col("spans").alias("__llm_spans"))
+    found = marks.select(*(F.col(c).alias(f"__llm_r{c}") for c in (*KEY, "doc_id")), F.struct("skips", "hits").alias("__llm_marks"))
     same = (F.col("__llm_k1") == F.col("__llm_rk1")) & (F.col("__llm_k2") == F.col("__llm_rk2")) & F.col("doc_id").eqNullSafe(F.col("__llm_rdoc_id"))
     return keyed.join(found, same, "left")
 
 
 def removal(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
+    found = repeats(docs, p)
+    repeated = found.repeated
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = wb.column_bytes(batch.column("_text"))
             out = []
-            for k, spans in enumerate(batch.column("__llm_spans").to_pylist()):
+            for k, marks in enumerate(batch.column("__llm_marks").to_pylist()):
                 text = raw[offsets[k]:offsets[k + 1]]
-                left, count = kept_bytes(text, spans, p.threshold)
+                left, count = kept_bytes(text, repeated.value, *(marks or NO_MARKS).values(), p)
                 out.append((len(text), len(text) - len(left), count, hashlib.sha256(left.tobytes()).hexdigest()))
             n, gone, spans, digest = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _applied(docs.select("doc_id", "text"), p).select("doc_id", utf8().alias("_text"), "__llm_spans")
+    rows = _applied(docs.select("doc_id", "text"), found.marks).select("doc_id", utf8().alias("_text"), "__llm_marks")
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """All rows and columns, texts without their repeats."""
+    found = repeats(docs, p)
+    repeated = found.repeated
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = wb.column_bytes(batch.column("text"))
             at = batch.schema.get_field_index("text")
             texts = []
-            for k, spans in enumerate(batch.column("__llm_spans").to_pylist()):
-                left, count = kept_bytes(raw[offsets[k]:offsets[k + 1]], spans, p.threshold)
+            for k, marks in enumerate(batch.column("__llm_marks").to_pylist()):
+                left, count = kept_bytes(raw[offsets[k]:offsets[k + 1]], repeated.value, *(marks or NO_MARKS).values(), p)
                 texts.append(left.tobytes().decode("utf-8", "ignore") if count else batch.column(at)[k].as_py())
             columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return _applied(docs, p).select(*docs.columns, "__llm_spans").mapInArrow(run, docs.schema)
+    return _applied(docs, found.marks).select(*docs.columns, "__llm_marks").mapInArrow(run, docs.schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
