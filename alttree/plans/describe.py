@@ -93,11 +93,13 @@ def render(nodes: DataFrame, digits: int = 6) -> DataFrame:
     def number(c: str) -> Column:
         return F.format_string(f"%.{digits}f", c)
 
-    under = F.when(F.col("parent_id") >= 0, F.concat(F.lit(", positioned under the node "), F.col("parent_id").cast("string"), F.lit(","))).otherwise("")
+    side = F.when(F.col("split_eval"), " at most ").otherwise(" above ")
+    test = F.when(F.col("feature") < 0, "every row").otherwise(F.concat(
+        F.lit("feature "), F.col("feature").cast("string"), side, number("threshold")))
+    under = F.when(F.col("parent_id") >= 0, F.concat(F.lit(" below "), F.col("parent_id").cast("string"))).otherwise("")
     text = F.concat(
-        F.lit("Node "), F.col("node_id").cast("string"), F.lit(": Index "), F.col("feature").cast("string"),
-        F.lit(" <= "), number("threshold"), F.lit(" == "), F.col("split_eval").cast("string"),
-        F.lit(" (predict "), number("pred"), F.lit(")"), under, F.lit(" has "), F.col("n_children").cast("string"), F.lit(" children."))
+        F.lit("#"), F.col("node_id").cast("string"), under, F.lit(": "), test, F.lit(" adds "), number("pred"),
+        F.lit("; splits further: "), F.col("n_children").cast("string"))
     return counted.select("node_id", text.alias("text"))
 
 

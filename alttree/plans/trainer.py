@@ -110,7 +110,7 @@ class Underfit:
         self.scores.append(avg)
         if len(self.scores) < self.scores.maxlen:
             return False
-        gain = (self.scores[0] - avg) / self.scores[0]
+        gain = (self.scores[0] - avg) / self.scores[0] if self.scores[0] else 0.0
         return (abs(self.target) <= EPS and gain <= EPS) or gain - self.target < -EPS
 
     def clear(self) -> None:
@@ -349,6 +349,13 @@ class Trainer:
         self.history.append(record)
         return record
 
+    def _write_history(self) -> None:
+        """Records since the last call, so that a run that ends early leaves its history too."""
+        new = self.history[self.written:]
+        if self.params.output and new:
+            store.save_history(self.spark, new, os.path.join(self.folder, "history"), first=not self.written)
+            self.written = len(self.history)
+
     # the loop
 
     def fit(
@@ -368,7 +375,7 @@ class Trainer:
         nodes = list(init_nodes or [])
         self.nodes = nodes[:model_length] if model_length else nodes
         self.last_resample, self.depth, self.reference = last_resample, p.depth, reference
-        self.history = []
+        self.history, self.written = [], 0
         self.pool = pool
         self._load(sample if sample is not None else self.sampler(pool, self.nodes))
         if not self.nodes:
@@ -391,6 +398,7 @@ class Trainer:
         losses = restart(0)
         iteration = batch = 0
         while p.max_iters == 0 or iteration < p.max_iters:
+            self._write_history()
             batch += 1
             train = self.state.where("is_train")
             found = self.searcher(train, self.cuts, p.candidate_size)
@@ -441,7 +449,7 @@ class Trainer:
     def _finish(self) -> Result:
         if self.params.output:
             store.save_model(self.spark, self.nodes, os.path.join(self.folder, "model"))
-            store.save_history(self.spark, self.history, os.path.join(self.folder, "history"))
+            self._write_history()
         self.state.unpersist()
         return Result(self.nodes, self.history, self.depth, self.last_resample)
 

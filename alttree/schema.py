@@ -27,18 +27,6 @@ NODES = T.StructType([
     T.StructField("split_eval", T.BooleanType()),
     T.StructField("pred", T.DoubleType()),
 ])
-CANDIDATES = T.StructType([
-    T.StructField("parent_id", T.IntegerType()),
-    T.StructField("feature", T.IntegerType()),
-    T.StructField("threshold", T.DoubleType()),
-    T.StructField("split_eval", T.BooleanType()),
-])
-THRESHOLDS = T.StructType([
-    T.StructField("feature", T.IntegerType()),
-    T.StructField("slot", T.IntegerType()),
-    T.StructField("threshold", T.DoubleType()),
-])
-
 METRICS = [
     f"{part}_{name}"
     for part in ("train", "test", "ref")

@@ -92,8 +92,9 @@ def history_df(spark: SparkSession, records: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(f) for f in HISTORY.names) for r in records], HISTORY)
 
 
-def save_history(spark: SparkSession, records: list[dict], path: str) -> None:
-    history_df(spark, records).coalesce(1).write.mode("append").parquet(path)
+def save_history(spark: SparkSession, records: list[dict], path: str, first: bool = True) -> None:
+    """Write a run's records, or the next of them; the first ones replace what an earlier run left at the path."""
+    history_df(spark, records).coalesce(1).write.mode("overwrite" if first else "append").parquet(path)
 
 
 def append_pr_points(points: DataFrame, path: str) -> None:

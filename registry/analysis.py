@@ -53,9 +53,10 @@ def rules_by_abs_pred(spark, sf):
 
 
 @query(f"""WITH {TREE}, kids AS (SELECT parent_id AS node_id, count(*) AS n FROM nodes GROUP BY parent_id)
-SELECT node_id, 'Node ' || node_id || ': Index ' || feature || ' <= ' || printf('%.6f', threshold) || ' == ' || split_eval
-  || ' (predict ' || printf('%.6f', pred) || ')' || CASE WHEN parent_id >= 0 THEN ', positioned under the node ' || parent_id || ',' ELSE '' END
-  || ' has ' || coalesce(n, 0) || ' children.' AS text
+SELECT node_id, '#' || node_id || CASE WHEN parent_id >= 0 THEN ' below ' || parent_id ELSE '' END || ': '
+  || CASE WHEN feature < 0 THEN 'every row'
+          ELSE 'feature ' || feature || CASE WHEN split_eval THEN ' at most ' ELSE ' above ' END || printf('%.6f', threshold) END
+  || ' adds ' || printf('%.6f', pred) || '; splits further: ' || coalesce(n, 0) AS text
 FROM nodes LEFT JOIN kids USING (node_id)""")
 def node_render(spark, sf):
     return d.render(tree_nodes(spark, sf))

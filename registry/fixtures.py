@@ -209,11 +209,3 @@ seg AS (SELECT *, coalesce(sum(CASE WHEN event IS NOT NULL THEN 1 ELSE 0 END)
                OVER (PARTITION BY run ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment
         FROM hist)"""
 
-
-# Wide numeric rows: positive = label below 5
-
-
-def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("row_id"), F.when(F.col("label") < 5, 1).otherwise(-1).alias("y"),
-        F.col("embedding").cast("array<double>").alias("features"))

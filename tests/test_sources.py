@@ -111,7 +111,7 @@ def test_descriptions(spark, tmp_path):
     lines = [r.value for r in spark.read.text(str(tmp_path / "desc")).collect()]
     assert "2, 2, -0.7, is 1A and isnot 2C" in lines
     texts = {r.node_id: r.text for r in describe.render(nodes_df(spark, nodes)).collect()}
-    assert texts[1] == "Node 1: Index 4 <= 0.500000 == false (predict 0.500000), positioned under the node 0, has 1 children."
+    assert texts[1] == "#1 below 0: feature 4 above 0.500000 adds 0.500000; splits further: 1"
     contribution = {(r.sign, r.pos, r.token, r.kind): r.score
                     for r in describe.position_contribution(nodes_df(spark, nodes), names).collect()}
     # both positive rules start with "is 1A", and so does the negative one
