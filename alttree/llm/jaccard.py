@@ -161,19 +161,20 @@ def node_of():
 
 
 def blocks(indexed: DataFrame, p: Params) -> DataFrame:
-    """(hub, band, node, n, tiles): the documents of each key, keys with the same smallest document together, split by size.
+    """(hub, band, node, n, level, tiles): the documents of each key, keys with the same smallest document together, split by size.
 
-    A band holds sizes within p.percent of each other and those of the band below, so partners share one. Written once.
+    A band holds the sizes of its level, within p.percent of each other, and of the level below, so partners share one.
+    Written once.
     """
     rows = indexed.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).distinct()
     least = F.min(F.struct(F.xxhash64("node").alias("h"), "node")).getField("node")
     hubs = rows.groupBy("key").agg(least.alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(p.percent / 100) * 0.999999))
-    members = rows.join(hubs, "key").select("hub", "node", "n").distinct().withColumn("own", own)
-    banded = keep(members.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))), "bands")
-    full = banded.groupBy("hub", "band").agg(F.count("*").alias("c"), F.max(F.col("own") == F.col("band")).alias("has"))
+    members = rows.join(hubs, "key").select("hub", "node", "n").distinct().withColumn("level", own)
+    banded = keep(members.withColumn("band", F.explode(F.array(F.col("level"), F.col("level") + 1))), "bands")
+    full = banded.groupBy("hub", "band").agg(F.count("*").alias("c"), F.max(F.col("level") == F.col("band")).alias("has"))
     full = full.where("c > 1 and has").select("hub", "band", F.ceil(F.col("c") / p.tile).cast("int").alias("tiles"))
-    return keep(banded.join(full, ["hub", "band"]).select("hub", "band", "node", "n", "tiles"), "blocks")
+    return keep(banded.join(full, ["hub", "band"]).select("hub", "band", "node", "n", "level", "tiles"), "blocks")
 
 
 def tiled(members: DataFrame) -> DataFrame:
@@ -229,9 +230,10 @@ def overlaps(members: list[np.ndarray]) -> np.ndarray:
 
 
 def _compared(run: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes, and which pairs of a run are to be compared: different documents, and of different tiles if there are two."""
-    node, own = np.array(run["node"]), np.array(run["own"])
-    ask = node[:, None] != node[None, :]
+    """Sizes, and which pairs of a run are to be compared: different documents, of different tiles if there are two, and
+    not both of the level below, which have a band of their own."""
+    node, own, below = np.array(run["node"]), np.array(run["own"]), np.array(run["level"]) < run["band"][0]
+    ask = (node[:, None] != node[None, :]) & ~(below[:, None] & below[None, :])
     if run["i"][0] != run["j"][0]:
         ask &= own[:, None] != own[None, :]
     return np.array(run["n"]), ask
@@ -253,12 +255,12 @@ def _hopeful(p: Params):
             lacks = size[:, None] - common <= n[:, None] - need
             ok = (ask & lacks & lacks.T & (need <= np.minimum(n[:, None], n[None, :]))).any(1)
             if ok.any():
-                yield pa.RecordBatch.from_pydict({c: [v for v, k in zip(r[c], ok, strict=True) if k] for c in (*PLACE, "node", "n", "own")}, HOPEFUL)
+                yield pa.RecordBatch.from_pydict({c: [v for v, k in zip(r[c], ok, strict=True) if k] for c in (*PLACE, "node", "n", "own", "level")}, HOPEFUL)
 
     return run
 
 
-HOPEFUL = pa.schema([("hub", pa.int64()), ("band", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.int64()), ("n", pa.int64()), ("own", pa.int32())])
+HOPEFUL = pa.schema([("hub", pa.int64()), ("band", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.int64()), ("n", pa.int64()), ("own", pa.int32()), ("level", pa.int64())])
 
 
 def _linked(p: Params):
@@ -279,42 +281,40 @@ def _linked(p: Params):
 
 
 def _sets_of(p: Params, shared):
-    """Whole sets of the rows whose node is marked in a bitmap."""
+    """Whole sets of the rows that are marked in a bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column("node").to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(marked(shared.value, node_bits(nodes), p.bitmap_bits)))
+            marks = batch.column("mark").to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(marked(shared.value, wb.mixed(marks.view(np.uint64)), p.bitmap_bits)))
             for first, last, raw, offsets in wb.slices(batch.column("text")):
                 got = [t.astype("<u8").tobytes() for t in sets(raw, offsets, p.width)]
                 rows = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("doc_id"), pa.array(got, pa.binary())], ["node", "doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("mark"), rows.column("node"), rows.column("doc_id"), pa.array(got, pa.binary())], ["mark", "node", "doc_id", "tokens"])
 
     return run
 
 
-def node_bits(nodes: np.ndarray) -> np.ndarray:
-    return wb.mixed(nodes.astype(np.int64).view(np.uint64))
-
-
 def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, node, n_shingles, class) of each row: class is the same for documents that links connect, null for empty sets."""
     indexed = index(docs, *frequency_bitmaps(docs, p), p)
     first = indexed.groupBy("node").agg(F.min("row_id").alias("row_id"))  # one row of each text
     sketches = indexed.join(first, ["node", "row_id"]).select("node", "doc_id", "sketch")
-    kind = "hub long, band long, i int, j int, node long, n long, own int"
+    kind = "hub long, band long, i int, j int, node long, n long, own int, level long"
     near = tiled(blocks(indexed, p).join(sketches.drop("doc_id"), "node")).mapInArrow(_hopeful(p), kind)
     near = keep(near, "hopeful")
-    wanted = near.select("node").distinct().join(sketches.select("node", "doc_id"), "node")
-    same = (F.col("d.node") == F.col("w.node")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
-    wanted = keep(wanted, "wanted")
-    bitmap = count_bitmaps(wanted.select(F.col("node").alias("text")), lambda c: [node_bits(c.to_numpy(zero_copy_only=False))], [1], p.bitmap_bits)[0]
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # so that texts outside blocks are not shuffled
-    id_kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", node_of().alias("node"), utf8().alias("text"))
-    some = texts.mapInArrow(_sets_of(p, shared), f"node long, doc_id {id_kind}, tokens binary").alias("d")
-    tokens = some.join(wanted.alias("w"), same, "left_semi").select("node", "tokens").dropDuplicates(["node"])
-    ready = near.join(tokens, "node").repartition(partitions(docs.sparkSession), *PLACE).sortWithinPartitions(*PLACE)
+    mark = F.xxhash64("node", "doc_id").alias("mark")
+    wanted = keep(near.select("node").distinct().join(sketches.select("node", "doc_id"), "node").select(mark, "node"), "wanted")
+    bitmap = count_bitmaps(wanted.select(F.col("mark").alias("text")), lambda c: [wb.mixed(c.to_numpy(zero_copy_only=False).view(np.uint64))], [1], p.bitmap_bits)[0]
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # so that only the texts of blocks are shuffled
+    id_kind, parts = docs.schema["doc_id"].dataType.simpleString(), partitions(docs.sparkSession)
+    texts = docs.select("doc_id", node_of().alias("node"), utf8().alias("text")).select(mark, "*")
+    some = texts.mapInArrow(_sets_of(p, shared), f"mark long, node long, doc_id {id_kind}, tokens binary")
+    one = some.repartition(parts, "mark").dropDuplicates(["mark", "node", "doc_id"]).withColumnRenamed("node", "node_")
+    members = near.join(wanted, "node")
+    ready = members.join(one, (members["mark"] == one["mark"]) & (members["node"] == one["node_"])).select(*near.columns, "tokens")
+    ready = ready.repartition(parts, *PLACE).sortWithinPartitions(*PLACE)
     groups = components(ready.mapInArrow(_linked(p), "a long, b long")).withColumnRenamed("node", "member")
     return indexed.join(groups, F.col("node") == F.col("member"), "left").select(
         "doc_id", "node", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("class"))
