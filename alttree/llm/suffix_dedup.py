@@ -36,6 +36,7 @@ from alttree.llm.bitmaps import count_bitmaps, marked
 from alttree.llm.tables import keep, read, utf8
 
 KEY = ["k1", "k2"]
+HELD = 1_000_000
 NO_MARKS = {"skips": None, "hits": None}
 
 
@@ -116,12 +117,27 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _candidates(p: Params, repeated, wanted=None):
-    """(name, context) of the runs whose anchor occurs twice and how often a task saw them; with `wanted`, a bitmap of
-    anchors, only theirs, with one place of each."""
+    """(name, context) of the runs whose anchor occurs twice and how often a task saw them (of up to HELD runs at a time);
+    with `wanted`, a bitmap of anchors, only theirs, with one place of each."""
+
+    def merged(parts: list[tuple], keys: list[pa.Table]) -> pa.RecordBatch:
+        name, context, row, lo, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((context, name))
+        name, context = name[order], context[order]
+        new = np.ones(len(name), bool)
+        new[1:] = (name[1:] != name[:-1]) | (context[1:] != context[:-1])
+        one = np.flatnonzero(new)
+        columns = {"name": pa.array(name[one].view(np.int64)), "context": pa.array(context[one].view(np.int64)),
+                   "n": pa.array(np.diff(np.append(one, len(name))))}
+        if wanted is not None:
+            places = pa.concat_tables(keys).combine_chunks().take(pa.array(row[order[one]]))
+            columns |= {c: places.column(c).combine_chunks() for c in (*KEY, "doc_id")}
+            columns |= {"lo": pa.array(lo[order[one]]), "w": pa.array(w[order[one]].astype(np.int32))}
+        return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns.values()], list(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 1000) for b in batches for at in range(0, len(b), 1000)):
-            parts = []
+        parts, keys, rows, held = [], [], 0, 0
+        for batch in batches:
             for k, text in _texts(batch):
                 r = runs(text, p)
                 if r is None:
@@ -131,21 +147,16 @@ def _candidates(p: Params, repeated, wanted=None):
                     stay &= marked(wanted.value, r.name, p.bitmap_bits)
                 at = np.flatnonzero(stay)
                 if len(at):
-                    parts.append((r.name[at], contexts(r, at, p), np.full(len(at), k), r.first[at], r.last[at] - r.first[at] + 1))
-            if not parts:
-                continue
-            name, context, row, lo, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((context, name))
-            name, context = name[order], context[order]
-            new = np.ones(len(name), bool)
-            new[1:] = (name[1:] != name[:-1]) | (context[1:] != context[:-1])
-            one = np.flatnonzero(new)
-            columns = {"name": pa.array(name[one].view(np.int64)), "context": pa.array(context[one].view(np.int64)),
-                       "n": pa.array(np.diff(np.append(one, len(name))))}
+                    parts.append((r.name[at], contexts(r, at, p), np.full(len(at), rows + k), r.first[at], r.last[at] - r.first[at] + 1))
+                    held += len(at)
+            rows += len(batch)
             if wanted is not None:
-                columns |= {c: batch.column(c).take(pa.array(row[order[one]])) for c in (*KEY, "doc_id")}
-                columns |= {"lo": pa.array(lo[order[one]]), "w": pa.array(w[order[one]].astype(np.int32))}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                keys.append(pa.Table.from_batches([batch.select([*KEY, "doc_id"])]))
+            if held > HELD:
+                yield merged(parts, keys)
+                parts, keys, rows, held = [], [], 0, 0
+        if parts:
+            yield merged(parts, keys)
 
     return run
 
