@@ -32,7 +32,7 @@ from alttree.llm.tables import keep, partitions, read, utf8
 
 K = TypeVar("K")
 LONG = 4096
-CACHE = 400_000  # words of a cache generation, and pieces
+CACHE = 200_000  # words of a cache generation, and pieces
 
 
 def _latin(kinds: str) -> str:
