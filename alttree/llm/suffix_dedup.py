@@ -88,7 +88,8 @@ def runs(raw: np.ndarray, p: Params) -> Runs | None:
         value = np.minimum(value[:span - width], value[width - span:])
     anchor = (value & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
     first = np.flatnonzero(np.diff(anchor, prepend=-1))
-    return Runs(first, np.append(first[1:], windows) - 1, anchor[first], names[anchor[first]], sums)
+    # anchors are smallest hashes and so crowd at the low end; mixed again they spread over bitmaps and partitions
+    return Runs(first, np.append(first[1:], windows) - 1, anchor[first], wb.mixed(names[anchor[first]] + np.uint64(1)), sums)
 
 
 def _names(p: Params):
