@@ -2,9 +2,9 @@
 
 Every text's ids get the end id; only texts longer than a sequence are cut, into full pieces and a rest. Pieces are
 dealt to groups of bounded size by a hash. In a group they are placed longest first, each into the fullest sequence it
-still fits. Then documents of the emptiest sequences are moved into, or exchanged one-for-one or two-for-one with
-documents of, other underfull sequences whenever this raises the sum of squared fills, until sequences fall empty or
-nothing helps. Only lengths are packed; each group leaves an underfull sequence or two at most where lengths allow.
+still fits. Then documents of underfull sequences, emptiest first, are moved into, or exchanged one-for-one or
+two-for-one with documents of, any other underfull sequence whenever this raises the sum of squared fills, until nothing
+helps any more. Underfull sequences are looked up by what they can take, so neither donors nor targets are limited. Only lengths are packed; each group leaves an underfull sequence or two at most where lengths allow.
 
 Null texts count as empty: their piece is the end id alone. Each row is packed for itself, repeated rows too; other
 columns are not read; an empty table gives no pieces.
@@ -27,12 +27,9 @@ from alttree.llm.tables import read
 
 @dataclass(frozen=True)
 class Params:
-    """`effort` bounds the local search of a group: donors tried, and targets looked at for each. No piece is left out."""
-
     size: int = 2048
     end_id: int = 0
     group: int = 20_000
-    effort: int = 200
 
 
 def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
@@ -58,51 +55,108 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, size: int, effort: int) -> list[list[int]]:
-    """Local search over the underfull bins; returns the bins that are not empty."""
-    fill = [int(sum(lengths[k] for k in b)) for b in bins]
-    short = sorted((b for b in range(len(bins)) if fill[b] < size), key=lambda b: fill[b])
-    for donor in short[:effort]:
-        others = [b for b in reversed(short) if b != donor and bins[b]][:effort]
-        better = True
-        while better and bins[donor]:
-            better = False
-            for b in others:
-                if fill[b] < size and fill[b] >= fill[donor] and _exchange(bins[donor], bins[b], lengths, size - fill[b], fill, donor, b):
-                    better = True
+class _Room:
+    """Underfull bins by what they can take: (capacity, m) -> bins with a piece of length m and room capacity - m; m is 0 for a move."""
+
+    def __init__(self, size: int):
+        self.bins: dict[tuple[int, int], dict[int, None]] = {}
+        self.returned = [0] * (size + 1)  # per capacity: bit m
+        self.capacities = 0
+
+    def add(self, b: int, room: int, pieces: set[int]) -> None:
+        for m in pieces:
+            self.bins.setdefault((m + room, m), {})[b] = None
+            self.returned[m + room] |= 1 << m
+            self.capacities |= 1 << (m + room)
+
+    def drop(self, b: int, room: int, pieces: set[int]) -> None:
+        for m in pieces:
+            same = self.bins[m + room, m]
+            del same[b]
+            if not same:
+                del self.bins[m + room, m]
+                self.returned[m + room] &= ~(1 << m)
+                if not self.returned[m + room]:
+                    self.capacities &= ~(1 << (m + room))
+
+    def best(self, n: int, most: int) -> tuple[int, int] | None:
+        """(capacity, m) of the bin with at most `most` room that n fills best, m coming back; of equals the one that gains most."""
+        rest, smaller = self.capacities >> n << n, (1 << n) - 1
+        while rest:
+            capacity = (rest & -rest).bit_length() - 1
+            rest &= rest - 1
+            least = max(0, capacity - most)
+            fits = (self.returned[capacity] & smaller) >> least
+            if fits:
+                return capacity, least + (fits & -fits).bit_length() - 1
+        return None
+
+
+def improve(bins: list[list[int]], lengths: np.ndarray, size: int, effort: int | None = None) -> list[list[int]]:
+    """Local search over the underfull bins until no exchange of any two raises the squared fills; returns the bins that are not empty.
+
+    `effort` bounds nothing any more.
+    """
+    length = [int(n) for n in lengths]
+    fill = [sum(length[k] for k in b) for b in bins]
+    index = _Room(size)
+
+    def pieces(b: int) -> set[int]:
+        return {0, *(length[k] for k in bins[b])}
+
+    for b in range(len(bins)):
+        if bins[b] and fill[b] < size:
+            index.add(b, size - fill[b], pieces(b))
+    changed = True
+    while changed:
+        changed = False
+        for donor in sorted((b for b in range(len(bins)) if bins[b] and fill[b] < size), key=lambda b: fill[b]):
+            if fill[donor] == size:  # filled since
+                continue
+            index.drop(donor, size - fill[donor], pieces(donor))
+            while bins[donor] and (found := _exchange(bins[donor], length, size - fill[donor], index)):
+                out, capacity, m = found
+                target = next(iter(index.bins[capacity, m]))
+                index.drop(target, capacity - m, pieces(target))
+                back = [next(k for k in bins[target] if length[k] == m)] if m else []
+                for give, take, moved in ((donor, target, out), (target, donor, back)):
+                    for k in moved:
+                        bins[give].remove(k)
+                        bins[take].append(k)
+                gain = sum(length[k] for k in out) - m
+                fill[target] += gain
+                fill[donor] -= gain
+                if fill[target] < size:
+                    index.add(target, size - fill[target], pieces(target))
+                changed = True
+            if bins[donor]:
+                index.add(donor, size - fill[donor], pieces(donor))
     return [b for b in bins if b]
 
 
-def _exchange(give: list[int], take: list[int], lengths: np.ndarray, room: int, fill: list[int], donor: int, target: int) -> bool:
-    """The move, one-for-one or two-for-one exchange that fills `take` most. It is the fuller bin, so squares grow."""
-    best: tuple[int, tuple[int, ...], int | None] = (0, (), None)
-    sizes = [(int(lengths[k]), k) for k in give]
-    sets = [(n, (k,)) for n, k in sizes] + [(a + b, (i, j)) for x, (a, i) in enumerate(sizes[:64]) for b, j in sizes[x + 1:64]]
-    back = sorted((int(lengths[k]), k) for k in take)
-    back_sizes = np.array([n for n, _ in back])
-    for n, ks in sets:
-        if len(ks) == 1 and best[0] < n <= room:
-            best = (n, ks, None)
-        at = int(np.searchsorted(back_sizes, n - room))  # the smallest that makes room enough gains most
-        if at < len(back) and 0 < n - back[at][0] <= room and n - back[at][0] > best[0]:
-            best = (n - back[at][0], ks, back[at][1])
-    gain, out, returned = best
-    if not gain:
-        return False
-    for k in out:
-        give.remove(k)
-        take.append(k)
-    if returned is not None:
-        take.remove(returned)
-        give.append(returned)
-    fill[target] += gain
-    fill[donor] -= gain
-    return True
+def _exchange(give: list[int], length: list[int], room: int, index: _Room) -> tuple[tuple[int, ...], int, int] | None:
+    """The move, one-for-one or two-for-one exchange that leaves least room in the target, a bin at least as full: squares grow.
+
+    Returns the pieces to give, and the target's place in the index.
+    """
+    of: dict[int, list[int]] = {}
+    for k in give:
+        of.setdefault(length[k], []).append(k)
+    sets = {a + b: (of[a][0], of[b][a == b]) for a in of for b in of if a < b or a == b and len(of[a]) > 1}
+    sets |= {n: (ks[0],) for n, ks in of.items()}
+    best, least = None, None
+    for n in sorted((n for n in sets if n), reverse=True):
+        at = index.best(n, room)
+        if at and (least is None or at[0] - n < least):
+            best, least = (sets[n], *at), at[0] - n
+            if not least:
+                break
+    return best
 
 
 def pack_group(lengths: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Sequence number and offset of each piece."""
-    bins = improve(best_fit(lengths, p.size), lengths, p.size, p.effort)
+    bins = improve(best_fit(lengths, p.size), lengths, p.size)
     place, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for b, members in enumerate(bins):
         sizes = lengths[members]

@@ -87,6 +87,24 @@ def test_local_search_empties_bins():
         assert sorted(k for b in bins for k in b) == list(range(80))
 
 
+def test_local_search_covers_all_underfull_bins():
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(400, 701, 6000)
+    start = packing.best_fit(lengths, 2048)
+    assert sum(lengths[b].sum() < 2048 for b in start) > 1000
+    bins = packing.improve([list(b) for b in start], lengths, 2048)
+    assert len(bins) <= len(start) - 50 and sorted(k for b in bins for k in b) == list(range(6000))
+    assert all(lengths[b].sum() <= 2048 for b in bins)
+    lengths = rng.integers(12, 40, 300)
+    bins = packing.improve(packing.best_fit(lengths, 64), lengths, 64)
+    sets = [{n for k in range(len(b)) for n in (lengths[b[k]], *(lengths[b[k]] + lengths[j] for j in b[:k]))} for b in bins]
+    for donor, n_of in zip(bins, sets, strict=True):
+        for target in bins:
+            room = 64 - lengths[target].sum()
+            if donor is not target and lengths[target].sum() >= lengths[donor].sum():
+                assert not any(0 < n - m <= room for n in n_of for m in (0, *lengths[target]))
+
+
 def brute_repeats(rows, threshold):
     seen = Counter(b[p:p + threshold] for _, b in rows for p in range(len(b) - threshold + 1))
     out = []
