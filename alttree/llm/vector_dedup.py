@@ -1,13 +1,14 @@
-"""Near duplicates among embeddings, by sorted projection passes.
+"""Near duplicates among embeddings, by passes of random cells.
 
-A pass hashes each vector to the signs of its projections on random directions and orders the vectors by these signs,
-one after the other: vectors at a small angle agree on the first signs in some passes and then stand close together.
-Every vector is compared with the `window` next ones of each pass, across the borders of partitions too, and pairs
-with a cosine of `least` or more are links. The links of all passes are united to components.
+A pass hashes each vector to the signs of its projections on a few random directions; vectors with the same signs are a
+cell, and all of a cell are compared with all, tile by tile inside tasks. Pairs with a cosine of `least` or more are
+links, and those of all passes are united to components. Two vectors at an angle t share a cell of k signs with
+probability (1 - t / pi)^k, whatever else is in the table. k is taken from the number of vectors, so that a cell holds
+about `cell` unrelated ones, and the number of passes so that a pair at exactly `least` shares a cell in some pass with
+probability `recall`. Both grow slowly: 14 passes for 20 thousand vectors, 35 for a million, 68 for ten million.
 
-A window is a bound on neighbours, so the rest is done exactly: within a component all vectors are compared with all,
-tile by tile inside tasks, which give each vector's number of links. A link can only be missed where no pass connects
-its two components (recall is measured in the tests).
+Within a component all vectors are then compared with all in the same way, which gives each vector's number of links. A
+link can only be missed where no pass connects its two components (recall is measured in the tests).
 
 Vectors that are null, zero, or hold a null or non-finite number link with nothing, as do vectors of another length.
 Equal vectors are one point with a count. Rows are counted one by one, repeated ids too; labels and other columns are
@@ -32,12 +33,18 @@ from alttree.llm.tables import keep, partitions, read
 @dataclass(frozen=True)
 class Params:
     least: float = 0.9
-    passes: int = 16
-    signs: int = 48
-    window: int = 24
+    recall: float = 0.999
+    cell: int = 512
     tile: int = 512
+    cell_tile: int = 2048
     seed: int = 11
 
+    def shape(self, n: int) -> tuple[int, int]:
+        """(signs, passes) for n vectors."""
+        signs = max(0, int(np.ceil(np.log2(max(n, 1) / self.cell))))
+        share = (1 - np.arccos(self.least) / np.pi) ** signs
+        return signs, 1 if signs == 0 else int(np.ceil(np.log(1 - self.recall) / np.log(1 - share)))
+
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
@@ -57,104 +64,94 @@ def points(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
     return rows.select("row_id", v.alias("vector")).where(usable).groupBy("vector").agg(F.min("row_id").alias("point"), F.count("*").alias("times"))
 
 
-def _hashed(p: Params):
-    """Every vector once for each pass, with the signs of its projections as one number."""
+def _hashed(p: Params, signs: int, passes: int):
+    """The cell of every vector in each pass; vectors of another length are in another lane."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
+        weights = 1 << np.arange(signs, dtype=np.int64)
         for batch in batches:
             sizes = np.diff(batch.column("vector").offsets.to_numpy())
             for size in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == size))
                 if size not in planes:
-                    planes[size] = np.random.default_rng([p.seed, int(size)]).normal(size=(size, p.passes * p.signs))
-                bits = _matrix(part.column("vector"), size) @ planes[size] > 0
-                weights = 1 << np.arange(p.signs - 1, -1, -1, dtype=np.int64)
-                signs = bits.reshape(-1, p.passes, p.signs) @ weights
-                for k in range(p.passes):
-                    n = len(part)
+                    planes[size] = np.random.default_rng([p.seed, int(size)]).normal(size=(size, passes * signs))
+                bits = _unit(_matrix(part.column("vector"), size)) @ planes[size] > 0
+                cells = bits.reshape(len(part), passes, signs) @ weights
+                for k in range(passes):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, int(size) * p.passes + k, np.int64)), pa.array(signs[:, k]), part.column("point"), part.column("vector")],
-                        ["lane", "signs", "point", "vector"])
+                        [pa.array(np.full(len(part), int(size) * passes + k, np.int64)), pa.array(cells[:, k]), part.column("point")],
+                        ["lane", "cell", "point"])
 
     return run
 
 
-def _near(ids: np.ndarray, unit: np.ndarray, p: Params, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links of rows at most `window` apart; with `split` only those across that row."""
+def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal values in sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        marks = np.stack([batch.column(c).to_numpy() for c in by], 1).astype(np.int64)
+        edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1), len(batch)]
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            if held and not (marks[s] == last).all():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(s, e - s))
+            last = marks[s]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _forest(unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (first row, other row) that connect the same rows as all links among them do."""
+    n = len(unit)
+    link = np.empty((n, n), bool)
+    for s in range(0, n, 512):
+        link[s:s + 512] = unit[s:s + 512] @ unit.T >= least
+    np.fill_diagonal(link, False)
+    todo = link.any(1)
     a, b = [], []
-    for gap in range(1, min(p.window, len(ids) - 1) + 1):
-        hit = (unit[:-gap] * unit[gap:]).sum(1) >= p.least
-        if split is not None:
-            at = np.arange(len(ids) - gap)
-            hit &= (at < split) & (at + gap >= split)
-        k = np.flatnonzero(hit)
-        a.append(ids[k])
-        b.append(ids[k + gap])
+    for root in np.flatnonzero(todo):
+        if not todo[root]:
+            continue
+        todo[root], front = False, np.array([root])
+        while len(front):
+            front = np.flatnonzero(link[front].any(0) & todo)
+            todo[front] = False
+            a.append(np.full(len(front), root))
+            b.append(front)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
-def _windows(p: Params):
-    """Links inside a sorted partition; its first and last rows once more, for the borders before and after it."""
-
-    def rows(a, b, border, place, lane, vectors) -> pa.RecordBatch:
-        n = len(a)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([border] * n, pa.int64()), pa.array(place, pa.int32()),
-             pa.array(lane, pa.int64()), vectors],
-            ["a", "b", "border", "place", "lane", "vector"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        me, tail, first = TaskContext.get().partitionId(), None, True
-        for batch in batches:
-            if not len(batch):
-                continue
-            batch = batch.select(["lane", "point", "vector"])
-            if first:
-                head = batch.slice(0, p.window)
-                yield rows(head.column("point"), head.column("point"), me - 1, np.arange(len(head)), head.column("lane"), head.column("vector"))
-                first = False
-            joined = pa.Table.from_batches([tail, batch] if tail is not None else [batch]).combine_chunks().to_batches()[0]
-            lanes = joined.column("lane").to_numpy()
-            edges = np.flatnonzero(np.diff(lanes, prepend=lanes[0] - 1, append=lanes[-1] + 1))
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                part = joined.slice(s, e - s)
-                unit = _unit(_matrix(part.column("vector"), len(part.column("vector")[0])))
-                a, b = _near(part.column("point").to_numpy(), unit, p)
-                yield rows(a, b, -2, np.zeros(len(a)), np.full(len(a), -1), pa.nulls(len(a), part.column("vector").type))
-            tail = joined.slice(max(0, len(joined) - p.window))
-        if tail is not None:
-            n = len(tail)
-            yield rows(tail.column("point"), tail.column("point"), me, np.arange(n) - n, tail.column("lane"), tail.column("vector"))
-
-    return run
+def _linked(p: Params):
+    """Links of the cells, or pairs of tiles of large cells, as a forest."""
 
-
-def _borders(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in runs(batches, ["border", "lane"]):
-            if len(r["a"]) < 2:
-                continue
-            order = np.argsort(r["place"], kind="stable")
-            split = sum(x < 0 for x in r["place"])
-            unit = _unit(np.array([r["vector"][k] for k in order], float))
-            a, b = _near(np.array([r["a"][k] for k in order]), unit, p, split)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for r in _runs(batches, ["lane", "cell", "i", "j"]):
+            vectors = r.column("vector").combine_chunks()
+            ids = r.column("point").to_numpy()
+            a, b = _forest(_unit(_matrix(vectors, len(vectors[0]))), p.least)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], ["a", "b"])
 
     return run
 
 
-def window_links(found: DataFrame, p: Params) -> DataFrame:
-    """(a, b) of links between neighbours in some pass. found: point, vector."""
-    parts = partitions(found.sparkSession)
-    kind = found.schema["vector"].dataType.simpleString()
-    passes = found.select("point", "vector").mapInArrow(_hashed(p), f"lane long, signs long, point long, vector {kind}")
-    ordered = passes.repartitionByRange(parts, "lane", "signs", "point").sortWithinPartitions("lane", "signs", "point")
-    done = keep(ordered.mapInArrow(_windows(p), f"a long, b long, border long, place int, lane long, vector {kind}"), "windows")
-    border = done.where("border > -2").repartition(parts, "border", "lane").sortWithinPartitions("border", "lane", "place")
-    return done.where("border = -2").select("a", "b").unionByName(border.mapInArrow(_borders(p), "a long, b long"))
+def cell_links(found: DataFrame, p: Params) -> DataFrame:
+    """(a, b) of links inside some pass's cells, as many as connect what all of them do. found: point, vector."""
+    signs, passes = p.shape(found.count())
+    placed = keep(found.select("point", "vector").mapInArrow(_hashed(p, signs, passes), "lane long, cell long, point long"), "cells")
+    size = placed.groupBy("lane", "cell").agg(F.count("*").alias("c")).where("c > 1").select(
+        "lane", "cell", F.ceil(F.col("c") / p.cell_tile).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64("point", "lane"), F.col("tiles")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    place = ["lane", "cell", "i", "j"]
+    tiled = placed.join(size, ["lane", "cell"]).withColumn("own", own).withColumn("pair", F.explode(pairs)).select(
+        "lane", "cell", "pair.i", "pair.j", "point").join(found.select("point", "vector"), "point")
+    tiled = tiled.select(*place, "point", "vector").repartition(partitions(found.sparkSession), *place).sortWithinPartitions(*place)
+    return tiled.mapInArrow(_linked(p), "a long, b long")
 
 
 def _counts(p: Params):
@@ -177,7 +174,7 @@ def near_duplicates(rows: DataFrame, id_column: str, vector: str, p: Params = Pa
     """(id, n_links, component_id, kept) of each row; component_id is the smallest id that links reach."""
     kept = keep(rows.select(F.monotonically_increasing_id().alias("row_id"), id_column, vector), "vectors")
     found = keep(points(kept, id_column, vector), "points")
-    groups = components(window_links(found, p))
+    groups = components(cell_links(found, p))
     members = found.join(groups, F.col("point") == F.col("node")).select("component", "point", "times", "vector")
     size = members.groupBy("component").agg(F.ceil(F.count("*") / p.tile).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("point"), F.col("tiles")).cast("int")

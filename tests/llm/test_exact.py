@@ -233,3 +233,36 @@ def test_vector_links_equal_brute_force(spark):
     assert sum(e[1] for e in expected) > 10_000
     assert sum(g[1] for g in got) >= 0.9 * sum(e[1] for e in expected)
     assert got == expected
+
+
+def test_vector_passes_follow_the_row_count():
+    for n in (1, 600, 20_000, 1_000_000, 1_000_000_000):
+        signs, passes = vector_dedup.Params().shape(n)
+        assert n / 2**signs <= 512 and 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** signs) ** passes >= 0.999
+
+
+def test_vector_recall_among_unrelated_and_similar_vectors(spark):
+    """Pairs at cosine 0.9 to 0.92: some alone, some in a crowd whose vectors are all moderately similar."""
+    rng, size = np.random.default_rng(8), 256
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    centre = unit(rng.normal(size=size))
+    crowd = unit(np.sqrt(0.8) * centre + np.sqrt(0.2) * unit(rng.normal(size=(3000, size))))
+    base = np.concatenate([crowd, unit(rng.normal(size=(5000, size)))])
+    chosen = np.r_[:200, 3000:3200]
+    cosine = rng.uniform(0.9001, 0.92, (len(chosen), 1))
+    aside = rng.normal(size=(len(chosen), size))
+    aside = unit(aside - (aside * base[chosen]).sum(1, keepdims=True) * base[chosen])
+    vectors = np.concatenate([base, cosine * base[chosen] + np.sqrt(1 - cosine**2) * aside])
+    rows = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>")
+    component = {r.vec_id: r.component_id for r in vector_dedup.near_duplicates(rows, "vec_id", "embedding").collect()}
+    found = np.array([component[8000 + k] == component[int(c)] for k, c in enumerate(chosen)])
+    assert found[:200].mean() >= 0.99 and found[200:].mean() >= 0.99
+
+
+def test_few_vectors_are_one_cell(spark):
+    vectors = [[1.0, 0.0], [1.0, 0.1], [0.0, 1.0], [1.0, 0.0, 0.0], [1.0, 0.1, 0.0]]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in vector_dedup.near_duplicates(rows, "vec_id", "embedding").collect()) == brute_links(vectors, 0.9)
