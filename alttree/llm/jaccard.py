@@ -160,6 +160,11 @@ def node_of():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def level(n: str, p: Params):
+    """Sizes of linked sets are at most one level apart: a level is slightly wider than the largest ratio of sizes."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.lit(-np.log(p.percent / 100) * 1.000001))
+
+
 def blocks(indexed: DataFrame, p: Params) -> DataFrame:
     """(hub, band, node, n, level, tiles): the documents of each key, keys with the same smallest document together, split by size.
 
@@ -169,8 +174,7 @@ def blocks(indexed: DataFrame, p: Params) -> DataFrame:
     rows = indexed.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).distinct()
     least = F.min(F.struct(F.xxhash64("node").alias("h"), "node")).getField("node")
     hubs = rows.groupBy("key").agg(least.alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
-    own = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(p.percent / 100) * 0.999999))
-    members = rows.join(hubs, "key").select("hub", "node", "n").distinct().withColumn("level", own)
+    members = rows.join(hubs, "key").select("hub", "node", "n").distinct().withColumn("level", level("n", p))
     banded = keep(members.withColumn("band", F.explode(F.array(F.col("level"), F.col("level") + 1))), "bands")
     full = banded.groupBy("hub", "band").agg(F.count("*").alias("c"), F.max(F.col("level") == F.col("band")).alias("has"))
     full = full.where("c > 1 and has").select("hub", "band", F.ceil(F.col("c") / p.tile).cast("int").alias("tiles"))

@@ -201,6 +201,12 @@ def test_jaccard_equals_brute_force(spark, percent, frequent, tile):
         assert sorted(r.doc_id for r in left.collect()) == sorted(groups | empty)
 
 
+def test_sizes_of_the_largest_ratio_are_one_level_apart(spark):
+    sizes = spark.createDataFrame([(1_991_336,), (2_489_170,)], "n long")
+    low, high = (r.x for r in sizes.orderBy("n").select(jaccard.level("n", jaccard.Params(percent=80)).alias("x")).collect())
+    assert high - low <= 1
+
+
 def brute_links(vectors, least):
     usable = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for v in vectors]
     unit = [np.array(v, float) / np.abs(v).max() if u else None for v, u in zip(vectors, usable, strict=True)]
