@@ -15,7 +15,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write a table once below the shared folder and read it back.
 
     Several later steps then read the same rows, lineage starts anew, and a lost executor costs a read, not a
@@ -23,7 +23,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"llm-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     kept = spark.read.schema(df.schema).parquet(path)
     kept.kept_at = path
     return kept
