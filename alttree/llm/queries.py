@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from alttree.llm import alignment, bpe, chat, jaccard, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter, vector_dedup
+from alttree.llm import alignment, bpe, chat, collocations, jaccard, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter, vector_dedup
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     "op11_alignment": alignment.op11_alignment,
+    "op12_collocations": collocations.op12_collocations,
     "op2_chat_format": chat.op2_chat_format,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_vector_dedup": vector_dedup.op4_vector_dedup,
@@ -18,6 +19,7 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
 }
 ORACLES = {
+    "op12_collocations": collocations.SQL,
     "op2_chat_format": chat.SQL,
     "op5_url_filter": url_filter.SQL,
     "op6_sharding": sharding.SQL,
