@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from alttree.llm import alignment, bpe, chat, collocations, jaccard, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter, vector_dedup
+from alttree.llm import alignment, bpe, chat, collocations, jaccard, packing, quality_classifier, quality_rules, sharding, suffix_dedup, toxicity, url_filter, vector_dedup
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     "op11_alignment": alignment.op11_alignment,
     "op12_collocations": collocations.op12_collocations,
+    "op13_toxicity": toxicity.op13_toxicity,
     "op2_chat_format": chat.op2_chat_format,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_vector_dedup": vector_dedup.op4_vector_dedup,
