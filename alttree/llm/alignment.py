@@ -9,7 +9,11 @@ adds the space itself. Strings of special tokens in a text are plain text. Null
 texts whose joined token bytes differ from the space and the text (such as those that hold U+2581): all their counts
 are 0 and their digest is empty. Texts of one doc_id are aligned one by one, repeated rows too, and each counts in the
 corpus; ties for a B token's most frequent partner are all best. An empty table gives no rows; only doc_id and text are
-read. Very long texts are cut before a space between two ASCII letters, where tokens of both always end.
+read.
+
+No token of either reaches over a space between two other characters, so texts are cut before such spaces (where these
+are below U+0250 and surely not white space). The matrices are then block diagonal, a block for each segment; different
+segments are aligned together, and those seen lately are looked up. Very long texts are worked on in parts.
 
 The corpus-wide count of a pair of ids is the number of links that hold it. Counts are added up by Spark and looked up
 by the texts' own pairs in blocks of at most `block` pairs of ids, one broadcast and one pass over the kept pairs for
@@ -19,6 +23,7 @@ each block, so what a task holds does not grow with the number of pairs.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -36,7 +41,11 @@ from alttree.llm.tables import keep, read, utf8
 CHUNK = 1 << 16  # characters of a text after which it is cut where it can be
 SLICE = 1 << 20  # characters aligned at once
 BLOCK = 1 << 22  # pairs of ids broadcast at once
-CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+STRETCH = 200
+LATELY = 100_000
+LINE = 1000  # characters of segments encoded together
+EDGE = re.compile("[!-~¡-ɏ]")
+CUT = re.compile("(?<=[!-~¡-ɏ]) (?=[!-~¡-ɏ])")
 
 
 @dataclass
@@ -61,7 +70,7 @@ class Vocabulary:
 class Tokenizers:
     """Both libraries with their vocabularies' bytes, and the decimals of ids with what follows them in a digest."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, pattern: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -73,7 +82,8 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = {chr(c): b for b, c in BYTE_LETTERS.items()}
         names = [self.a.id_to_token(k) or "" for k in range(self.a.get_vocab_size())]
-        self.bytes_a = Vocabulary.of([bytes(letters[c] for c in x) if all(c in letters for c in x) else x.encode() for x in names])
+        tokens = [bytes(letters[c] for c in x) if all(c in letters for c in x) else x.encode() for x in names]
+        self.bytes_a, self.ranked = Vocabulary.of(tokens), self._ranked(path_a, tokens, pattern)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = Vocabulary.of([bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)])
         #: No piece reaches over the start of a word, so texts may be cut there.
@@ -81,6 +91,36 @@ class Tokenizers:
         size = max(len(names), len(pieces))
         self.decimal = {end: np.array([f"{k}{end}" for k in range(size)], object) for end in (",", "|", ";")}
 
+    def _ranked(self, path: str, tokens: list[bytes], pattern: str | None):
+        """A's vocabulary as ranks for tiktoken, where its ids follow the order of its merges."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        first = len({t for t in tokens if len(t) == 1})
+        if pattern is None or [self.a.token_to_id(x + y) for x, y in pairs] != list(range(first, first + len(pairs))):
+            return None
+        special = self.a.get_added_tokens_decoder()
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={t: k for k, t in enumerate(tokens) if k not in special}, special_tokens={})
+
+    def encode_a(self, chunks: list[str]) -> list[list[int]]:
+        """A's ids of each chunk and the space before it.
+
+        tiktoken, some times faster, does Latin-1 text without long stretches, where both libraries split alike whatever
+        their Unicode version; the rest is left to the tokenizers library.
+        """
+        out: list = [None] * len(chunks)
+        rest = []
+        for k, c in enumerate(chunks):
+            if self.ranked is not None and plain(c):
+                out[k] = self.ranked.encode_ordinary(f" {c}")
+            else:
+                rest.append(k)
+        for k, e in zip(rest, self.a.encode_batch_fast([f" {chunks[k]}" for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
+
     def chunks(self, text: str) -> Iterator[str]:
         """A text in parts, each without the space it starts with."""
         at = 0
@@ -90,14 +130,33 @@ class Tokenizers:
         yield text[at:]
 
 
-_tokenizers: dict[tuple[str, str], Tokenizers] = {}
+def plain(text: str) -> bool:
+    """Latin-1 throughout, and no stretch of white space or of anything else longer than STRETCH."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    if len(text) <= STRETCH:
+        return True
+    sizes = list(map(len, text.split()))
+    return max(sizes, default=0) <= STRETCH and len(text) - sum(sizes) - len(sizes) <= STRETCH
+
 
+_tokenizers: dict[tuple[str, str, str | None], Tokenizers] = {}
 
-def tokenizers(path_a: str, path_b: str) -> Tokenizers:
+
+def tokenizers(path_a: str, path_b: str, pattern: str | None) -> Tokenizers:
     """One per worker."""
-    if (path_a, path_b) not in _tokenizers:
-        _tokenizers[path_a, path_b] = Tokenizers(path_a, path_b)
-    return _tokenizers[path_a, path_b]
+    if (path_a, path_b, pattern) not in _tokenizers:
+        _tokenizers[path_a, path_b, pattern] = Tokenizers(path_a, path_b, pattern)
+    return _tokenizers[path_a, path_b, pattern]
+
+
+def split_pattern() -> str | None:
+    """The pattern by which byte-level BPE splits text, where the vocabularies' package states it."""
+    import public_tokenizers
+
+    return getattr(public_tokenizers, "PATTERN", None)
 
 
 def flat(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -108,18 +167,16 @@ def flat(rows: list) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Aligned:
-    """Several chunks aligned together: ids and byte ends of A and B, the group of each token, bounds per chunk."""
+    """Chunks aligned together: which are valid; of these the ids and byte ends of A and B, the ends of groups, and the group of each token."""
 
     valid: np.ndarray
     a: np.ndarray
     b: np.ndarray
     ends_a: np.ndarray
     ends_b: np.ndarray
-    bounds_a: np.ndarray
-    bounds_b: np.ndarray
+    ends_g: np.ndarray
     group_a: np.ndarray
     group_b: np.ndarray
-    bounds_g: np.ndarray
 
     def links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(A token, B token, bytes in common) of all overlapping pairs: A · Bᵀ over bytes."""
@@ -127,7 +184,7 @@ class Aligned:
 
     def groups(self) -> tuple[Csr, Csr]:
         """Token-group incidence of A, and group-token incidence of B."""
-        n = int(self.bounds_g[-1])
+        n = len(self.ends_g)
         return Csr.one_each(self.group_a, n), Csr.one_each(self.group_b, n).transposed()
 
     def group_links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -135,9 +192,9 @@ class Aligned:
         a, b = self.groups()
         return a.product(b)
 
-    def group_text(self, decimal: dict[str, np.ndarray]) -> list[str]:
-        """Each chunk's groups as `a1,a2|b1;`, one after the other."""
-        n = int(self.bounds_g[-1])
+    def group_text(self, decimal: dict[str, np.ndarray], bounds: np.ndarray) -> list[str]:
+        """The groups as `a1,a2|b1;`, one after the other, between bounds that count tokens of A and B."""
+        n = len(self.ends_g)
         per_a, per_b = np.bincount(self.group_a, minlength=n), np.bincount(self.group_b, minlength=n)
         upto_a, upto_b = np.cumsum(per_a), np.cumsum(per_b)
         last_a, last_b = np.zeros(len(self.a), bool), np.zeros(len(self.b), bool)
@@ -145,17 +202,15 @@ class Aligned:
         out = np.empty(len(self.a) + len(self.b), object)
         out[np.arange(len(self.a)) + (upto_b - per_b)[self.group_a]] = np.where(last_a, decimal["|"][self.a], decimal[","][self.a])
         out[np.arange(len(self.b)) + upto_a[self.group_b]] = np.where(last_b, decimal[";"][self.b], decimal[","][self.b])
-        bounds = (self.bounds_a + self.bounds_b).tolist()
-        pieces = out.tolist()
-        return ["".join(pieces[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        cut, pieces = bounds.tolist(), out.tolist()
+        return ["".join(pieces[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def align(chunks: list[str], t: Tokenizers) -> Aligned:
     """Chunks (not empty) with the space before each."""
-    a, bounds_a = flat([e.ids for e in t.a.encode_batch_fast([f" {c}" for c in chunks], add_special_tokens=False)])
+    a, bounds_a = flat(t.encode_a(chunks))
     b, bounds_b = flat(t.b.encode(chunks, num_threads=1))
     given = [f" {c}".encode() for c in chunks]
-    sizes = np.array([len(g) for g in given], np.int64)
     got_a, got_b, want = t.bytes_a.joined(a), t.bytes_b.joined(b), np.frombuffer(b"".join(given), np.uint8)
     valid = np.ones(len(chunks), bool)
     ends_a, ends_b = np.cumsum(t.bytes_a.sizes(a)), np.cumsum(t.bytes_b.sizes(b))
@@ -164,12 +219,9 @@ def align(chunks: list[str], t: Tokenizers) -> Aligned:
         for k, g in enumerate(given):
             valid[k] = got_a[cut_a[k]:cut_a[k + 1]].tobytes() == g and got_b[cut_b[k]:cut_b[k + 1]].tobytes() == g
         a, b = a[np.repeat(valid, np.diff(bounds_a))], b[np.repeat(valid, np.diff(bounds_b))]
-        bounds_a, bounds_b = (np.concatenate([[0], np.cumsum(np.diff(x) * valid)]) for x in (bounds_a, bounds_b))
         ends_a, ends_b = np.cumsum(t.bytes_a.sizes(a)), np.cumsum(t.bytes_b.sizes(b))
-        sizes = sizes * valid
-    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    bounds_g = np.searchsorted(common, np.concatenate([[0], np.cumsum(sizes)]), "right")
-    return Aligned(valid, a, b, ends_a, ends_b, bounds_a, bounds_b, np.searchsorted(common, ends_a), np.searchsorted(common, ends_b), bounds_g)
+    ends_g = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    return Aligned(valid, a, b, ends_a, ends_b, ends_g, np.searchsorted(ends_g, ends_a), np.searchsorted(ends_g, ends_b))
 
 
 def add_up(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,18 +241,97 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+#: What a segment adds to its text: five counts (n_a is -1 if its bytes differ), its groups, its links' pairs of ids.
+Part = tuple[bytes, str, bytes]
+
+
+def lines(segments: list[str]) -> Iterator[list[str]]:
+    """Segments that may stand in one line, where each is cut off exactly; the others alone."""
+    line, size = [], 0
+    for s in segments:
+        if not (EDGE.match(s) and EDGE.match(s, len(s) - 1)):
+            yield [s]
+            continue
+        line.append(s)
+        size += len(s)
+        if size > LINE:
+            yield line
+            line, size = [], 0
+    if line:
+        yield line
+
+
+def measure(segments: list[str], t: Tokenizers) -> Iterator[tuple[str, Part]]:
+    """Segments, in any order, with their parts; the byte matrices are those of many lines of segments."""
+    held, size = [], 0
+    for line in lines(segments):
+        held.append(line)
+        size += sum(map(len, line))
+        if size >= SLICE:
+            yield from _measured(held, t)
+            held, size = [], 0
+    if held:
+        yield from _measured(held, t)
+
+
+def _measured(rows: list[list[str]], t: Tokenizers) -> Iterator[tuple[str, Part]]:
+    x = align([" ".join(r) for r in rows], t)
+    failed = [s for r, ok in zip(rows, x.valid, strict=True) if not ok for s in r]
+    if failed and len(rows) < sum(map(len, rows)):  # a segment spoils its line, not the others
+        yield from _measured([[s] for s in failed], t)
+        failed = []
+    for s in failed:
+        yield s, (np.array([-1, 0, 0, 0, 0], np.int64).tobytes(), "", b"")
+    segments = [s for r, ok in zip(rows, x.valid, strict=True) if ok for s in r]
+    ends = np.cumsum([0, *(1 + len(s.encode()) for s in segments)])
+    bounds_a, bounds_b, bounds_g = (np.searchsorted(e, ends, "right") for e in (x.ends_a, x.ends_b, x.ends_g))
+    a, b = x.groups()
+    in_groups = np.concatenate([[0], np.cumsum(a.work(b))])
+    links = [(i, x.b[j] << 16 | x.a[i]) for i, j, _ in x.links()]
+    row, pair = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*links, strict=True) if links else ((), ())))
+    at = np.searchsorted(row, bounds_a)
+    counts = np.stack([np.diff(c) for c in (bounds_a, bounds_b, bounds_g, at, in_groups[bounds_a])], axis=1).astype(np.int64).tobytes()
+    text, pairs, cut = x.group_text(t.decimal, bounds_a + bounds_b), pair.astype("<u4").tobytes(), (at * 4).tolist()
+    for k, s in enumerate(segments):
+        yield s, (counts[40 * k:40 * k + 40], text[k], pairs[cut[k]:cut[k + 1]])
+
+
+class Segments:
+    """Parts of segments: those seen lately are looked up, two generations of at most LATELY at a time."""
+
+    def __init__(self, t: Tokenizers):
+        self.t, self.new, self.old = t, {}, {}
+
+    def parts(self, segments: list[str]) -> list[Part]:
+        got = list(map(self.new.get, segments))
+        missing = {s for s, g in zip(segments, got, strict=True) if g is None}
+        if not missing:
+            return got
+        found = {s: self.old[s] for s in missing if s in self.old}
+        unseen = [s for s in missing if s not in found]
+        found.update(measure(unseen, self.t))
+        if len(self.new) > LATELY:
+            self.old, self.new = self.new, {}
+        self.new.update((s, x) for s, x in found.items() if len(s) <= STRETCH)
+        return [found[s] if g is None else g for s, g in zip(segments, got, strict=True)]
+
+
 class Totals:
-    """Counts of one text while its chunks come in."""
+    """Counts of one text while its segments come in."""
 
     def __init__(self):
         self.valid, self.n, self.digest, self.held, self.parts = True, np.zeros(5, np.int64), hashlib.sha256(), "", []
 
-    def add(self, valid: bool, n: np.ndarray, text: str, keys: np.ndarray, times: np.ndarray) -> None:
-        self.valid &= bool(valid)
-        self.n += n
+    def add(self, parts: list[Part]) -> None:
+        counts, texts, pairs = zip(*parts, strict=True)
+        n = np.frombuffer(b"".join(counts), np.int64).reshape(-1, 5)
+        self.valid &= bool((n[:, 0] >= 0).all())
+        self.n += n.sum(0)
+        text = "".join(texts)
         self.digest.update((self.held + text[:-1]).encode())
         self.held = text[-1:]
-        self.parts.append((keys, times))
+        keys = np.frombuffer(b"".join(pairs), "<u4").astype(np.int64)
+        self.parts.append(add_up(keys, np.ones(len(keys), np.int64)))
 
     def row(self) -> tuple:
         if not self.valid or not self.n[0]:
@@ -213,32 +344,25 @@ PAIRS = "row_id long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links
 COUNTED = ["n_a", "n_b", "n_groups", "n_links", "n_group_links", "groups_sha256", "pairs", "times"]
 
 
-def _add_slice(held: list[tuple[int, str]], totals: dict[int, Totals], t: Tokenizers) -> None:
-    x = align([c for _, c in held], t)
-    text = x.group_text(t.decimal)
-    a, b = x.groups()
-    in_groups = np.concatenate([[0], np.cumsum(a.work(b))])
-    chunk_of = np.repeat(np.arange(len(held)), np.diff(x.bounds_a))
-    parts = [(chunk_of[i] << 31 | x.b[j] << 16 | x.a[i]) for i, j, _ in x.links()]
-    keys = np.concatenate([np.zeros(0, np.int64), *parts])
-    keys, times = add_up(keys, np.ones(len(keys), np.int64))
-    at = np.searchsorted(keys, np.arange(len(held) + 1) << 31)
-    links = np.concatenate([[0], np.cumsum(times)])[at]
-    for k, (row, _) in enumerate(held):
-        n = np.array([x.bounds_a[k + 1] - x.bounds_a[k], x.bounds_b[k + 1] - x.bounds_b[k], x.bounds_g[k + 1] - x.bounds_g[k],
-                      links[k + 1] - links[k], in_groups[x.bounds_a[k + 1]] - in_groups[x.bounds_a[k]]])
-        totals[row].add(x.valid[k], n, text[k], keys[at[k]:at[k + 1]] & (2**31 - 1), times[at[k]:at[k + 1]])
+def _add_slice(held: list[tuple[int, list[str]]], totals: dict[int, Totals], known: Segments) -> None:
+    parts = known.parts([s for _, segments in held for s in segments])
+    at = 0
+    for row, segments in held:
+        totals[row].add(parts[at:at + len(segments)])
+        at += len(segments)
 
 
 def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
     """One row per text: its counts, the digest of its groups, and its different pairs of ids with how often each is linked."""
     path_a, path_b = path_a or vocabulary("byte_bpe_50k.json"), path_b or vocabulary("piece_bpe_32k.model")
+    pattern = split_pattern()
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = PAIRS.format(kind=kind)
     names = ["row_id", "doc_id", *COUNTED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizers(path_a, path_b)
+        t = tokenizers(path_a, path_b, pattern)
+        known = Segments(t)
         for batch in batches:
             texts = batch.column("text")
             for first in range(0, len(batch), 512):
@@ -248,13 +372,13 @@ def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
                 for k in range(len(rows)):
                     text = texts[first + k].as_py().decode("utf-8", "replace")
                     for c in t.chunks(text) if text else ():
-                        held.append((k, c))
+                        held.append((k, CUT.split(c) if t.cuts else [c]))
                         size += len(c)
                         if size >= SLICE:
-                            _add_slice(held, totals, t)
+                            _add_slice(held, totals, known)
                             held, size = [], 0
                 if held:
-                    _add_slice(held, totals, t)
+                    _add_slice(held, totals, known)
                 done = list(zip(*(totals[k].row() for k in range(len(rows))), strict=True))
                 kinds = [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.binary()]
                 columns = [rows.column("row_id"), rows.column("doc_id"), *(pa.array(c, k) for c, k in zip(done, kinds, strict=True))]

@@ -66,6 +66,7 @@ def by_bytes(texts):
     return out
 
 
+TOKENIZERS = alignment.tokenizers(vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), alignment.split_pattern())
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_group_links"]
 
 
@@ -112,8 +113,17 @@ def test_row_products(block):
 
 
 def test_links_and_groups_of_a_text(spark):
-    x = alignment.align(["unbelievable tokenization"], alignment.tokenizers(vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")))
+    x = alignment.align(["unbelievable tokenization"], TOKENIZERS)
     overlaps = {(i, j): v for r in x.links() for i, j, v in zip(*r, strict=True)}
     assert sum(overlaps.values()) == len(" unbelievable tokenization")
     together = {(i, j) for r in x.group_links() for i, j, _ in zip(*r, strict=True)}
     assert set(overlaps) <= together and all(x.group_a[i] == x.group_b[j] for i, j in together)
+
+
+def test_plain_text_is_encoded_as_by_the_library():
+    rng = np.random.default_rng(5)
+    letters = [chr(c) for c in range(256)] + list(" \n\t'sdm") * 8
+    texts = ["".join(rng.choice(letters, rng.integers(1, 60))) for _ in range(20_000)]
+    texts += ["a" * 500, " " * 500, "x" + "\n" * 300 + "y", "\u3000x"]
+    assert sum(map(alignment.plain, texts)) == 20_000 and TOKENIZERS.ranked is not None
+    assert TOKENIZERS.encode_a(texts) == [e.ids for e in TOKENIZERS.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
