@@ -46,7 +46,7 @@ class Params:
     pair_batch: int = 1 << 17
 
 
-HELD = 3_000_000  # occurrences that a task holds before it adds them up
+HELD = 1_500_000  # occurrences that a task holds before it adds them up
 BREAK = np.zeros(256, bool)
 BREAK[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 SOLID = ~BREAK
@@ -127,6 +127,7 @@ def _grown(width: int):
 
     def out(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         *keys, on = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
         mark = pair_key(*keys[:2])
         place, n, going = counted(mark if width == 2 else pair_key(mark, keys[2]), on)
         return pa.RecordBatch.from_arrays([*(pa.array(k[place].view(np.int64)) for k in keys), pa.array(n), pa.array(going)], [*names, "a", "a_on"])
@@ -147,7 +148,7 @@ def _grown(width: int):
             size += len(at)
             if size > HELD:
                 yield out(held)
-                held, size = [], 0
+                size = 0
         if size:
             yield out(held)
 
