@@ -6,15 +6,17 @@ import math
 import random
 from typing import NamedTuple
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alttree.functions.exprs import is_pos
+from alttree.operators import placed
 from alttree.operators.scan import dense_row_id, prefix_scan, ranges_of
 from alttree.operators.scoring import score
 from alttree.operators.state import WeightFn, weight_function
 from alttree.schema import Node
-from alttree.sources.store import settle
 
 TRAIN_PORTION = 0.75
 
@@ -110,20 +112,51 @@ def systematic_copies(scaled: DataFrame, plan: SamplePlan, buckets: int | None =
 COPY_CHUNK = 10_000
 
 
+def one_record_per_copy(drawn: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with `copies`, as one record per copy (`copy` counts from 1); a heavy row is copied by many tasks."""
+    chunks = drawn.withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPY_CHUNK))))
+    first = F.col("_chunk") * COPY_CHUNK + 1
+    last = F.least(F.col("copies"), F.col("_chunk") * COPY_CHUNK + COPY_CHUNK)
+    spread = chunks.repartition("row_id", "_chunk")
+    return spread.select(*columns, F.explode(F.sequence(first, last)).alias("copy"))
+
+
 def systematic_sample(pool: DataFrame, weighted: DataFrame, plan: SamplePlan, balance: Balance, buckets: int | None = None) -> DataFrame:
-    """Rows of the pool drawn with replacement, one record per copy (`copy` counts from 1).
+    """Rows of the pool drawn with replacement in the order of `row_id`, one record per copy.
 
-    The wide pool is only joined with the ids that were drawn.
+    The wide pool is joined with the ids that were drawn, which moves it; `draw_in_place` draws in the order of the files.
     """
     buckets = buckets or ranges_of(balance.n_rows)
     scaled = weighted.select("row_id", scaled_weight(balance).alias("ws"))
     drawn = systematic_copies(scaled, plan, buckets).where("copies > 0").select("row_id", "copies")
-    chunks = pool.join(drawn, "row_id").withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPY_CHUNK))))
-    first = F.col("_chunk") * COPY_CHUNK + 1
-    last = F.least(F.col("copies"), F.col("_chunk") * COPY_CHUNK + COPY_CHUNK)
-    spread = chunks.repartition("row_id", "_chunk")
-    return spread.select(*pool.columns, F.explode(F.sequence(first, last)).alias("copy"))
+    return one_record_per_copy(pool.join(drawn, "row_id"), pool.columns)
+
+
+class PoolWeights(NamedTuple):
+    """A pool with its weights `w`, the totals before each of its splits, and their balance."""
+
+    rows: DataFrame
+    starts: placed.Starts
+    balance: Balance
+
+
+def pool_weights(pool: DataFrame, nodes: list[Node], weight_fn: str | WeightFn = "adaboost") -> PoolWeights:
+    """Score the pool where it is read and add the weights up; only a record per input split is kept."""
+    rows = importance_weights(placed.located(pool), nodes, weight_fn)
+    found = placed.starts(rows, F.col("w"))
+    t = found.total
+    if not t.w_pos or not t.w_neg:
+        raise ValueError("the pool has rows of one class only")
+    return PoolWeights(rows, found, Balance(t.n_pos + t.n_neg, t.w_pos, t.w_neg))
+
+
+def draw_in_place(weighted: PoolWeights, plan: SamplePlan) -> DataFrame:
+    """Rows drawn with replacement by the tasks that read them, one record per copy; the others are moved nowhere."""
+    b = weighted.balance
+    drawn = placed.draws(weighted.rows, F.col("w"), weighted.starts, b.pos_scale, b.neg_scale, plan.segment, plan.offset)
+    columns = [c for c in weighted.rows.columns if c not in (*placed.PLACE, "w")]
+    return one_record_per_copy(drawn.where("copies > 0").select(*columns, "copies"), columns)
 
 
 def row_hash(key: Column | str, copy: Column | int = 1, seed: int = 0) -> Column:
@@ -168,28 +201,39 @@ def resample(
     offset_share: float | None = None,
 ) -> DataFrame:
     """Draw a class-balanced sample where the model is weak; adds `copy` and `is_train`."""
-    # the whole pool is scored once; three narrow columns are kept for the steps below
-    weighted = settle(importance_weights(pool, nodes, weight_fn).select("row_id", "y", "w"))
-    balance = balance_of(weighted)
-    plan = sample_plan(balance, frac, seed, offset_share)
-    drawn = systematic_sample(pool, weighted, plan, balance)
-    return drawn.withColumn("is_train", train_flag(split_by, seed or 0))
+    weighted = pool_weights(pool, nodes, weight_fn)
+    plan = sample_plan(weighted.balance, frac, seed, offset_share)
+    return draw_in_place(weighted, plan).withColumn("is_train", train_flag(split_by, seed or 0))
+
+
+# Draws that are broadcast to the tasks that read the rows (16 bytes each); more are joined.
+MAX_PICKS = 1 << 21
 
 
 def stratified_draw(rows: DataFrame, per_class: int, seed: int = 0, buckets: int | None = None) -> DataFrame:
-    """Draw `per_class` rows of either class with replacement.
+    """Draw `per_class` rows of either class with replacement; adds `draw`.
 
-    Ids are numbered within their class; every draw picks a number by two chained hashes,
-    which reach all numbers of classes beyond 2^31 rows too. The wide rows are only joined
-    with the ids that were drawn.
+    Rows are numbered within their class in the order of the files; every draw picks a number by two chained hashes,
+    which reach all numbers of classes beyond 2^31 rows too. Up to MAX_PICKS draws go to the tasks that read the rows,
+    which emit those that were drawn; more are joined with the rows' numbers.
     """
     spark = rows.sparkSession
-    numbered = dense_row_id(rows.select("row_id", "y"), "row_id", "_idx", by=["y"], buckets=buckets)
-    sizes = rows.groupBy("y").agg(F.count("*").alias("_n"))
-    draws = spark.range(per_class).select((F.col("id") + 1).alias("draw"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("y"))
-    # two classes: two size records
+    rows = placed.located(rows)
+    columns = [c for c in rows.columns if c not in placed.PLACE]
+    found = placed.starts(rows)
+    sizes = {1: found.total.n_pos, -1: found.total.n_neg}
+    draws = spark.range(per_class).select((F.col("id") + 1).alias("draw"), F.explode(F.array(*[F.lit(y) for y, n in sizes.items() if n]).cast("array<int>")).alias("y"))
     high = row_hash("draw", F.col("y") + 2, seed)
     number = high * HASH_MOD + row_hash(high, F.col("y") + 2, seed + 1)
-    picked = draws.join(F.broadcast(sizes), "y").select("draw", "y", F.pmod(number, F.col("_n")).alias("_idx"))
-    drawn = numbered.join(picked, ["y", "_idx"]).select("row_id", "draw")
-    return rows.join(drawn, "row_id")
+    size = F.when(F.col("y") > 0, sizes[1]).otherwise(sizes[-1])
+    picks = draws.select("draw", "y", F.pmod(number, size).alias("_idx"))
+    if per_class * 2 <= MAX_PICKS:
+        table = picks.orderBy("_idx", "draw").toArrow()
+        of = {y: table.filter(pa.compute.equal(table.column("y"), y)) for y in sizes}
+        by_class = {y > 0: (t.column("_idx").to_numpy(), t.column("draw").to_numpy()) for y, t in of.items()}
+        drawn = placed.picked(rows, found, by_class).where(F.size("draws") > 0)
+        return drawn.select(*columns, F.explode("draws").alias("draw"))
+    numbered = placed.row_number(rows, "_place")
+    ranked = dense_row_id(numbered.select("row_id", F.when(is_pos(), 1).otherwise(-1).alias("_y"), "_place"), "_place", "_idx", by=["_y"], buckets=buckets)
+    drawn = ranked.join(picks.withColumnRenamed("y", "_y"), ["_y", "_idx"]).select("row_id", "draw")
+    return rows.select(*columns).join(drawn, "row_id")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from alttree.functions.arrays import constant
 from alttree.functions.exprs import EPS, RATIO_MAX, RATIO_MIN, boost_loss
 from alttree.operators import binning, learner, metrics, sampling
+from alttree.operators.placed import located
 from alttree.operators.scoring import layout, score
 from alttree.operators.state import WeightFn, apply_node, eligible, rebuild_state
 from alttree.schema import Candidate, Node
@@ -169,7 +170,9 @@ class Trainer:
 
     def _sample(self, pool: DataFrame, nodes: list[Node]) -> DataFrame:
         p = self.params
-        return sampling.resample(pool, nodes, p.sample_frac, p.seed + next(self.draws), p.algorithm, p.split_by)
+        if self.placed is None:  # a pool that is not read from files is written once, not for every sample
+            self.placed = located(pool)
+        return sampling.resample(self.placed, nodes, p.sample_frac, p.seed + next(self.draws), p.algorithm, p.split_by)
 
     def _thresholds(self, train: DataFrame) -> list[list[float]]:
         p = self.params
@@ -376,7 +379,7 @@ class Trainer:
         self.nodes = nodes[:model_length] if model_length else nodes
         self.last_resample, self.depth, self.reference = last_resample, p.depth, reference
         self.history, self.written = [], 0
-        self.pool = pool
+        self.pool, self.placed = pool, None
         self._load(sample if sample is not None else self.sampler(pool, self.nodes))
         if not self.nodes:
             c = metrics.class_counts(self.rows.where("is_train")).first()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alttree.operators.placed import PLACE, located, row_number
+
 # Fixed value: a line is "(<label>, u'<letters>')".
 SEQUENCE_LINE = r"^\((-?\d+), u'(.*)'\)$"
 
@@ -19,9 +21,12 @@ def parse_sequences(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def with_row_id(rows: DataFrame) -> DataFrame:
-    """Add `row_id` to rows without a key: number of the input split, then place in it. Unique, the same on every
-    read of the same files, with gaps, and made without moving a row."""
-    return rows.withColumn("row_id", F.monotonically_increasing_id())
+    """Number rows without a key 0, 1, 2 ... in the order of their files and lines.
+
+    The files are read twice, once to count the rows of each split; no row is moved, and the numbers do not depend on
+    how the files are split or dealt to tasks.
+    """
+    return row_number(located(rows)).drop(*PLACE)
 
 
 def _checked(parsed: DataFrame, line: str, on_malformed: str) -> DataFrame:

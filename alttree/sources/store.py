@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settle_files(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Write a table once into the shared folder and read the files, which keep their rows and order."""
+    path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save_nodes(nodes: DataFrame, path: str) -> None:
     """Write a table of nodes; an earlier model at the path is replaced."""
     nodes.select(*NODES.names).write.mode("overwrite").parquet(path)

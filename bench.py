@@ -97,7 +97,7 @@ def main() -> None:
 
     timed("score_100", lambda: run(scoring.score(rows, random_model(100, cuts))))
     timed("score_1000", lambda: run(scoring.score(rows, random_model(1000, cuts))))
-    timed("resample", lambda: run(sampling.resample(rows, model, 0.1, seed=3)))
+    timed("resample", lambda: run(sampling.resample(lineitem_rows(spark), model, 0.1, seed=3)))
     scored = scoring.score(rows, random_model(100, cuts)).select("y", "score")
     timed("auprc", lambda: metrics.auprc(scored).collect())
 
@@ -115,7 +115,7 @@ def main() -> None:
         hot_state, hot_ids, [2] * encode.n_features())).collect())
 
     params = TrainParams(sample_frac=0.2, num_slices=8, max_iters=20, candidate_size=50, admit_size=10, auprc_every=10, pr_every=0)
-    timed("train_20", lambda: Trainer(spark, params).fit(rows), repeat=1)
+    timed("train_20", lambda: Trainer(spark, params).fit(lineitem_rows(spark)), repeat=1)
     print(json.dumps({
         "metric": "total_time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(SF_DIR.rstrip("/"))}))

@@ -13,7 +13,7 @@ from alttree.operators import encode as enc
 from alttree.operators.metrics import class_counts as count_classes
 from alttree.operators.sampling import train_flag
 from alttree.sources import rows as src
-from alttree.sources.store import shared_folder
+from alttree.sources.store import settle, shared_folder
 from registry import query
 from registry.fixtures import EVT, LETTERS, LONG, MODEL, MODEL_TABLE, PAIR, SINGLE, R, documents_letters, evt, r6, table, train_sql
 
@@ -98,6 +98,30 @@ def file_to_features(spark, sf):
     return coded.groupBy("y", "seq_md5", F.size("nz").alias("n_ones")).agg(F.count("*").alias("n_rows"))
 
 
+@query("""WITH n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS id FROM events)
+SELECT event_id, id AS text_small_splits, id AS text_large_splits, id AS csv_small_splits, id AS csv_large_splits FROM n""")
+def file_row_ids(spark, sf):
+    """Ids of keyless lines, text and CSV, read in splits of 32 kB and of 128 MB."""
+    events = table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("label")).orderBy("event_id")
+    folder = os.path.join(shared_folder(spark), f"keyless-{uuid.uuid4().hex}")
+    events.select(F.format_string("(%d, u'%d')", "label", "event_id").alias("value")).write.text(f"{folder}/text")
+    events.select(F.concat_ws(",", "label", "event_id").alias("value")).write.text(f"{folder}/csv")
+    option, ids = "spark.sql.files.maxPartitionBytes", None
+    before = spark.conf.get(option)
+    for size, bytes_ in (("small", "32k"), ("large", "128m")):
+        spark.conf.set(option, bytes_)
+        try:
+            text = src.read_sequences(spark, f"{folder}/text").select(F.col("seq").cast("long").alias("event_id"), F.col("row_id").alias(f"text_{size}_splits"))
+            csv = src.read_dense_csv(spark, f"{folder}/csv").select(
+                F.get("features", F.lit(0)).cast("long").alias("event_id"), F.col("row_id").alias(f"csv_{size}_splits"))
+            # read while the option holds
+            found = settle(text).join(settle(csv), "event_id")
+        finally:
+            spark.conf.set(option, before)
+        ids = found if ids is None else ids.join(found, "event_id")
+    return ids
+
+
 @query("SELECT o_orderkey AS row_id, 2 * CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END - 1 AS y FROM orders")
 def label_remap(spark, sf):
     label = F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)

@@ -50,11 +50,18 @@ def sample_plan(spark, sf):
 
 @query(f"WITH {STATE}, {BALANCE}, {COPIES} SELECT row_id, y, CAST(copy AS BIGINT) AS copy FROM sample")
 def systematic_sample(spark, sf):
+    """Drawn where the pool is read."""
+    weighted = sp.pool_weights(evt(spark, sf), MODEL)
+    return sp.draw_in_place(weighted, sp.sample_plan(weighted.balance, FRAC, offset_share=SHARE)).select("row_id", "y", "copy")
+
+
+@query(f"WITH {STATE}, {BALANCE}, {COPIES} SELECT row_id, y, CAST(copy AS BIGINT) AS copy FROM sample")
+def systematic_sample_by_key(spark, sf):
+    """Drawn in the order of the row ids, whatever the files' order."""
     pool = evt(spark, sf)
     weighted = settle(_weighted(spark, sf))
     balance = sp.balance_of(weighted)
-    plan = sp.sample_plan(balance, FRAC, offset_share=SHARE)
-    return sp.systematic_sample(pool, weighted, plan, balance).select("row_id", "y", "copy")
+    return sp.systematic_sample(pool, weighted, sp.sample_plan(balance, FRAC, offset_share=SHARE), balance).select("row_id", "y", "copy")
 
 
 _COPIED = "three AS (SELECT row_id, unnest([1, 2, 3]) AS copy FROM evt)"
