@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alttree.functions.arrays import SPELLED_OUT, constant, cut_index, let, lower_bound
+from alttree.operators.ranks import RANGES, sizes_and_cuts, values_at
 from alttree.operators.scan import prefix_scan, ranges_for
-from alttree.sources.store import settle
+from alttree.sources.store import settle, settle_files
 
 
 def to_long(rows: DataFrame) -> DataFrame:
@@ -30,44 +31,52 @@ def ranked_values(values: DataFrame, buckets: int | None = None) -> DataFrame:
     return prefix_scan(ones, "value", {"rank": ("sum", "_one")}, by=["feature"], buckets=buckets).drop("_one")
 
 
+def searchable(long: DataFrame) -> DataFrame:
+    """The different values of each feature that cuts can lie between: null is 0, and NaN lies on no side of a cut."""
+    return distinct_values(long.withColumn("value", F.coalesce("value", F.lit(0.0))).where(~F.isnan("value")))
+
+
+def cut_ranks(n: int, num_slices: int) -> list[int]:
+    """Ranks, smallest first, below the cuts of n values: every `size`-th from the top, size = max(1, floor(n / num_slices))."""
+    size = max(1, n // num_slices)
+    return sorted(n - k for k in range(size, n, size))
+
+
+THRESHOLDS = "feature int, slot int, threshold double"
+
+
 def thresholds(long: DataFrame, num_slices: int, buckets: int | None = None) -> DataFrame:
     """Midpoints between neighbouring distinct values at every `size`-th rank from the top,
 
-    where size = max(1, floor(distinct / num_slices)). Ranks come from the range-wise scan,
-    so a feature with very many values is not sorted in one task.
+    where size = max(1, floor(distinct / num_slices)). Values are counted by range and ordered only where a cut lies
+    (`ranks`); the driver holds the cuts, at most 2 num_slices for a feature.
     """
     if num_slices < 1:
         raise ValueError("num_slices must be positive")
-    # NaN lies on no side of a cut
-    values = settle(distinct_values(long.withColumn("value", F.coalesce("value", F.lit(0.0))).where(~F.isnan("value"))))
-    ranked = ranked_values(values, buckets or ranges_for(values))
-    counts = values.groupBy("feature").agg(F.count("*").alias("n"))
-    size = F.greatest(F.lit(1), F.floor(F.col("n") / num_slices))
-    # counts has one row per feature, which the row layout bounds
-    ranks = (
-        ranked.join(F.broadcast(counts), "feature")
-        .withColumn("size", size)
-        .withColumn("from_top", F.col("n") - F.col("rank") + 1)
-    )
-    upper = (F.col("from_top") % F.col("size") == 0) & (F.col("from_top") < F.col("n"))
-    lower = ((F.col("from_top") - 1) % F.col("size") == 0) & (F.col("from_top") > 1)
-    roles = F.array_compact(F.array(
-        F.when(upper, F.struct(F.floor(F.col("from_top") / F.col("size")).alias("cut"), F.lit(True).alias("above"))),
-        F.when(lower, F.struct(F.floor((F.col("from_top") - 1) / F.col("size")).alias("cut"), F.lit(False).alias("above"))),
-    ))
-    ends = ranks.where(upper | lower).select("feature", "n", "size", "value", F.inline(roles))
-    pairs = ends.groupBy("feature", "cut").agg(
-        F.max(F.when(F.col("above"), F.col("value"))).alias("hi"),
-        F.max(F.when(~F.col("above"), F.col("value"))).alias("lo"),
-        F.first("n").alias("n"), F.first("size").alias("size"),
-    )
-    # cut 1 is the topmost; slots count from the lowest threshold
-    last_cut = F.floor((F.col("n") - 1) / F.col("size"))
-    return pairs.where("hi is not null and lo is not null").select(
-        "feature",
-        (last_cut - F.col("cut")).cast("int").alias("slot"),
-        ((F.col("lo") + F.col("hi")) * 0.5).alias("threshold"),
-    )
+    values = settle_files(searchable(long).select(F.col("feature").alias("group"), "value"), "values")
+    found = sizes_and_cuts(values, "group", buckets or RANGES)
+    lower = {f: cut_ranks(n, num_slices) for f, (n, _) in found.items()}
+    wanted = {f: sorted({w for r in ranks for w in (r, r + 1)}) for f, ranks in lower.items()}
+    at = values_at(values, found, wanted, buckets or RANGES)
+    rows = [(f, k, 0.5 * (at[f, r] + at[f, r + 1])) for f, ranks in lower.items() for k, r in enumerate(ranks)]
+    return long.sparkSession.createDataFrame(rows, THRESHOLDS)
+
+
+def thresholds_sketch(long: DataFrame, num_slices: int, accuracy: int = 1_000) -> DataFrame:
+    """Approximate thresholds from a mergeable quantile sketch per feature; nothing is ordered.
+
+    The sketch answers `accuracy` even shares. A cut is the value of such a share; its rank among the n distinct
+    values is off by at most n / accuracy + 1 from the rank below the cut of `thresholds`.
+    """
+    shares = [k / accuracy for k in range(1, accuracy)]
+    # the sketch itself is twice as fine, so that rounding to a share and the sketch's error stay within the bound together
+    sketches = searchable(long).groupBy("feature").agg(F.count("*").alias("n"), F.percentile_approx("value", shares, 2 * accuracy).alias("at"))
+    rows = []
+    for r in sketches.collect():
+        ranks = cut_ranks(r["n"], num_slices)
+        found = [r["at"][min(max(round(k / r["n"] * accuracy), 1), accuracy - 1) - 1] for k in ranks]
+        rows += [(r["feature"], k, v) for k, v in enumerate(sorted(set(found)))]
+    return long.sparkSession.createDataFrame(rows, THRESHOLDS)
 
 
 def onehot_thresholds(rows: DataFrame, n_features: int, num_slices: int) -> DataFrame:
@@ -105,8 +114,10 @@ def bin_rows(rows: DataFrame, cuts: list[list[float]]) -> DataFrame:
         return binned_value(F.get("features", f))
 
     if sum(len(c) for c in cuts) <= SPELLED_OUT:
-        bins = F.array(*[cut_index(c, value(F.lit(f))).cast("smallint") for f, c in enumerate(cuts)])
-        return rows.withColumn("bins", bins)
+        # a column of its own for each value, so that it is worked out once and not at every comparison
+        named = rows.withColumns({f"_v{f}": value(F.lit(f)) for f, c in enumerate(cuts) if c})
+        bins = F.array(*[cut_index(c, F.col(f"_v{f}")).cast("smallint") if c else F.lit(0).cast("smallint") for f, c in enumerate(cuts)])
+        return named.withColumn("bins", bins).select(*rows.columns, "bins")
     table = constant(cuts, "array<array<double>>")
     widest = max(len(c) for c in cuts)
     bins = F.transform(table, lambda c, f: let(value(f), lambda x: slot_of(x, c, widest)).cast("smallint"))

@@ -54,6 +54,18 @@ def thresholds(spark, sf):
     return th.select("feature", "slot", r6("threshold").alias("threshold"))
 
 
+@query(f"WITH {EVT}, {LONG}, {THRESHOLDS} SELECT feature, slot, TRUE AS close FROM th")
+def thresholds_sketch(spark, sf):
+    """Cuts from sketches: is each as far up among the distinct values as the exact one, but for a thousandth of them and one?"""
+    long = b.to_long(evt(spark, sf))
+    values, exact, sketch = b.searchable(long), b.thresholds(long, SLICES), b.thresholds_sketch(long, SLICES)
+    both = exact.join(sketch.withColumnRenamed("threshold", "near"), ["feature", "slot"])
+    # a record per cut
+    below = values.join(F.broadcast(both), "feature").groupBy("feature", "slot").agg(
+        F.count("*").alias("n"), F.count_if(F.col("value") < F.col("threshold")).alias("exact"), F.count_if(F.col("value") <= F.col("near")).alias("near"))
+    return below.select("feature", "slot", (F.abs(F.col("exact") - F.col("near")) <= F.col("n") / 1000 + 1).alias("close"))
+
+
 @query(f"WITH {EVT}, {LONG}, {THRESHOLDS}, {SLOTS} SELECT row_id, feature, slot FROM slots")
 def slot_lookup(spark, sf):
     """Slots by the row-wise form; `slot_lookup_long` takes the long form."""
