@@ -4,12 +4,13 @@ A text's score is a sigmoid of linear weights plus all pairwise interactions of
 product of two low-rank vectors. The pairs are never listed: their sum is half the square of the summed vectors less
 the sum of the squares, so scoring is linear in the number of words.
 
-The model is fitted on at most `sample` labelled rows (those with the smallest hash of their id), in one task; its
-size is fixed by `buckets` and `rank`. Everything else covers every row. Labels, language, source and ids are never
+The model is fitted on at most `sample` labelled rows (those with the smallest hash of their id, then of id and text),
+whose features come together in one task; its size is fixed by `buckets` and `rank`. Everything else covers every row. Labels, language, source and ids are never
 features. Rows of the held-out fold (crc32 of the id, modulo 4, is 2) are never learned from.
 
 Null texts count as empty and get a score from the structure statistics alone. Labels that are null are left out;
-repeated labels and rows each count. Without labels of both kinds every score is the share of label 1 (0.5 without
+repeated labels and rows each count, in the order of the hash of id and text, ties being equal rows; an empty table gives no
+rows; very long texts are scored in whole. Without labels of both kinds every score is the share of label 1 (0.5 without
 any). Other columns are not read.
 """
 
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,24 +183,40 @@ def _inputs(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
-    """labels: doc_id and label (0 or 1). At most p.sample of them are learned from."""
+    """labels: doc_id and label (0 or 1). At most p.sample labelled rows are learned from, in the order of the hash of id and text.
+
+    Features are computed where the texts are read; only those of the chosen rows come together in one task.
+    """
     chosen = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "label").orderBy(
         F.xxhash64("doc_id"), "doc_id", "label").limit(p.sample)
     known = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
-    rows = docs.select(*known).join(F.broadcast(chosen), "doc_id").withColumn("place", F.xxhash64("doc_id"))
+    rows = docs.select(*known).join(F.broadcast(chosen), "doc_id")
+    columns = ["place", "label", "bucket", "value", "dense"]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, f in _batch_features(batches, p.buckets):
+            bounds = pa.array(f.bounds, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [r.column("place"), r.column("label"), pa.ListArray.from_arrays(bounds, pa.array(f.bucket, pa.int32())),
+                 pa.ListArray.from_arrays(bounds, pa.array(f.value)), pa.array(list(f.dense), pa.list_(pa.float64()))], columns)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(r, f) for r, f in _batch_features(batches, p.buckets)]
-        place = np.array([v for r, _ in got for v in r.column("place").to_pylist()], np.int64)
-        y = np.array([v for r, _ in got for v in r.column("label").to_pylist()], float)
-        order = np.argsort(place, kind="stable")
-        sizes = np.concatenate([[0], *(np.diff(f.bounds) for _, f in got)]).astype(np.int64)
-        x = Features(np.cumsum(sizes), *(np.concatenate([getattr(f, c) for _, f in got] or [np.zeros((0, len(STRUCTURE)) if c == "dense" else 0)])
-                                         for c in ("bucket", "value", "dense")))
-        model = fit(rows_of(x, order), y[order], p) if len(y) else fit(x, y, p)
-        yield pa.RecordBatch.from_arrays([pa.array([model.dump()])], ["model"])
-
-    one = _inputs(rows, F.col("label").cast("double"), "place").coalesce(1).mapInArrow(learn, "model binary").collect()
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        got = pa.Table.from_batches(held).sort_by([("place", "ascending"), ("label", "ascending")]).combine_chunks()
+        bucket, value, dense = (got.column(c).combine_chunks() for c in columns[2:])
+        sizes = pa.compute.list_value_length(bucket).to_numpy()
+        x = Features(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), bucket.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy(),
+                     dense.flatten().to_numpy().reshape(len(got), len(STRUCTURE)))
+        yield pa.RecordBatch.from_arrays([pa.array([fit(x, got.column("label").to_numpy(), p).dump()])], ["model"])
+
+    place = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("place")
+    features_of = _inputs(rows, F.col("label").cast("double"), place).mapInArrow(
+        measure, "place long, label double, bucket array<int>, value array<double>, dense array<double>")
+    # a doc_id may be repeated, so the rows are bounded again
+    bounded = features_of.orderBy("place", "label").limit(p.sample).repartition(1)
+    one = bounded.mapInArrow(learn, "model binary").collect()
     return Model.load(bytes(one[0].model)) if one else Model(0.5, *(np.zeros(0) for _ in range(4)))
 
 
@@ -226,12 +244,20 @@ def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def select_good(docs: DataFrame, labels: DataFrame, p: Params = Params(), learn_from: DataFrame | None = None) -> DataFrame:
-    """The documents scored at least p.good, with all their columns."""
+    """The documents scored at least p.good, with all their columns; each is judged where it is read."""
     model = train(docs if learn_from is None else learn_from, labels, p)
-    good = score(docs, model, p).where(F.col("score") >= p.good).select(
-        F.col("doc_id").alias("__llm_id"), F.col("content").alias("__llm_content")).dropDuplicates()
-    same = F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__llm_content"))
-    return docs.join(good, same, "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(model.dump())
+    stated = "n_chars" in docs.columns
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model.load(shared.value)
+        for batch in batches:
+            for first, last, raw, offsets in wb.slices(batch.column("text")):
+                rows = batch.slice(first, last - first)
+                n_chars = _n_chars(rows.column("n_chars")) if stated else np.full(len(rows), np.nan)
+                yield rows.filter(pa.array(scores(m, features(raw, offsets, n_chars, p.buckets)) >= p.good))
+
+    return docs.mapInArrow(good, docs.schema)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
