@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from alttree.llm.tables import partitions
 
-HELD = 2_000_000  # hashes that a task holds before it packs them
+HELD = 1_000_000  # hashes that a task holds before it packs them
 
 
 def packed(numbers: np.ndarray) -> bytes:

@@ -7,6 +7,7 @@ running sums; `mixed` finishes them. Random values are drawn from a fixed seed:
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +70,15 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their stage and would hold it while others run."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about `limit` bytes (a longer text alone): first row, row after the last, bytes, offsets."""
     raw, offsets = column_bytes(column)
@@ -77,6 +87,7 @@ def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, n
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         yield first, last, raw[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first]
         first = last
+    give_back()
 
 
 class Words:
