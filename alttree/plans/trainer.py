@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from alttree.functions.arrays import constant
 from alttree.functions.exprs import EPS, RATIO_MAX, RATIO_MIN, boost_loss
-from alttree.operators import binning, learner, metrics, sampling
-from alttree.operators.placed import located
+from alttree.operators import binning, blocks, learner, metrics, sampling
+from alttree.operators.placed import PLACE, located, row_number
 from alttree.operators.scoring import layout, score
 from alttree.operators.state import WeightFn, apply_node, eligible, rebuild_state
 from alttree.schema import Candidate, Node
@@ -34,7 +34,8 @@ from alttree.sources import store
 class TrainParams:
     """Training options. Sizes <= 0 mean automatic; `max_iters` 0 means no limit.
 
-    `histogram` is "sql", "arrow" or "auto"; both give the same sums.
+    `histogram` is "sql", "arrow", "blocks" or "auto"; all give the same sums. Rows of more than WIDE features are laid
+    out in column blocks by "auto".
     """
 
     sample_frac: float = 0.1
@@ -65,6 +66,7 @@ REPLAY_CHAIN = 20
 
 # Histogram cells a task may hold in memory (32 bytes each); more nodes are summed in several passes.
 TASK_CELLS = 4_000_000
+WIDE = 64
 
 Sampler = Callable[[DataFrame, list[Node]], DataFrame]
 
@@ -164,7 +166,7 @@ class Trainer:
         self.searcher = searcher or self._search
         self.updater = updater
         self.folder = params.output or os.path.join(store.shared_folder(spark), f"train-{uuid.uuid4().hex}")
-        self.draws = itertools.count()
+        self.draws, self.blocks = itertools.count(), None
 
     # hooks' defaults
 
@@ -183,9 +185,12 @@ class Trainer:
         return binning.collect_thresholds(binning.thresholds(binning.to_long(train), p.num_slices))
 
     def _search(self, state: DataFrame, cuts: list[list[float]], k: int) -> DataFrame:
-        """One-hot rows have many features and are summed per task, by blocks of nodes whose sums fit; dense rows in SQL."""
+        """Wide rows are summed from column blocks, other one-hot rows per task, by blocks of nodes whose sums fit; dense rows in SQL."""
         p, onehot, hist = self.params, layout(state) == "nz", None
-        if p.histogram == "arrow" or (p.histogram == "auto" and onehot):
+        if self.blocks is not None and "place" in state.columns:
+            widths = [2] * p.n_features if onehot else [len(c) + 1 for c in cuts]
+            hist = blocks.histogram(self.blocks, state, eligible(self.nodes, self.depth), widths)
+        elif p.histogram == "arrow" or (p.histogram == "auto" and onehot):
             widths = [2] * p.n_features if onehot else [len(c) + 1 for c in cuts]
             parents = eligible(self.nodes, self.depth)
             block = max(1, TASK_CELLS // max(1, sum(widths)))
@@ -201,11 +206,25 @@ class Trainer:
         path = os.path.join(self.folder, f"sample-{self.period:04d}")
         store.save_sample(sample, path, required=True)
         rows = store.load_sample(self.spark, path)
+        in_blocks = self._in_blocks(rows)
+        if in_blocks:
+            rows = row_number(located(rows), "place").drop(*PLACE)
         train = rows.where("is_train")
         self.cuts = self.binner(train)
         if layout(rows) == "features":
             rows = binning.bin_rows(rows, self.cuts)
         self.rows = rows
+        if self.blocks is not None:
+            self.blocks.unpersist()
+        self.blocks = blocks.lay_out(rows, self.params.n_features if layout(rows) == "nz" else len(self.cuts)) if in_blocks else None
+
+    def _in_blocks(self, rows: DataFrame) -> bool:
+        if self.params.histogram != "auto":
+            return self.params.histogram == "blocks"
+        if layout(rows) == "nz":
+            return (self.params.n_features or 0) > WIDE
+        first = rows.select(F.size("features").alias("n")).first()
+        return first is not None and first["n"] > WIDE
 
     def _rebuild(self) -> DataFrame:
         """State of the current model, from the sample alone."""
@@ -454,6 +473,8 @@ class Trainer:
             store.save_model(self.spark, self.nodes, os.path.join(self.folder, "model"))
             self._write_history()
         self.state.unpersist()
+        if self.blocks is not None:
+            self.blocks.unpersist()
         return Result(self.nodes, self.history, self.depth, self.last_resample)
 
 

@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from alttree.operators import binning, encode, learner, metrics, sampling, scoring  # noqa: E402
+from alttree.operators import binning, blocks, encode, learner, metrics, placed, sampling, scoring  # noqa: E402
 from alttree.operators.state import rebuild_state  # noqa: E402
 from alttree.plans.trainer import Trainer, TrainParams  # noqa: E402
 from alttree.schema import Candidate, Node  # noqa: E402
@@ -114,6 +114,21 @@ def main() -> None:
     timed("onehot_search_arrow", lambda: learner.search(hot_state, hot_cuts, 100, histogram=learner.split_histogram_arrow(
         hot_state, hot_ids, [2] * encode.n_features())).collect())
 
+    # a wide dense table: 500 features of 16 values each, from a tenth of the lines
+    wide = lineitem_rows(spark).where(F.col("row_id") % 10 == 0).select(
+        "row_id", "y", F.transform(F.sequence(F.lit(0), F.lit(499)), lambda k: F.pmod(F.xxhash64("row_id", k), F.lit(16)).cast("double")).alias("features"))
+    wide_cuts = [[i + 0.5 for i in range(0, 15, 2)] for _ in range(500)]
+    placed_rows = placed.row_number(placed.located(wide), "place").drop(*placed.PLACE)
+    wide_rows = binning.bin_rows(placed_rows, wide_cuts).persist()
+    wide_model = random_model(10, wide_cuts)
+    wide_state = rebuild_state(wide_rows, wide_model, max_depth=2).persist()
+    wide_state.count()
+    wide_ids, wide_widths = [t.node_id for t in wide_model if t.depth < 2], [9] * 500
+    laid = blocks.lay_out(wide_rows, 500)
+    laid.count()
+    timed("wide_search_blocks", lambda: run(blocks.histogram(laid, wide_state, wide_ids, wide_widths)))
+    timed("wide_search_arrow", lambda: run(learner.split_histogram_arrow(wide_state, wide_ids, wide_widths)))
+
     params = TrainParams(sample_frac=0.2, num_slices=8, max_iters=20, candidate_size=50, admit_size=10, auprc_every=10, pr_every=0)
     timed("train_20", lambda: Trainer(spark, params).fit(lineitem_rows(spark)), repeat=1)
     print(json.dumps({

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alttree.operators import binning as b
+from alttree.operators import blocks
 from alttree.operators import learner as ln
+from alttree.operators import placed
 from alttree.operators import state as st
 from alttree.plans.trainer import root_frame
 from alttree.schema import Candidate, Node
@@ -88,6 +90,18 @@ def split_histogram_arrow(spark, sf):
     return _rounded(ln.split_histogram_arrow(state, [n.node_id for n in MODEL], widths), "w_pos", "w_neg")
 
 
+@query(f"""WITH {BASE}, {HIST}
+SELECT node_id, feature, slot, {R4('w_pos')} AS w_pos, {R4('w_neg')} AS w_neg, n_pos, n_neg FROM hist""")
+def split_histogram_blocks(spark, sf):
+    """The same sums from column blocks of two features."""
+    rows = evt(spark, sf)
+    cuts = b.collect_thresholds(b.thresholds(b.to_long(rows), SLICES))
+    binned = b.bin_rows(placed.row_number(placed.located(rows), "place").drop(*placed.PLACE), cuts)
+    state = st.rebuild_state(binned, MODEL)
+    laid = blocks.lay_out(binned, len(cuts), columns=2)
+    return _rounded(blocks.histogram(laid, state, [n.node_id for n in MODEL], [len(c) + 1 for c in cuts], columns=2), "w_pos", "w_neg")
+
+
 @query(f"""WITH {BASE}, {TOTALS}, {HIST}, {CUMULATIVE}
 SELECT node_id, feature, slot, {R4('w_pos')} AS w_pos, {R4('w_neg')} AS w_neg, n_pos, n_neg,
        {R4('greatest(tp - w_pos, 0)')} AS right_pos, {R4('greatest(tn - w_neg, 0)')} AS right_neg FROM cum""")
