@@ -203,8 +203,15 @@ class Trainer:
     def _load(self, sample: DataFrame) -> None:
         """Write the sample (it must not change under retries), then bin it."""
         self.period = getattr(self, "period", -1) + 1
-        path = os.path.join(self.folder, f"sample-{self.period:04d}")
-        store.save_sample(sample, path, required=True)
+        store.save_sample(sample, self._sample_path(), required=True)
+        self._open()
+
+    def _sample_path(self) -> str:
+        return os.path.join(self.folder, f"sample-{self.period:04d}")
+
+    def _open(self) -> None:
+        """Bin the period's saved sample."""
+        path = self._sample_path()
         rows = store.load_sample(self.spark, path)
         in_blocks = self._in_blocks(rows)
         if in_blocks:
@@ -363,7 +370,7 @@ class Trainer:
     def _save_curve(self, scored: DataFrame, dataset: str, iteration: int) -> None:
         points = metrics.pr_curve(scored).withColumns(
             {"iteration": F.lit(iteration), "n_nodes": F.lit(len(self.nodes)), "dataset": F.lit(dataset)})
-        store.append_pr_points(points, os.path.join(self.folder, "pr_curve"))
+        store.save_pr_points(points, os.path.join(self.folder, "pr_curve"), self.batch)
 
     def _record(self, iteration: int, batch: int, values: dict, event: str | None = None, change: float | None = None) -> dict:
         record = {"iteration": iteration, "batch": batch, "n_nodes": len(self.nodes), "depth": self.depth,
@@ -378,6 +385,28 @@ class Trainer:
             store.save_history(self.spark, new, os.path.join(self.folder, "history"), first=not self.written)
             self.written = len(self.history)
 
+    def _save_progress(self, iteration: int, under: Underfit, over: Overfit) -> None:
+        """After the history of a batch, what is needed to go on from it."""
+        if self.params.output:
+            drawn = next(self.draws)
+            self.draws = itertools.count(drawn)
+            progress = {"batch": self.batch, "iteration": iteration, "nodes": self.nodes, "depth": self.depth, "last_resample": self.last_resample,
+                        "period": self.period, "draws": drawn, "under": list(under.scores), "over": list(over.scores)}
+            store.save_progress(self.spark, self.batch, progress, os.path.join(self.folder, "progress"), first=self.batch == 0)
+
+    def _resume(self, saved: dict, under: Underfit, over: Overfit) -> dict:
+        """Take up a run after its last whole batch: same sample, model, windows and draws to come."""
+        self.nodes = [Node(*n) for n in saved["nodes"]]
+        self.depth, self.last_resample, self.batch = saved["depth"], saved["last_resample"], saved["batch"]
+        self.period, self.draws = saved["period"], itertools.count(saved["draws"])
+        self.history = store.load_history(self.spark, os.path.join(self.folder, "history"), self.batch)
+        self.written = len(self.history)
+        under.scores.extend(saved["under"])
+        over.scores.extend(saved["over"])
+        self._open()
+        self._rebuild()
+        return self._pass(self.state, [], [])[0]
+
     # the loop
 
     def fit(
@@ -388,22 +417,28 @@ class Trainer:
         last_resample: int = 0,
         sample: DataFrame | None = None,
         model_length: int = 0,
+        resume: bool = False,
     ) -> Result:
         """Train from a pool, or from an existing sample with `is_train` flags.
 
-        `init_nodes` (cut to `model_length`) and `last_resample` continue an earlier model.
+        `init_nodes` (cut to `model_length`) and `last_resample` continue an earlier model. With `resume` a run that
+        ended early goes on after its last whole batch in `params.output`, if there is one; options may be raised.
         """
         p = self.params
         nodes = list(init_nodes or [])
         self.nodes = nodes[:model_length] if model_length else nodes
         self.last_resample, self.depth, self.reference = last_resample, p.depth, reference
-        self.history, self.written = [], 0
+        self.history, self.written, self.batch = [], 0, 0
         self.pool, self.placed = pool, None
-        self._load(sample if sample is not None else self.sampler(pool, self.nodes))
-        if not self.nodes:
-            c = metrics.class_counts(self.rows.where("is_train")).first()
-            self.nodes = [root_node(c["n_pos"], c["n_neg"])]
         under, over = Underfit(p.improve_window, p.improve), Overfit(p.improve_window)
+        saved = store.load_progress(self.spark, os.path.join(self.folder, "progress")) if resume and p.output else None
+        if saved is None:
+            if p.output and p.pr_every:
+                store.clear_pr_points(self.spark, os.path.join(self.folder, "pr_curve"))
+            self._load(sample if sample is not None else self.sampler(pool, self.nodes))
+            if not self.nodes:
+                c = metrics.class_counts(self.rows.where("is_train")).first()
+                self.nodes = [root_node(c["n_pos"], c["n_neg"])]
 
         def restart(batch: int) -> dict:
             self._rebuild()
@@ -417,11 +452,15 @@ class Trainer:
             self._record(0, batch, values)
             return losses
 
-        losses = restart(0)
-        iteration = batch = 0
-        while p.max_iters == 0 or iteration < p.max_iters:
+        if saved is None:
+            losses, iteration = restart(0), 0
             self._write_history()
-            batch += 1
+            self._save_progress(iteration, under, over)
+        else:
+            losses, iteration = self._resume(saved, under, over), saved["iteration"]
+        while p.max_iters == 0 or iteration < p.max_iters:
+            self.batch += 1
+            batch = self.batch
             train = self.state.where("is_train")
             found = self.searcher(train, self.cuts, p.candidate_size)
             candidates = learner.collect_candidates(found)
@@ -462,10 +501,11 @@ class Trainer:
                     losses = restart(batch)
                     break
             else:
+                record = {"event": None}
+            if record["event"] != "rollback":
                 self._rebuild()
-                continue
-            if record["event"] == "deepen":
-                self._rebuild()
+            self._write_history()
+            self._save_progress(iteration, under, over)
         return self._finish()
 
     def _finish(self) -> Result:

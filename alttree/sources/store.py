@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,10 +102,62 @@ def history_df(spark: SparkSession, records: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(f) for f in HISTORY.names) for r in records], HISTORY)
 
 
+def replace_parts(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Write a table partitioned by `keys`; partitions that the rows belong to are replaced, others stay."""
+    df.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*keys).parquet(path)
+
+
 def save_history(spark: SparkSession, records: list[dict], path: str, first: bool = True) -> None:
-    """Write a run's records, or the next of them; the first ones replace what an earlier run left at the path."""
-    history_df(spark, records).coalesce(1).write.mode("overwrite" if first else "append").parquet(path)
+    """Write a run's records, or those of its next batches; the first ones replace what an earlier run left at the path.
+
+    A batch that is written again is replaced.
+    """
+    rows = history_df(spark, records).coalesce(1)
+    if first:
+        rows.write.mode("overwrite").partitionBy("batch").parquet(path)
+    else:
+        replace_parts(rows, path, ["batch"])
+
+
+def load_history(spark: SparkSession, path: str, last_batch: int | None = None) -> list[dict]:
+    """A run's records in order, up to a batch if given."""
+    rows = spark.read.schema(HISTORY).parquet(path)
+    rows = rows if last_batch is None else rows.where(F.col("batch") <= last_batch)
+    found = [r.asDict() for r in rows.collect()]
+    # a restart writes iteration 0 behind the admissions of its batch
+    return sorted(found, key=lambda r: (r["batch"], r["iteration"] == 0, r["iteration"]))
+
+
+PR_KEYS = ["dataset", "batch", "iteration"]
+
 
+def save_pr_points(points: DataFrame, path: str, batch: int = 0) -> None:
+    """Keep the points of curves; the same curve written again replaces its points."""
+    replace_parts(points.select(*PR_POINTS.names).withColumn("batch", F.lit(batch)), path, PR_KEYS)
 
-def append_pr_points(points: DataFrame, path: str) -> None:
-    points.select(*PR_POINTS.names).write.mode("append").partitionBy("dataset").parquet(path)
+
+def clear_pr_points(spark: SparkSession, path: str) -> None:
+    """Leave no curve of an earlier run at the path."""
+    none = spark.createDataFrame([], PR_POINTS).withColumn("batch", F.lit(0))
+    none.write.mode("overwrite").partitionBy(*PR_KEYS).parquet(path)
+
+
+PROGRESS = "batch int, progress string"
+
+
+def save_progress(spark: SparkSession, batch: int, progress: dict, path: str, first: bool = False) -> None:
+    """What a run needs to go on after a batch. The job's commit makes the record appear as a whole or not at all."""
+    row = spark.createDataFrame([(batch, json.dumps(progress))], PROGRESS).coalesce(1)
+    if first:
+        row.write.mode("overwrite").partitionBy("batch").parquet(path)
+    else:
+        replace_parts(row, path, ["batch"])
+
+
+def load_progress(spark: SparkSession, path: str) -> dict | None:
+    """The last batch's record, or None if no run has left one."""
+    try:
+        found = spark.read.schema(PROGRESS).parquet(path).orderBy(F.desc("batch")).first()
+    except AnalysisException:
+        return None
+    return json.loads(found["progress"]) if found else None

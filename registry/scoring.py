@@ -83,6 +83,19 @@ def pr_curve(spark, sf):
     return m.pr_curve(_rounded(spark, sf)).select("score", r6("recall").alias("recall"), r6("precision").alias("precision"))
 
 
+@query(f"""WITH {EVT}, {FIRED}, {_ROUNDED}, {_GROUPS}
+SELECT 'train' AS dataset, 100 AS iteration, score, {R('ctp / p')} AS recall, {R('ctp / cn')} AS precision FROM c
+UNION ALL SELECT 'train', 200, score, {R('ctp / p')}, {R('ctp / cn')} FROM c""")
+def pr_curve_sink(spark, sf):
+    """Curves of two iterations, one of them written twice, read back from the table that a run keeps."""
+    path = os.path.join(store.shared_folder(spark), f"curves-{uuid.uuid4().hex}")
+    points = m.pr_curve(_rounded(spark, sf)).withColumns({"n_nodes": F.lit(7), "dataset": F.lit("train")})
+    for iteration in (100, 200, 100):
+        store.save_pr_points(points.withColumn("iteration", F.lit(iteration)), path)
+    kept = spark.read.parquet(path)
+    return kept.select("dataset", "iteration", "score", r6("recall").alias("recall"), r6("precision").alias("precision"))
+
+
 @query(f"""WITH {EVT}, {FIRED}, {_ROUNDED}, {_GROUPS},
 q AS (SELECT score, ctp / p AS r, ctp / cn AS pr FROM c),
 l AS (SELECT *, lag(r, 1, 0) OVER (ORDER BY score DESC) AS r0, coalesce(lag(pr) OVER (ORDER BY score DESC), pr) AS pr0 FROM q)

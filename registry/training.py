@@ -171,3 +171,22 @@ def history_sink(spark, sf):
     Trainer(spark, TrainParams(**{**_PARAMS, "max_iters": 3}, output=path)).fit(evt(spark, sf))
     nodes = store.load_model(spark, os.path.join(path, "model"))
     return _iterations(spark, nodes, spark.read.parquet(os.path.join(path, "history")))
+
+
+@query(training_sql(_DRAWN, 4, 4, 3, 2))
+def resumed_run(spark, sf):
+    """The run of `train_small`, ended after its first batch and taken up by another trainer."""
+    path = _folder(spark)
+    Trainer(spark, TrainParams(**{**_PARAMS, "max_iters": 3}, output=path)).fit(evt(spark, sf))
+    result = Trainer(spark, TrainParams(**_PARAMS, output=path)).fit(evt(spark, sf), resume=True)
+    return _iterations(spark, result.nodes, spark.read.parquet(os.path.join(path, "history")))
+
+
+@query(training_sql(_DRAWN, 4, 4, 3, 1))
+def rerun_into_one_folder(spark, sf):
+    """A run repeated into the folder of an equal one: its tables hold each record once."""
+    path = _folder(spark)
+    for _ in range(2):
+        Trainer(spark, TrainParams(**{**_PARAMS, "max_iters": 3}, output=path)).fit(evt(spark, sf))
+    nodes = store.load_model(spark, os.path.join(path, "model"))
+    return _iterations(spark, nodes, spark.read.parquet(os.path.join(path, "history")))

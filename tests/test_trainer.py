@@ -156,3 +156,34 @@ def test_one_class_is_refused(spark):
 def test_constant_features_give_no_threshold(spark):
     rows = dense(spark, [(i, 1 if i % 2 else -1, [3.0, float(i)]) for i in range(6)])
     assert binning.collect_thresholds(binning.thresholds(binning.to_long(rows), 3))[0] == []
+
+
+@pytest.mark.parametrize("stop", [1, 3, 5])
+def test_a_resumed_run_equals_an_unbroken_one(spark, tmp_path, stop):
+    """Ended after some batches, with windows half full, a deepening and resamples before or after the break."""
+    pool = dense(spark, random_rows(300))
+    options = dict(sample_frac=0.7, num_slices=4, candidate_size=6, admit_size=2, improve=0.02, improve_window=3, seed=5)
+    whole = Trainer(spark, _quiet(max_iters=8, output=str(tmp_path / "whole"), **options)).fit(pool)
+    Trainer(spark, _quiet(max_iters=stop, output=str(tmp_path / "broken"), strict_max_iters=False, **options)).fit(pool)
+    rest = Trainer(spark, _quiet(max_iters=8, output=str(tmp_path / "broken"), **options)).fit(pool, resume=True)
+    _same(rest.nodes, whole.nodes)
+    assert (rest.depth, rest.last_resample) == (whole.depth, whole.last_resample)
+    assert [(h["batch"], h["iteration"], h["event"], h["n_nodes"]) for h in rest.history] == [
+        (h["batch"], h["iteration"], h["event"], h["n_nodes"]) for h in whole.history]
+    tables = [store.load_history(spark, str(tmp_path / name / "history")) for name in ("whole", "broken")]
+    assert len(tables[0]) == len(tables[1]) == len(whole.history)
+    assert all(a["train_avg"] == pytest.approx(b["train_avg"]) for a, b in zip(*tables, strict=True))
+
+
+def test_nothing_to_resume_and_stale_tables(spark, tmp_path):
+    pool, folder = dense(spark, random_rows(200)), str(tmp_path / "run")
+    params = _quiet(sample_frac=0.7, num_slices=4, max_iters=4, candidate_size=6, admit_size=2, pr_every=2, output=folder)
+    first = Trainer(spark, params).fit(pool, resume=True)
+    curves = spark.read.parquet(os.path.join(folder, "pr_curve")).count()
+    params.max_iters = 2
+    again = Trainer(spark, params).fit(pool)
+    assert again.nodes == first.nodes[:3]
+    history = spark.read.parquet(os.path.join(folder, "history"))
+    assert history.count() == 3 and history.agg({"batch": "max"}).first()[0] == 1
+    assert 0 < spark.read.parquet(os.path.join(folder, "pr_curve")).count() < curves
+    assert store.load_progress(spark, os.path.join(folder, "progress"))["iteration"] == 2
