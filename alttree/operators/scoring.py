@@ -123,8 +123,8 @@ def score_delta(rows: DataFrame, nodes: list[Node], last_resample: int) -> DataF
     return scored.select(*rows.columns, "_s.score", "_s.prefix_score", "_s.delta")
 
 
-def membership(rows: DataFrame, nodes: list[Node], keep: list[int], last_resample: int = 0) -> DataFrame:
-    """Add `hits`, the ids in `keep` that fire on the row, `delta` and all firing ids since the resample."""
+def membership(rows: DataFrame, nodes: list[Node], keep: list[int], last_resample: int = 0, recent: bool = False) -> DataFrame:
+    """Add `hits`, the ids in `keep` that fire on the row, `delta` and, if asked for, `recent`: all firing ids since the resample."""
     wanted = set(keep)
 
     def lists(fired, ns, n, ids):
@@ -136,15 +136,15 @@ def membership(rows: DataFrame, nodes: list[Node], keep: list[int], last_resampl
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids_of[col], type=pa.int32()))
 
     def make(fired, ns, n):
-        recent = {t.node_id for t in ns if t.node_id >= last_resample}
-        return pa.StructArray.from_arrays(
-            [lists(fired, ns, n, wanted), pa.array(_sum_scores(fired, ns, n, last_resample)), lists(fired, ns, n, recent)],
-            ["hits", "delta", "recent"],
-        )
+        found = [lists(fired, ns, n, wanted), pa.array(_sum_scores(fired, ns, n, last_resample))]
+        if recent:
+            found.append(lists(fired, ns, n, {t.node_id for t in ns if t.node_id >= last_resample}))
+        return pa.StructArray.from_arrays(found, names)
 
-    ddl = "struct<hits: array<int>, delta: double, recent: array<int>>"
+    names = ["hits", "delta", "recent"][:3 if recent else 2]
+    ddl = "struct<hits: array<int>, delta: double" + (", recent: array<int>>" if recent else ">")
     out = rows.withColumn("_m", _arrow_column(rows, nodes, ddl, make))
-    return out.select(*rows.columns, "_m.hits", "_m.delta", "_m.recent")
+    return out.select(*rows.columns, *[f"_m.{c}" for c in names])
 
 
 def staged_scores(rows: DataFrame, nodes: list[Node]) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alttree.functions.arrays import constant, value_of
@@ -42,9 +42,9 @@ def rebuild_state(
     carried from an earlier state, so the lineage never grows.
     """
     keep = [t.node_id for t in nodes] if max_depth is None else eligible(nodes, max_depth)
-    state = membership(rows, nodes, keep, last_resample)
     if weight_fn == "adaboost":
-        return state.withColumn("w", F.exp(-F.col("y") * F.col("delta"))).drop("recent")
+        return membership(rows, nodes, keep, last_resample).withColumn("w", F.exp(-F.col("y") * F.col("delta")))
+    state = membership(rows, nodes, keep, last_resample, recent=True)
     step = weight_function(weight_fn)
     preds = constant([t.pred for t in nodes], "array<double>")
     first = F.lit(1.0)
@@ -86,15 +86,12 @@ def assignments(state: DataFrame) -> DataFrame:
 def node_totals(state: DataFrame) -> DataFrame:
     """Class weights and counts of every node in `hits`, and of the rows outside it.
 
-    One aggregation over the rows: the pseudo node -1 holds every row and gives the grand
-    totals. What is left has one record per node, so its window is small.
+    The grand totals are one record, which the nodes are joined with; the result stays spread by node.
     """
-    every = F.concat(F.array(F.lit(-1)), F.col("hits"))
-    per_node = state.select("y", "w", F.explode(every).alias("node_id")).groupBy("node_id").agg(*class_sums())
-    nodes = Window.partitionBy()
-    whole = F.col("node_id") == -1
-    grand_w = F.max(F.when(whole, F.col("w_pos") + F.col("w_neg"))).over(nodes)
-    grand_n = F.max(F.when(whole, F.col("n_pos") + F.col("n_neg"))).over(nodes)
-    rejected = {"w_rej": grand_w - F.col("w_pos") - F.col("w_neg"), "n_rej": grand_n - F.col("n_pos") - F.col("n_neg")}
-    return per_node.withColumns(rejected).where("node_id >= 0").select(
-        "node_id", "w_pos", "w_neg", "w_rej", "n_pos", "n_neg", "n_rej")
+    per_node = state.select("y", "w", F.explode("hits").alias("node_id")).groupBy("node_id").agg(*class_sums())
+    one = F.lit(1).alias("_one")
+    whole = state.agg(*class_sums()).select(
+        one, (F.col("w_pos") + F.col("w_neg")).alias("_w"), (F.col("n_pos") + F.col("n_neg")).alias("_n"))
+    return per_node.select("*", one).join(F.broadcast(whole), "_one").select(
+        "node_id", "w_pos", "w_neg", (F.col("_w") - F.col("w_pos") - F.col("w_neg")).alias("w_rej"), "n_pos", "n_neg",
+        (F.col("_n") - F.col("n_pos") - F.col("n_neg")).alias("n_rej"))

@@ -9,10 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alttree.sources.store import shared_folder
-
-# Joins in one plan before a path table is checkpointed.
-CHAIN = 16
+from alttree.sources.store import settle
 
 
 def model_slice(nodes: DataFrame, n: int) -> DataFrame:
@@ -36,20 +33,19 @@ def with_parent(nodes: DataFrame) -> DataFrame:
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(node_id, ancestor, step) for every node: itself at step 0, then up to the root.
 
-    Paths grow sideways, one equi-join per level of the tree, and are unfolded at the
-    end, so every level is joined once. Long chains are checkpointed on the way.
+    Pointer doubling: each round, a path that lacks more than the root is continued by the path of the node above its
+    end, so paths of depth d take log d joins. The other paths are left out of the joins, and the root alone is put
+    on without one, so it is no join key.
     """
     depth = nodes.agg(F.max("depth")).first()[0] or 0
-    up = nodes.select(F.col("node_id").alias("_at"), F.when(F.col("parent_id") >= 0, F.col("parent_id")).alias("_up"))
-    out = up.select(F.col("_at").alias("node_id"), F.col("_up").alias("_next"), F.array("_at").alias("_path"))
-    for k in range(1, depth + 1):
-        out = out.join(up, F.col("_next") == F.col("_at"), "left").select(
-            "node_id", F.col("_up").alias("_next"),
-            F.when(F.col("_at").isNotNull(), F.concat("_path", F.array("_at"))).otherwise(F.col("_path")).alias("_path"))
-        if k % CHAIN == 0 and k < depth:
-            shared_folder(nodes.sparkSession)
-            out = out.checkpoint()
-    return out.select("node_id", F.posexplode("_path").alias("step", "ancestor"))
+    paths = nodes.select("node_id", F.array("node_id").alias("path"), F.col("parent_id").alias("above"), F.col("depth").alias("left"))
+    for _ in range(max(depth - 1, 0).bit_length()):
+        upper = paths.select(F.col("node_id").alias("above"), F.col("path").alias("more"), F.col("above").alias("next"))
+        longer = paths.where("left > 1").join(upper, "above").select(
+            "node_id", F.concat("path", "more").alias("path"), F.col("next").alias("above"), (F.col("left") - F.size("more")).alias("left"))
+        paths = settle(longer.unionByName(paths.where("left <= 1")))
+    whole = F.when(F.col("left") == 1, F.concat("path", F.array("above"))).otherwise(F.col("path"))
+    return paths.select("node_id", F.posexplode(whole).alias("step", "ancestor"))
 
 
 def is_term() -> Column:

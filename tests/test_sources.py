@@ -123,8 +123,23 @@ def test_descriptions(spark, tmp_path):
     assert {r.score for r in signed.where("pos = 1 and token = 'A' and kind = 'is'").collect()} == {1.0, -1.0}
 
 
-def test_long_paths_are_checkpointed(spark, monkeypatch):
-    monkeypatch.setattr(describe, "CHAIN", 2)
+def test_long_path(spark):
     nodes = [Node(0, -1, 0, -1, 0.0, True, 0.0)] + [Node(i, i - 1, i, i, 0.5, True, 0.1) for i in range(1, 8)]
     paths = describe.ancestors(nodes_df(spark, nodes)).where("node_id = 7").orderBy("step").collect()
     assert [r.ancestor for r in paths] == list(range(7, -1, -1))
+
+
+def test_paths_of_deep_and_bushy_trees(spark):
+    rnd = random.Random(8)
+    nodes = [Node(0, -1, 0, -1, 0.0, True, 0.1)]
+    for k in range(1, 400):
+        parent = nodes[-1] if k < 45 else nodes[rnd.randrange(len(nodes))]
+        nodes.append(Node(k, parent.node_id, parent.depth + 1, 0, 0.5, True, 0.1))
+    expected = {}
+    for t in nodes:
+        expected[t.node_id] = [t.node_id, *expected.get(t.parent_id, [])]
+    found = {}
+    for r in describe.ancestors(nodes_df(spark, nodes)).collect():
+        found.setdefault(r.node_id, {})[r.step] = r.ancestor
+    assert {k: [v[i] for i in range(len(v))] for k, v in found.items()} == expected
+    assert describe.ancestors(nodes_df(spark, nodes[:1])).count() == 1 and describe.ancestors(nodes_df(spark, nodes[:2])).count() == 3
