@@ -83,8 +83,9 @@ def onehot_thresholds(rows: DataFrame, n_features: int, num_slices: int) -> Data
     """A 0/1 feature has the single threshold 0.5 unless it is constant (or one slice is asked)."""
     n_rows = rows.count()
     ones = rows.select(F.explode_outer("nz").alias("feature")).where("feature is not null").groupBy("feature").agg(F.count("*").alias("ones"))
-    varied = (F.col("ones") < n_rows) & (F.col("feature") < n_features) & F.lit(num_slices >= 2)
-    return ones.where(varied).select("feature", F.lit(0).alias("slot"), F.lit(0.5).alias("threshold"))
+    outside = F.raise_error(F.concat(F.lit(f"a feature id is outside 0..{n_features - 1}: "), F.col("feature").cast("string"))).cast("boolean")
+    known = F.when((F.col("feature") >= 0) & (F.col("feature") < n_features), True).otherwise(outside)
+    return ones.where(known & (F.col("ones") < n_rows) & F.lit(num_slices >= 2)).select("feature", F.lit(0).alias("slot"), F.lit(0.5).alias("threshold"))
 
 
 def collect_thresholds(th: DataFrame) -> list[list[float]]:

@@ -48,3 +48,10 @@ def test_sketch_is_near(spark):
 
 def test_no_values(spark):
     assert binning.thresholds(spark.createDataFrame([], "row_id long, feature int, value double"), 3).count() == 0
+
+
+def test_feature_ids_outside_the_layout_are_refused(spark):
+    rows = spark.createDataFrame([(0, [1, 5]), (1, [2])], "row_id long, nz array<int>")
+    assert {r.feature for r in binning.onehot_thresholds(rows, 6, 2).collect()} == {1, 2, 5}
+    with pytest.raises(Exception, match="outside 0..4"):
+        binning.onehot_thresholds(rows, 5, 2).collect()
