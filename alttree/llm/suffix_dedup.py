@@ -1,6 +1,7 @@
-"""Removal of byte strings that occur more than once, by distributed prefix doubling over chosen positions.
+"""Removal of byte strings that occur more than once, by hashes grouped at positions that the text chooses.
 
-Ranking every byte would sort eight rows for each byte of the corpus, so ranks are kept for positions that the text
+This stands in for distributed prefix doubling: ranking every byte would sort eight rows for each byte of the corpus, and
+rounds of doubling over chains of runs went over the disk allowance (README). Ranks are 64-bit hashes, kept for positions that the text
 itself chooses: each stretch of `threshold` bytes (a window) has the `first`-byte string in it with the smallest hash
 as its anchor, and windows in a row with the same anchor make a run. Equal windows have equal anchors, so a run whose
 anchor string occurs once holds no repeat and drops out (ranks of the first `first` bytes, unique ones dropped).

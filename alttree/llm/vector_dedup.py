@@ -1,4 +1,4 @@
-"""Near duplicates among embeddings, by passes of random cells.
+"""Near duplicates among embeddings, by passes of random cells, which stand in for sorted passes with bounded windows (README).
 
 A pass hashes each vector to the signs of its projections on a few random directions; vectors with the same signs are a
 cell, and all of a cell are compared with all, tile by tile inside tasks. Pairs with a cosine of `least` or more are
