@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alttree.functions.arrays import constant, value_of
-from alttree.functions.exprs import EPS, boost_loss, check, class_sums, safe_log_ratio
+from alttree.functions.arrays import constant
+from alttree.functions.exprs import EPS, boost_loss, class_sums, safe_log_ratio
 from alttree.operators.scoring import feature_block, layout
 from alttree.operators.state import node_totals
 from alttree.schema import Candidate, Node
@@ -190,14 +190,27 @@ def collect_candidates(best: DataFrame) -> list[Candidate]:
 
 
 def candidate_sums(state: DataFrame, candidates: list[Candidate]) -> DataFrame:
-    """Class weights and counts of every candidate's members, with the current weights."""
-    listed = constant(
-        [{"i": i, **c._asdict()} for i, c in enumerate(candidates)],
-        "array<struct<i: int, parent_id: int, feature: int, threshold: double, split_eval: boolean>>")
-    pairs = state.withColumn("c", F.explode(listed))
-    passed = check(value_of(state.columns, F.col("c.feature")), F.col("c.feature"), F.col("c.threshold"), F.col("c.split_eval"))
-    members = pairs.where(F.array_contains("hits", F.col("c.parent_id")) & passed)
-    return members.groupBy(F.col("c.i").alias("i")).agg(*class_sums())
+    """Class weights and counts of every candidate's members, with the current weights, whatever function made these.
+
+    A task multiplies membership blocks of its rows and candidates by the weights and hands over one record per candidate.
+    """
+    values = layout(state)
+    splits = Splits(candidates, values == "nz")
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(candidates), 4))
+        for batch in batches:
+            col = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
+            splits.load(col[values], col["hits"])
+            splits.add(sums, candidates, class_stats(col["y"].to_numpy(), col["w"].to_numpy()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(candidates)), pa.int32()), *[pa.array(c) for c in sums.T]], ["i", *_CLASS_SUMS])
+
+    ddl = "i int, " + ", ".join(f"{s} double" for s in _CLASS_SUMS)
+    parts = state.select("y", "w", "hits", values).mapInArrow(partial, ddl)
+    return parts.groupBy("i").agg(
+        F.sum("w_pos").alias("w_pos"), F.sum("w_neg").alias("w_neg"),
+        F.sum("n_pos").cast("long").alias("n_pos"), F.sum("n_neg").cast("long").alias("n_neg"))
 
 
 def reevaluate(state: DataFrame, candidates: list[Candidate], loss: LossFn = boost_loss) -> DataFrame:
@@ -221,7 +234,16 @@ def best_candidate(scored: DataFrame) -> DataFrame:
 
 # Parts of an admission pass: what a record's `part` and `i` say.
 LOSS_PART, CANDIDATE_PART = 0, 1
-_STATS = ["w_pos", "w_neg", "n_pos", "n_neg", "sq_pos", "sq_neg"]
+_CLASS_SUMS = ["w_pos", "w_neg", "n_pos", "n_neg"]
+_STATS = [*_CLASS_SUMS, "sq_pos", "sq_neg"]
+# Candidates whose memberships a task holds at a time, beside a column batch of rows.
+CANDIDATE_BLOCK = 256
+
+
+def class_stats(y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weight and count of every row in the columns of its class."""
+    pos = (y > 0).astype(float)
+    return np.stack([w * pos, w * (1.0 - pos), pos, 1.0 - pos], axis=1)
 
 
 class Splits:
@@ -245,6 +267,12 @@ class Splits:
         value = self.block[:, np.searchsorted(self.used, t.feature)]
         return self.member[t.parent_id] & (~(value - t.threshold > EPS) == t.split_eval)
 
+    def add(self, sums: np.ndarray, candidates: list[Candidate], stats: np.ndarray) -> None:
+        """Add the statistics of every candidate's members to its row of `sums`, by blocks of candidates."""
+        for at in range(0, len(candidates), CANDIDATE_BLOCK):
+            members = np.stack([self.passing(c) for c in candidates[at:at + CANDIDATE_BLOCK]]).astype(float)
+            sums[at:at + CANDIDATE_BLOCK] += members @ stats
+
     def gained(self, nodes: list[Node], n: int) -> np.ndarray:
         total = np.zeros(n)
         for t in nodes:
@@ -272,14 +300,11 @@ def admission_pass(state: DataFrame, new_nodes: list[Node], candidates: list[Can
             train = col["is_train"].to_numpy(zero_copy_only=False)
             splits.load(col[values], col["hits"])
             w = w * np.exp(-y * splits.gained(new_nodes, len(y)))
-            pos = (y > 0).astype(float)
-            neg = 1.0 - pos
-            stats = np.stack([w * pos, w * neg, pos, neg, w * w * pos, w * w * neg], axis=1)
+            stats = class_stats(y, w)
+            stats = np.concatenate([stats, stats[:, :2] ** 2], axis=1)
             losses[0] += stats[train].sum(axis=0)
             losses[1] += stats[~train].sum(axis=0)
-            if candidates:
-                members = np.stack([splits.passing(c) for c in candidates]).astype(float)
-                sums += members @ (stats * train[:, None])
+            splits.add(sums, candidates, stats * train[:, None])
         rows = [(LOSS_PART, i, *losses[i]) for i in (0, 1)] + [(CANDIDATE_PART, i, *s) for i, s in enumerate(sums)]
         part, index, *stats = zip(*rows)
         yield pa.RecordBatch.from_arrays(

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alttree.functions.exprs import EPS, is_pos
 from alttree.operators.scan import prefix_scan, ranges_for
-from alttree.operators.scoring import staged_scores
+from alttree.operators.scoring import feature_block, firing, layout, prefix_model, used_features
 from alttree.schema import Node
 from alttree.sources.store import settle
 
@@ -89,13 +94,46 @@ def margin_error(scored: DataFrame) -> DataFrame:
     return scored.agg(F.sum(wrong).alias("n_wrong"), F.avg(wrong).alias("error_rate"))
 
 
+_STAGED = ["n_train", "wrong_train", "n_test", "wrong_test", "sum_w", "sum_sq"]
+
+
+def staged_sums(rows: DataFrame, nodes: list[Node]) -> DataFrame:
+    """What `staged_metrics` is made of, summed per task while the rows go by: six numbers per node, no record per row."""
+    name = layout(rows)
+    onehot, used = name == "nz", used_features(nodes)
+    ids = pa.array([t.node_id for t in nodes], pa.int32())
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, seen = np.zeros((len(nodes), len(_STAGED))), False
+        for batch in batches:
+            # a label or a set that is not known counts nowhere
+            batch = batch.filter(pc.and_(pc.is_valid(batch.column("y")), pc.is_valid(batch.column("is_train"))))
+            seen = seen or batch.num_rows > 0
+            y = batch.column("y").to_numpy(zero_copy_only=False)
+            train = batch.column("is_train").to_numpy(zero_copy_only=False)
+            fired = firing(feature_block(batch.column(name), used, onehot), used, nodes)
+            score = np.zeros(len(y))
+            for k, (t, hit) in enumerate(zip(nodes, fired)):
+                score += hit * t.pred
+                margin = score * y
+                wrong = margin <= EPS
+                w = np.exp(-margin[train])
+                sums[k] += (train.sum(), wrong[train].sum(), (~train).sum(), wrong[~train].sum(), w.sum(), w @ w)
+        if seen:
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c) for c in sums.T]], ["node_id", *_STAGED])
+
+    ddl = "node_id int, " + ", ".join(f"{c} double" for c in _STAGED)
+    parts = rows.select("y", "is_train", name).mapInArrow(partial, ddl)
+    return parts.groupBy("node_id").agg(*[F.sum(c).alias(c) for c in _STAGED])
+
+
 def staged_metrics(rows: DataFrame, nodes: list[Node], max_nodes: int | None = None) -> DataFrame:
-    """Train and test error, effective count and weight sum after every node (input has `is_train`)."""
-    kept = [t for t in nodes if max_nodes is None or t.node_id < max_nodes]
-    staged = staged_scores(rows, kept).withColumn("w", F.exp(-F.col("y") * F.col("score")))
-    wrong = (F.col("score") * F.col("y") <= EPS).cast("double")
-    train = F.col("is_train")
-    w = F.when(train, F.col("w"))
-    return staged.groupBy("node_id").agg(
-        F.avg(F.when(train, wrong)).alias("train_error"), F.avg(F.when(~train, wrong)).alias("test_error"),
-        F.try_divide(F.sum(w) * F.sum(w), F.sum(w * w)).alias("effective"), F.sum(w).alias("sum_w"))
+    """Train and test error, effective count and weight sum after every node (input has `is_train`).
+
+    Numbers of a set without rows are null; a table without rows gives none.
+    """
+    sums = staged_sums(rows, prefix_model(nodes, max_nodes))
+    return sums.select(
+        "node_id", F.try_divide("wrong_train", "n_train").alias("train_error"), F.try_divide("wrong_test", "n_test").alias("test_error"),
+        F.try_divide(F.col("sum_w") * F.col("sum_w"), F.col("sum_sq")).alias("effective"),
+        F.when(F.col("n_train") > 0, F.col("sum_w")).alias("sum_w"))

@@ -15,6 +15,7 @@ from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,17 @@ WIDE = 64
 Sampler = Callable[[DataFrame, list[Node]], DataFrame]
 
 
+class SearchContext(NamedTuple):
+    """What a searcher knows of the run beside the state: the model, how deep parents may lie below it, and the loss."""
+
+    nodes: list[Node]
+    depth: int
+    loss: learner.LossFn
+
+
+Searcher = Callable[[DataFrame, list[list[float]], int, SearchContext], DataFrame]
+
+
 @dataclass
 class Result:
     nodes: list[Node]
@@ -145,7 +157,7 @@ class Trainer:
     """Trains a model from a pool of labelled rows (row_id, y, features or nz).
 
     Hooks: `sampler(pool, nodes)` returns rows with `is_train`; `binner(train)` returns
-    thresholds per feature; `searcher(state, cuts, k)` returns candidate splits;
+    thresholds per feature; `searcher(state, cuts, k, context)` returns candidate splits;
     `updater(state, node)` admits a node; `loss` and `params.algorithm` are Column
     functions for the search loss and the weight update.
     """
@@ -157,7 +169,7 @@ class Trainer:
         loss=boost_loss,
         sampler: Sampler | None = None,
         binner: Callable[[DataFrame], list[list[float]]] | None = None,
-        searcher: Callable[[DataFrame, list[list[float]], int], DataFrame] | None = None,
+        searcher: Searcher | None = None,
         updater: Callable[[DataFrame, Node], DataFrame] | None = None,
     ):
         self.spark, self.params, self.loss = spark, params, loss
@@ -184,19 +196,19 @@ class Trainer:
             return binning.collect_thresholds(binning.onehot_thresholds(train, p.n_features, p.num_slices))
         return binning.collect_thresholds(binning.thresholds(binning.to_long(train), p.num_slices))
 
-    def _search(self, state: DataFrame, cuts: list[list[float]], k: int) -> DataFrame:
+    def _search(self, state: DataFrame, cuts: list[list[float]], k: int, context: SearchContext) -> DataFrame:
         """Wide rows are summed from column blocks, other one-hot rows per task, by blocks of nodes whose sums fit; dense rows in SQL."""
         p, onehot, hist = self.params, layout(state) == "nz", None
         if self.blocks is not None and "place" in state.columns:
             widths = [2] * p.n_features if onehot else [len(c) + 1 for c in cuts]
-            hist = blocks.histogram(self.blocks, state, eligible(self.nodes, self.depth), widths)
+            hist = blocks.histogram(self.blocks, state, eligible(context.nodes, context.depth), widths)
         elif p.histogram == "arrow" or (p.histogram == "auto" and onehot):
             widths = [2] * p.n_features if onehot else [len(c) + 1 for c in cuts]
-            parents = eligible(self.nodes, self.depth)
+            parents = eligible(context.nodes, context.depth)
             block = max(1, TASK_CELLS // max(1, sum(widths)))
             parts = [learner.split_histogram_arrow(state, parents[at:at + block], widths) for at in range(0, len(parents), block)]
             hist = reduce(DataFrame.unionByName, parts)
-        return learner.search(state, cuts, k, self.loss, p.compat_left_reject, p.features_subset, hist)
+        return learner.search(state, cuts, k, context.loss, p.compat_left_reject, p.features_subset, hist)
 
     # data of one sampling period
 
@@ -462,7 +474,8 @@ class Trainer:
             self.batch += 1
             batch = self.batch
             train = self.state.where("is_train")
-            found = self.searcher(train, self.cuts, p.candidate_size)
+            context = SearchContext(list(self.nodes), self.depth, self.loss)
+            found = self.searcher(train, self.cuts, p.candidate_size, context)
             candidates = learner.collect_candidates(found)
             if not candidates:
                 break

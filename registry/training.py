@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from alttree.operators import binning as b
+from alttree.operators import encode
 from alttree.operators import learner as ln
 from alttree.operators import sampling as sp
 from alttree.operators import state as st
@@ -18,8 +19,11 @@ from alttree.schema import NODES, Node, nodes_df
 from alttree.sources import store
 from registry import query
 from registry.boosting_sql import drawn_sample, hashed_sample, training_sql
-from registry.fixtures import EVT, FIRED, HIST, MODEL, R4, STATE, TREE, R, evt, evt_state, history, r4, r6, score_sql, train_sql, tree_nodes
+from registry.fixtures import (
+    EVT, FEATURES, FIRED, HIST, LETTERS, MODEL, R4, SINGLE, STATE, TREE, R, documents_letters, evt, evt_state, hash_sql, history, r4, r6,
+    score_sql, train_sql, tree_nodes)
 from registry.learning import _IN, _NEW, BASE, CUMULATIVE, HIST as SPLIT_HIST, ROUND, SEARCH, SLICES, SPLITS, TOP, TOTALS, binned_state, loss_sql
+from registry.tree_sql import MEASURES, TreeSql, auprc_sql
 
 
 def _folder(spark) -> str:
@@ -125,8 +129,8 @@ def custom_hooks(spark, sf):
     def binner(train):
         return b.collect_thresholds(b.thresholds(b.to_long(train), 3))
 
-    def searcher(state, cuts, k):
-        return ln.search(state, cuts, k, features=[0, 3])
+    def searcher(state, cuts, k, context):
+        return ln.search(state, cuts, k, context.loss, features=[0, 3])
 
     def updater(state, node):
         return st.apply_node(state, node)
@@ -190,3 +194,156 @@ def rerun_into_one_folder(spark, sf):
         Trainer(spark, TrainParams(**{**_PARAMS, "max_iters": 3}, output=path)).fit(evt(spark, sf))
     nodes = store.load_model(spark, os.path.join(path, "model"))
     return _iterations(spark, nodes, spark.read.parquet(os.path.join(path, "history")))
+
+
+_FLAGGED = f"SELECT row_id, 1 AS copy, y, {train_sql()} AS is_train, {', '.join(f'f{k}' for k in range(FEATURES))} FROM evt"
+_JOINED = """SELECT h.*, n.parent_id, n.depth AS node_depth, n.feature, n.threshold, n.split_eval, n.pred
+FROM history h JOIN nodes n ON n.node_id = h.n_nodes - 1"""
+_RUN = dict(num_slices=4, candidate_size=4, admit_size=3, auprc_every=0, pr_every=0)
+
+
+def _flagged(spark, sf):
+    return evt(spark, sf).withColumn("is_train", sp.train_flag())
+
+
+def _records(history, *more):
+    return history.select("iteration", "n_nodes", r4("weight_change").alias("weight_change"),
+                          *[r6(m).alias(m) for m in MEASURES], *more)
+
+
+def _with_nodes(history, nodes):
+    """Every record beside the last node it has seen."""
+    tests = nodes.select((F.col("node_id") + 1).alias("n_nodes"), "parent_id", F.col("depth").alias("node_depth"), "feature",
+                         r6("threshold").alias("threshold"), "split_eval", r6("pred").alias("pred"))
+    return history.join(tests, "n_nodes")
+
+
+def _deepening() -> TreeSql:
+    due = dict(train_auprc=auprc_sql("{w}", "is_train"), test_auprc=auprc_sql("{w}", "NOT is_train"),
+               ref_auprc=auprc_sql("{w}", "TRUE"), ref_avg=f"(SELECT {R('avg(exp(-y * delta))')} FROM {{w}})")
+    run = TreeSql(EVT).sample(_FLAGGED, 4).root()
+
+    def record(i, event="NULL"):
+        values = {c: v.format(w=f"w{run.step}") if i % 2 == 0 else "CAST(NULL AS DOUBLE)" for c, v in due.items()}
+        run.record(i, change=i > 0, event=f"CAST({event} AS VARCHAR)", **values)
+
+    record(0)
+    run.search(4, 1)
+    for i in (1, 2):
+        run.admit(known_depth=1)
+        record(i, "'deepen'" if i == 2 else "NULL")
+    run.search(4, 2)
+    for i in (3, 4):
+        run.admit()
+        record(i)
+    return run
+
+
+_DEEPENED = _deepening()
+
+
+def _deepened(spark, sf, folder):
+    """A gain of nine tenths in two admissions is never reached, so the tree deepens after them."""
+    rows = _flagged(spark, sf)
+    params = TrainParams(**{**_RUN, "auprc_every": 2}, max_iters=4, improve=0.9, improve_window=3, ref_every=2, snapshot_every=2, output=folder)
+    return Trainer(spark, params).fit(sample=rows, reference=rows)
+
+
+@query(_DEEPENED.statement(_JOINED))
+def deepening_run(spark, sf):
+    """A run that goes one level deeper, with the areas and reference metrics that are due every other admission."""
+    folder = _folder(spark)
+    result = _deepened(spark, sf, folder)
+    areas = ["train_auprc", "test_auprc", "ref_auprc", "ref_avg"]
+    history = _records(spark.read.parquet(os.path.join(folder, "history")), "event", *[r6(a).alias(a) for a in areas])
+    return _with_nodes(history, nodes_df(spark, result.nodes))
+
+
+@query(_DEEPENED.statement("SELECT * FROM nodes WHERE node_id < 3"))
+def periodic_snapshot(spark, sf):
+    """The model that the loop wrote after two admissions."""
+    folder = _folder(spark)
+    _deepened(spark, sf, folder)
+    nodes = store.load_nodes(spark, store.snapshot_path(os.path.join(folder, "snapshots"), 2))
+    return nodes.withColumns({"threshold": r6("threshold"), "pred": r6("pred")})
+
+
+def _flipped(seed: int) -> str:
+    return f"""SELECT row_id, 1 AS copy, CASE WHEN is_train THEN y ELSE -y END AS y, is_train, {', '.join(f'f{k}' for k in range(FEATURES))}
+      FROM (SELECT *, {train_sql()} AS is_train FROM evt WHERE {hash_sql('row_id', seed=seed)} < {round(0.5 * 2**31)})"""
+
+
+_ROLLED = TreeSql(EVT).sample(_flipped(1), 4).root().record(0, change=False, event="CAST(NULL AS VARCHAR)", n_after="CAST(NULL AS INTEGER)")
+_ROLLED.search(4, 1).admit().record(1, event="CAST(NULL AS VARCHAR)", n_after="CAST(NULL AS INTEGER)")
+_ROLLED.admit().record(2, event="'rollback'", n_after="1")
+_ROLLED.sample(_flipped(2), 4).restart().record(0, change=False, event="CAST(NULL AS VARCHAR)", n_after="CAST(NULL AS INTEGER)")
+_ROLLED.search(4, 1).admit().record(3, event="CAST(NULL AS VARCHAR)", n_after="CAST(NULL AS INTEGER)")
+
+
+@query(_ROLLED.statement("""SELECT h.*, (SELECT max(feature) FROM nodes WHERE node_id = 1) AS last_feature,
+  (SELECT max(threshold) FROM nodes WHERE node_id = 1) AS last_threshold FROM history h"""))
+def rollback_run(spark, sf):
+    """Held-out rows with the opposite labels: two admissions are taken back and a new sample is drawn, with weights from 1."""
+    drawn = iter((1, 2, 3))
+
+    def sampler(pool, nodes):
+        kept = sp.hash_sample(pool, 0.5, seed=next(drawn)).withColumn("is_train", sp.train_flag())
+        return kept.withColumn("y", F.when(F.col("is_train"), F.col("y")).otherwise(-F.col("y")))
+
+    params = TrainParams(**_RUN, max_iters=3, improve=-1.0, improve_window=3)
+    result = Trainer(spark, params, sampler=sampler).fit(evt(spark, sf))
+    last = result.nodes[-1]
+    return _records(store.history_df(spark, result.history), "event", "n_after").withColumns(
+        {"last_feature": F.lit(last.feature), "last_threshold": r6(F.lit(last.threshold))})
+
+
+_CONTINUED = TreeSql(EVT, FIRED).sample(_FLAGGED, 4).given([n for n in MODEL if n.node_id < 4], 2, "fired").record(0, change=False)
+_CONTINUED.search(4, 2)
+for _i in (1, 2, 3):
+    _CONTINUED.admit().record(_i)
+
+
+@query(_CONTINUED.statement(_JOINED))
+def warm_start_training(spark, sf):
+    """Training goes on from a given model cut to four nodes, resampled at its third."""
+    params = TrainParams(**_RUN, max_iters=3, depth=2)
+    result = Trainer(spark, params).fit(sample=_flagged(spark, sf), init_nodes=MODEL, model_length=4, last_resample=2)
+    return _with_nodes(_records(store.history_df(spark, result.history)), nodes_df(spark, result.nodes))
+
+
+_DAMPED = TreeSql(EVT, update="w * (0.25 + 0.75 * exp(-y * pred))").sample(_FLAGGED, 4).root().record(0, change=False)
+for _i in range(1, 5):
+    if _i % 2:
+        _DAMPED.search(4, 1)
+    _DAMPED.admit().record(_i)
+
+
+@query(_DAMPED.statement(_JOINED))
+def custom_weights(spark, sf):
+    """Two batches under the caller's own weight function."""
+
+    def damped(y, w, pred):
+        return w * (0.25 + 0.75 * F.exp(-y * pred))
+
+    params = TrainParams(**{**_RUN, "admit_size": 2}, max_iters=4, algorithm=damped)
+    result = Trainer(spark, params).fit(sample=_flagged(spark, sf))
+    return _with_nodes(_records(store.history_df(spark, result.history)), nodes_df(spark, result.nodes))
+
+
+_ONEHOT = TreeSql(LETTERS, SINGLE).onehot_sample(f"SELECT row_id, y, {train_sql()} AS is_train FROM letters", "single").root().record(0, change=False)
+_ONEHOT.search(6, 1)
+for _i in (1, 2):
+    _ONEHOT.admit(known_depth=1).record(_i)
+_ONEHOT.search(6, 2)
+for _i in (3, 4):
+    _ONEHOT.admit().record(_i)
+
+
+@query(_ONEHOT.statement(_JOINED))
+def onehot_training(spark, sf):
+    """Letters to one-hot rows to a tree two levels deep: search, admission and scoring without a dense column."""
+    rows = encode.encode(documents_letters(spark, sf)).withColumn("is_train", sp.train_flag())
+    params = TrainParams(max_iters=4, candidate_size=6, admit_size=2, auprc_every=0, pr_every=0, improve=0.9, improve_window=3,
+                         n_features=encode.n_features())
+    result = Trainer(spark, params).fit(sample=rows)
+    return _with_nodes(_records(store.history_df(spark, result.history)), nodes_df(spark, result.nodes))

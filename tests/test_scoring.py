@@ -182,3 +182,32 @@ def test_nan_makes_no_threshold(spark):
     long = spark.createDataFrame([(k, 0, v) for k, v in enumerate([0.5, 1.5, 2.5, 3.5, float("nan"), None])], "row_id long, feature int, value double")
     found = binning.collect_thresholds(binning.thresholds(long, 5))
     assert found == [[0.25, 1.0, 2.0, 3.0]]
+
+
+@pytest.mark.parametrize("kind", ["dense", "onehot"])
+def test_staged_sums_equal_the_staged_scores(spark, kind):
+    """Rows without a label or a set count nowhere; more nodes than rows in a batch change nothing."""
+    made = dense(spark, random_rows(90)) if kind == "dense" else onehot(spark, random_onehot(90, 12))
+    model = MODEL if kind == "dense" else [MODEL[0], MODEL[1]._replace(feature=3, threshold=0.5), MODEL[2]._replace(feature=7, threshold=0.5)]
+    rows = made.withColumns({
+        "is_train": F.when(F.col("row_id") % 10 == 4, None).otherwise(F.col("row_id") % 3 != 0),
+        "y": F.when(F.col("row_id") % 10 != 7, F.col("y"))})
+    staged = scoring.staged_scores(rows.where("y is not null and is_train is not null"), model).collect()
+    found = {r["node_id"]: r for r in metrics.staged_metrics(rows, model).collect()}
+    assert sorted(found) == [t.node_id for t in model]
+    for node_id, r in found.items():
+        train = [s for s in staged if s["node_id"] == node_id and s["is_train"]]
+        test = [s for s in staged if s["node_id"] == node_id and not s["is_train"]]
+        w = [math.exp(-s["y"] * s["score"]) for s in train]
+        assert r["train_error"] == pytest.approx(sum(s["y"] * s["score"] <= 1e-8 for s in train) / len(train))
+        assert r["test_error"] == pytest.approx(sum(s["y"] * s["score"] <= 1e-8 for s in test) / len(test))
+        assert r["sum_w"] == pytest.approx(sum(w)) and r["effective"] == pytest.approx(sum(w) ** 2 / sum(x * x for x in w))
+    only_train = metrics.staged_metrics(rows.where("is_train"), model, max_nodes=2).collect()
+    assert len(only_train) == 2 and all(r["test_error"] is None for r in only_train)
+    assert metrics.staged_metrics(rows.limit(0), model).collect() == []
+
+
+def test_staged_metrics_keep_no_record_per_row_and_node(spark):
+    plan = metrics.staged_metrics(dense(spark, random_rows(20)).withColumn("is_train", F.lit(True)), MODEL)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in text and "MapInArrow" in text

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from alttree.operators import binning, learner, sampling, scoring, state
 from alttree.plans.trainer import Trainer, TrainParams
+from alttree.schema import Candidate
 from alttree.sources import store
-from helpers import dense, onehot, random_onehot, random_rows, train_plainly
+from helpers import MODEL, dense, fires, onehot, random_onehot, random_rows, train_plainly
 
 
 def _same(found, expected):
@@ -187,3 +188,37 @@ def test_nothing_to_resume_and_stale_tables(spark, tmp_path):
     assert history.count() == 3 and history.agg({"batch": "max"}).first()[0] == 1
     assert 0 < spark.read.parquet(os.path.join(folder, "pr_curve")).count() < curves
     assert store.load_progress(spark, os.path.join(folder, "progress"))["iteration"] == 2
+
+
+def test_candidate_sums_by_blocks(spark):
+    """More candidates than a block holds, under weights that no function of this package made."""
+    data = random_rows(80)
+    rows = dense(spark, data).withColumn("is_train", F.lit(True))
+    built = state.rebuild_state(rows, MODEL).withColumn("w", 1.0 / (1 + F.col("row_id")))
+    candidates = [Candidate(p, f, cut + 0.5, side) for p in (0, 1, 3) for f in range(4) for cut in range(13) for side in (True, False)]
+    assert len(candidates) > learner.CANDIDATE_BLOCK
+    found = {r["i"]: r for r in learner.candidate_sums(built, candidates).collect()}
+    for i, c in enumerate(candidates):
+        members = [(k, y) for k, y, x in data if fires(MODEL, x)[c.parent_id] and (x[c.feature] <= c.threshold) == c.split_eval]
+        assert found[i]["n_pos"] == sum(y > 0 for _, y in members) and found[i]["n_neg"] == sum(y < 0 for _, y in members)
+        assert found[i]["w_pos"] == pytest.approx(sum(1 / (1 + k) for k, y in members if y > 0))
+        assert found[i]["w_neg"] == pytest.approx(sum(1 / (1 + k) for k, y in members if y < 0))
+    assert learner.candidate_sums(built, []).collect() == []
+
+
+def test_searcher_knows_the_run(spark):
+    """A searcher that looks one feature at a time by depth, under the loss it is handed."""
+    seen = []
+
+    def searcher(rows, cuts, k, context):
+        seen.append((len(context.nodes), context.depth, context.loss))
+        return learner.search(rows, cuts, k, context.loss, features=[context.depth - 1])
+
+    def gini(rej, pos, neg):
+        return F.try_divide(rej, rej + pos + neg) + F.try_divide(4 * pos * neg, (pos + neg) * (rej + pos + neg))
+
+    sample = dense(spark, random_rows(120)).withColumn("is_train", F.lit(True))
+    params = _quiet(num_slices=4, max_iters=4, candidate_size=6, admit_size=2, improve=0.9, improve_window=3)
+    result = Trainer(spark, params, loss=gini, searcher=searcher).fit(sample=sample)
+    assert seen == [(1, 1, gini), (3, 2, gini)]
+    assert [n.feature for n in result.nodes] == [-1, 0, 0, 1, 1]
