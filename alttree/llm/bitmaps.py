@@ -1,4 +1,7 @@
-"""Bitmaps of fixed size over 64-bit hashes: which hashes are counted often. Spark counts, tasks look up.
+"""Bitmaps over 64-bit hashes: which hashes are counted often. Spark counts, tasks look up.
+
+A bitmap has SPARE bits for each hash it marks, so that the share of hashes marked by a clash stays below 1 / SPARE however
+large the data, up to a largest size that can still be broadcast. Beyond that it fills up and lets more hashes through.
 
 Hashes travel sorted, cut to `count_bytes` bytes and as differences, packed by range of the hash, and are counted exactly; clashes of shorter hashes and of bits only make a hash look more frequent than it is.
 """
@@ -11,8 +14,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from alttree.llm.tables import partitions
+from alttree.llm.tables import forget, keep, partitions
 
 HELD = 1_000_000  # hashes that a task holds before it packs them
 
@@ -54,38 +58,58 @@ def _packed(hashes: Callable[[pa.Array], Iterator[np.ndarray]], parts_log2: int,
     return run
 
 
-def _stretch(leasts: list[int], bits: int, parts_log2: int, count_bytes: int):
-    """A part's stretch of each bitmap."""
-    width = bits - parts_log2
+SPARE = 20  # bits for each marked hash
+
+
+def _frequent(leasts: list[int]):
+    """A part's hashes that are counted often enough for each bitmap."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         t, n = np.unique(np.concatenate([unpacked(b) for b in f["hashes"]]), return_counts=True)
-        bit = (t >> np.uint64(8 * count_bytes - bits)).astype(np.int64) & ((1 << width) - 1)
-        maps = []
-        for least in leasts:
-            marks = np.zeros(1 << width, bool)
-            marks[bit[n >= least]] = True
-            maps.append(np.packbits(marks, bitorder="little").tobytes())
-        return pd.DataFrame({"part": [f["part"].iloc[0]], "maps": [maps]})
+        often = [t[n >= least] for least in leasts]
+        return pd.DataFrame({"part": [f["part"].iloc[0]], "marks": [[packed(x) if len(x) else b"" for x in often]], "sizes": [[len(x) for x in often]]})
+
+    return run
+
+
+def _stretches(bits: list[int], parts_log2: int, count_bytes: int):
+    """A part's stretch of each bitmap."""
+
+    def stretch(data: bytes, size: int) -> bytes:
+        marks = np.zeros(1 << size - parts_log2, bool)
+        if data:
+            marks[(unpacked(data) >> np.uint64(8 * count_bytes - size)).astype(np.int64) & (len(marks) - 1)] = True
+        return np.packbits(marks, bitorder="little").tobytes()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for part, marks in zip(f["part"], f["marks"], strict=True):
+                yield pd.DataFrame({"part": [part], "maps": [[stretch(d, b) for d, b in zip(marks, bits, strict=True)]]})
 
     return run
 
 
-def count_bitmaps(texts: DataFrame, hashes: Callable[[pa.Array], Iterator[np.ndarray]], leasts: list[int], bits: int, count_bytes: int = 5) -> list[np.ndarray]:
-    """For each of `leasts` the bitmap, 2^bits bits, of hashes that occur so often. texts: one column, `text`.
+def count_bitmaps(
+    texts: DataFrame, hashes: Callable[[pa.Array], Iterator[np.ndarray]], leasts: list[int], largest: int = 30, count_bytes: int = 5
+) -> list[np.ndarray]:
+    """For each of `leasts` the bitmap, at most 2^largest bits, of hashes that occur so often. texts: one column, `text`.
 
-    `hashes` gives the hashes of each text of a column. The driver gets the bitmaps alone, whose size is fixed.
+    `hashes` gives the hashes of each text of a column. The driver gets the bitmaps alone, whose size is bounded.
     """
-    log2 = min(bits - 3, max(4, (2 * partitions(texts.sparkSession) - 1).bit_length()))
-    packed = texts.mapInArrow(_packed(hashes, log2, count_bytes), "part int, hashes binary")
-    rows = packed.groupBy("part").applyInPandas(_stretch(leasts, bits, log2, count_bytes), "part int, maps array<binary>").collect()
-    out = np.zeros((len(leasts), 1 << log2, (1 << bits - log2) // 8), np.uint8)
-    for r in rows:
-        for k, data in enumerate(r.maps):
-            out[k, r.part] = np.frombuffer(bytes(data), np.uint8)
+    log2 = min(largest - 3, max(4, (2 * partitions(texts.sparkSession) - 1).bit_length()))
+    ranges = texts.mapInArrow(_packed(hashes, log2, count_bytes), "part int, hashes binary")
+    often = keep(ranges.groupBy("part").applyInPandas(_frequent(leasts), "part int, marks array<binary>, sizes array<long>"), "frequent")
+    marks = often.agg(*[F.sum(F.get("sizes", F.lit(k))).alias(str(k)) for k in range(len(leasts))]).first()
+    bits = [max(log2 + 3, min(largest, 8 * count_bytes, (SPARE * (n or 0)).bit_length())) for n in marks]
+    out = [np.zeros((1 << log2, 1 << b - log2 - 3), np.uint8) for b in bits]
+    for r in often.select("part", "marks").mapInPandas(_stretches(bits, log2, count_bytes), "part int, maps array<binary>").collect():
+        for stretches, data in zip(out, r.maps, strict=True):
+            stretches[r.part] = np.frombuffer(bytes(data), np.uint8)
+    forget(often)
     return [m.ravel() for m in out]
 
 
-def marked(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bits = len(bitmap).bit_length() + 2
     at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

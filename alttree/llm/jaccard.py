@@ -14,8 +14,10 @@ against all, tile by tile, inside tasks: first by sketches, a fixed eighth of ea
 certain, then by whole sets. Tasks give a forest of the links, never pairs. No candidate is left out.
 
 The frequencies are counted exactly, on a prefix of `count_bytes` bytes of the token's hash. What tasks need to know of
-them, whether a token is frequent and whether it has a second document at all, is kept in two bitmaps of 2^bitmap_bits
-bits whatever the data; clashes there make a token look more frequent, which costs keys but loses nothing.
+them, whether a token is frequent and whether it has a second document at all, is kept in two bitmaps, sized by
+the tokens they mark up to 2^bitmap_bits bits; clashes there make a token look more frequent, which costs keys but loses nothing.
+Beyond some 50 million shared tokens the largest bitmap fills up, and the count of each key's documents, which follows
+in any case, sorts out more of the keys; a set never gives more of them than its prefix has.
 
 Texts are told apart by a 64-bit hash and copies of a text are one node. Null and empty texts and texts without words
 have empty sets and link with nothing, not even each other. Rows are judged one by one; rows that repeat a doc_id each
@@ -44,7 +46,8 @@ class Params:
     percent: int = 85
     frequent: int = 32
     count_bytes: int = 5
-    bitmap_bits: int = 26
+    #: log2 of the bits of the largest bitmap; each has as many as its tokens ask for.
+    bitmap_bits: int = 30
     tile: int = 256
     #: (smallest size, classes of frequent tokens); a class number of 0 means single tokens.
     bands: tuple[tuple[int, int], ...] = ((0, 0), (64, 32), (512, 256), (4096, 2048), (32768, 16384))
@@ -128,7 +131,7 @@ def sketch(tokens: np.ndarray) -> bytes:
 def index(docs: DataFrame, twice: np.ndarray, frequent: np.ndarray, p: Params) -> DataFrame:
     """(row_id, doc_id, node, n_shingles, keys, sketch) of each row. Written once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((twice, frequent))  # two bitmaps of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((twice, frequent))  # two bitmaps of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two, many = shared.value
@@ -137,8 +140,8 @@ def index(docs: DataFrame, twice: np.ndarray, frequent: np.ndarray, p: Params) -
                 rows = batch.slice(first, last - first)
                 got = sets(raw, offsets, p.width)
                 every = np.concatenate([np.zeros(0, np.uint64), *got])
-                often = marked(many, every, p.bitmap_bits)
-                alone = ~marked(two, every, p.bitmap_bits)
+                often = marked(many, every)
+                alone = ~marked(two, every)
                 lists, at = [], 0
                 for t in got:
                     k = keys(t, often[at:at + len(t)], p)
@@ -290,7 +293,7 @@ def _sets_of(p: Params, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = batch.column("mark").to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(marked(shared.value, wb.mixed(marks.view(np.uint64)), p.bitmap_bits)))
+            batch = batch.filter(pa.array(marked(shared.value, wb.mixed(marks.view(np.uint64)))))
             for first, last, raw, offsets in wb.slices(batch.column("text")):
                 got = [t.astype("<u8").tobytes() for t in sets(raw, offsets, p.width)]
                 rows = batch.slice(first, last - first)

@@ -43,11 +43,12 @@ NO_MARKS = {"skips": None, "hits": None}
 
 @dataclass(frozen=True)
 class Params:
-    """`first` is at least half the threshold. A larger one makes more and shorter runs, and fewer windows at their edges."""
+    """`first` is at least half the threshold. A larger one makes more and shorter runs, and fewer windows at their edges.
+    `bitmap_bits` is log2 of the bits of the largest bitmap; each has as many as its hashes ask for."""
 
     threshold: int = 200
     first: int = 136
-    bitmap_bits: int = 26
+    bitmap_bits: int = 30
 
 
 def text_key() -> list[Column]:
@@ -144,9 +145,9 @@ def _candidates(p: Params, repeated, wanted=None):
                 r = runs(text, p)
                 if r is None:
                     continue
-                stay = marked(repeated.value, r.name, p.bitmap_bits)
+                stay = marked(repeated.value, r.name)
                 if wanted is not None:
-                    stay &= marked(wanted.value, r.name, p.bitmap_bits)
+                    stay &= marked(wanted.value, r.name)
                 at = np.flatnonzero(stay)
                 if len(at):
                     parts.append((r.name[at], contexts(r, at, p), np.full(len(at), rows + k), r.first[at], r.last[at] - r.first[at] + 1))
@@ -163,12 +164,12 @@ def _candidates(p: Params, repeated, wanted=None):
     return run
 
 
-def _of_documents(shared, bits: int):
+def _of_documents(shared):
     """Rows whose text is marked in a bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(marked(shared.value, key_bits(batch.column("k1")), bits)))
+            yield batch.filter(pa.array(marked(shared.value, key_bits(batch.column("k1")))))
 
     return run
 
@@ -217,7 +218,7 @@ def repeats(docs: DataFrame, p: Params = Params()) -> Found:
     texts = docs.select(*text_key(), "doc_id", utf8().alias("text"))
 
     def shared(column: DataFrame, hashes, least: int) -> Broadcast:
-        return context.broadcast(count_bitmaps(column, hashes, [least], p.bitmap_bits)[0])  # of fixed size
+        return context.broadcast(count_bitmaps(column, hashes, [least], p.bitmap_bits)[0])  # of bounded size
 
     repeated = shared(texts.select("text"), _names(p), 2)
     seen = texts.select("text").mapInArrow(_candidates(p, repeated), "name long, context long, n long")
@@ -231,7 +232,7 @@ def repeats(docs: DataFrame, p: Params = Params()) -> Found:
     edge = keep(groups.join(edges, "name").select(F.monotonically_increasing_id().alias("run"), *KEY, "doc_id", "lo", "w"), "edge")
     per_text = edge.groupBy(*KEY, "doc_id").agg(F.collect_list(F.struct("run", "lo", "w")).alias("parts"))
     some = shared(edge.select(F.col("k1").alias("text")), lambda c: [key_bits(c)], 1)
-    asked = texts.mapInArrow(_of_documents(some, p.bitmap_bits), f"k1 long, k2 int, doc_id {kind}, text binary").alias("t").join(
+    asked = texts.mapInArrow(_of_documents(some), f"k1 long, k2 int, doc_id {kind}, text binary").alias("t").join(
         per_text.alias("e"), _same_text("t", "e")).select("t.text", "e.parts")
     windows = asked.mapInArrow(_edge_windows(p), "a long, b long, run long, off int")
     again = windows.withColumn("n", F.count("*").over(Window.partitionBy("a", "b"))).where("n > 1")
@@ -247,7 +248,7 @@ def kept_bytes(raw: np.ndarray, found: np.ndarray, skips: list[int] | None, hits
     r = runs(raw, p)
     if r is None:
         return raw, 0
-    stay = marked(found, r.name, p.bitmap_bits)
+    stay = marked(found, r.name)
     if skips:
         stay &= ~np.isin(r.first, skips)
     lo = np.concatenate([r.first[stay], *(np.array(h, np.int64) for h in hits or [])])

@@ -8,7 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from alttree.llm import bpe, jaccard, packing, suffix_dedup, vector_dedup
+from alttree.llm import bitmaps, bpe, jaccard, packing, suffix_dedup, vector_dedup
+from alttree.llm import wordbytes as wb
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -119,8 +120,9 @@ def brute_repeats(rows, threshold):
     return out
 
 
-@pytest.mark.parametrize("threshold, first", [(200, 136), (40, 20)])
-def test_repeats_equal_brute_force(spark, threshold, first):
+@pytest.mark.parametrize("threshold, first, bits", [(200, 136, 30), (40, 20, 30), (40, 20, 8)])
+def test_repeats_equal_brute_force(spark, threshold, first, bits):
+    """With 8 bits nearly all anchors are marked: more is listed and the rows stay the same."""
     rng = np.random.default_rng(threshold)
 
     def noise(n):
@@ -133,7 +135,7 @@ def test_repeats_equal_brute_force(spark, threshold, first):
     texts += [(100, "a" * 1000), (101, "a" * threshold), (102, "a" * (threshold + 1)), (103, ""), (104, base), (105, "ab" * 400)]
     texts += [(105, "ab" * 400), (106, "ab" * 400), (107, base[:threshold - 1]), (108, ("xyz" * 100 + "q") * 3), (200, None), (None, base[100:900])]
     docs = spark.createDataFrame([(*t, "k1") for t in texts], "doc_id long, text string, k1 string")
-    p = suffix_dedup.Params(threshold=threshold, first=first)
+    p = suffix_dedup.Params(threshold=threshold, first=first, bitmap_bits=bits)
     got = [tuple(r) for r in suffix_dedup.removal(docs, p).collect()]
     expected = brute_repeats([(i, (t or "").encode()) for i, t in texts], threshold)
     assert sorted(map(str, got)) == sorted(map(str, expected))
@@ -142,6 +144,23 @@ def test_repeats_equal_brute_force(spark, threshold, first):
         assert whole.columns == docs.columns and whole.count() == len(texts)
 
 
+def test_bitmaps_grow_with_what_they_mark(spark):
+    """The share of hashes marked by a clash stays below a twentieth when the input grows 16-fold; none that is counted is missed."""
+
+    def hashes(column):
+        yield wb.mixed(np.array([int(x) for x in column.to_pylist()], np.uint64))
+
+    for n in (5_000, 80_000):
+        rows = spark.range(n).selectExpr("explode(array(id, id, id + 1000000)) as v").unionByName(spark.range(40).selectExpr("id as v"))
+        twice, thrice, none = bitmaps.count_bitmaps(rows.selectExpr("cast(v as string) as text"), hashes, [2, 3, 9])
+        known, others = (wb.mixed(np.arange(a, b, dtype=np.uint64)) for a, b in ((0, n), (1_000_000, 1_000_000 + n)))
+        assert bitmaps.marked(twice, known).all() and bitmaps.marked(twice, others).mean() < 0.05
+        assert bitmaps.marked(thrice, known[:40]).all() and bitmaps.marked(thrice, known[40:]).mean() < 0.05
+        assert not none.any() and len(thrice) < len(twice) == 1 << (20 * n).bit_length() - 3
+    empty = bitmaps.count_bitmaps(spark.createDataFrame([], "text string"), hashes, [1])
+    assert not empty[0].any()
+
+
 def shingles(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     if not words:
@@ -169,9 +188,10 @@ def brute_classes(texts, p):
     return sorted((i, len(s), min(members[root(k)])) for k, ((i, _), s) in enumerate(zip(texts, sets, strict=True)))
 
 
-@pytest.mark.parametrize("percent, frequent, tile", [(85, 32, 256), (80, 3, 8)])
-def test_jaccard_equals_brute_force(spark, percent, frequent, tile):
-    """With `frequent` 3 the groups below consist of frequent tokens, whose pairs are the keys, and blocks have many tiles."""
+@pytest.mark.parametrize("percent, frequent, tile, bits", [(85, 32, 256, 30), (80, 3, 8, 30), (85, 32, 256, 12)])
+def test_jaccard_equals_brute_force(spark, percent, frequent, tile, bits):
+    """With `frequent` 3 the groups below consist of frequent tokens, whose pairs are the keys, and blocks have many tiles.
+    Bitmaps of 12 bits are full."""
     rng = np.random.default_rng(percent)
     vocabulary = [f"w{k}" for k in range(4000)]
     texts = []
@@ -189,7 +209,7 @@ def test_jaccard_equals_brute_force(spark, percent, frequent, tile):
     rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
     rows.append(rows[-1])
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, node int, keys string")
-    p = jaccard.Params(percent=percent, frequent=frequent, tile=tile)
+    p = jaccard.Params(percent=percent, frequent=frequent, tile=tile, bitmap_bits=bits)
     got = sorted(tuple(r) for r in jaccard.link(docs, p).collect())
     expected = brute_classes(rows, p)
     assert got == expected
