@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from alttree.operators import encode, metrics
 from alttree.plans import describe as d
 from alttree.plans import history as h
+from alttree.sources import store
 from registry import query
 from registry.fixtures import HIST, NAMES, TREE, R, history, r6, table, tree_nodes
 
@@ -52,6 +56,16 @@ def rules_by_abs_pred(spark, sf):
     return out.withColumn("pred", r6("pred"))
 
 
+@query(_DESCRIBED)
+def description_file(spark, sf):
+    """The written description of a model, read back line by line."""
+    path = os.path.join(store.shared_folder(spark), f"rules-{uuid.uuid4().hex}")
+    d.write_description(d.describe(tree_nodes(spark, sf), _names(spark)), path)
+    part = F.split("value", ", ", 4)
+    return spark.read.text(path).select(
+        part[0].cast("int").alias("node_id"), part[1].cast("int").alias("depth"), r6(part[2].cast("double")).alias("pred"), part[3].alias("rule"))
+
+
 @query(f"""WITH {TREE}, kids AS (SELECT parent_id AS node_id, count(*) AS n FROM nodes GROUP BY parent_id)
 SELECT node_id, '#' || node_id || CASE WHEN parent_id >= 0 THEN ' below ' || parent_id ELSE '' END || ': '
   || CASE WHEN feature < 0 THEN 'every row'
