@@ -20,6 +20,7 @@ import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Generic, TypeVar
 
 import numpy as np
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alttree.llm.tables import keep, partitions, read, utf8
+from alttree.llm.wordbytes import give_back
 
 K = TypeVar("K")
 LONG = 4096
@@ -93,13 +95,28 @@ class Encoder:
         self.tokenizer.no_padding()
         self.model, self.long = self.tokenizer.model, long
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)["model"]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["merges"])
-        self.ranks = {tuple(m): k for k, m in enumerate(pairs)}
-        self.vocab, self.suffix = spec["vocab"], spec.get("end_of_word_suffix") or ""
+        self.path = path
         self.pieces, self.words = Recent(self._piece), Recent(self._word)
 
+    @cached_property
+    def spec(self) -> dict:
+        """The model as written; read where a long piece asks for it, as it takes more memory than the library."""
+        with open(self.path, encoding="utf-8") as f:
+            return json.load(f)["model"]
+
+    @cached_property
+    def ranks(self) -> dict[tuple[str, ...], int]:
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in self.spec["merges"])
+        return {tuple(m): k for k, m in enumerate(pairs)}
+
+    @property
+    def vocab(self) -> dict[str, int]:
+        return self.spec["vocab"]
+
+    @property
+    def suffix(self) -> str:
+        return self.spec.get("end_of_word_suffix") or ""
+
     def token(self, i: int) -> str:
         return self.tokenizer.id_to_token(i)
 
@@ -239,6 +256,7 @@ def encode(docs: DataFrame, path: str | None = None, long: int = LONG, finish=No
                 items = [None if isinstance(g, bytes) else [{"ids": i.ids, "leaves": i.leaves} for i in g] for g in got]
                 columns = [rows.column("row_id"), rows.column("doc_id"), pa.array(items, ITEMS), *finish(enc, ids)]
                 yield pa.RecordBatch.from_arrays(columns, names)
+            give_back()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", utf8().alias("text"))
     schema = f"row_id long, doc_id {kind}, items array<struct<ids: binary, leaves: array<string>>>, {finished}"

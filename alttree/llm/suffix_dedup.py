@@ -96,11 +96,11 @@ def runs(raw: np.ndarray, p: Params) -> Runs | None:
 
 def _names(p: Params):
     def of(column: pa.Array) -> Iterator[np.ndarray]:
-        raw, offsets = wb.column_bytes(column)
-        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-            r = runs(raw[a:b], p)
-            if r is not None:
-                yield r.name
+        for _, _, raw, offsets in wb.slices(column):
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                r = runs(raw[a:b], p)
+                if r is not None:
+                    yield r.name
 
     return of
 
@@ -140,7 +140,7 @@ def _candidates(p: Params, repeated, wanted=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, keys, rows, held = [], [], 0, 0
-        for batch in batches:
+        for batch in wb.parts(batches):
             for k, text in _texts(batch):
                 r = runs(text, p)
                 if r is None:
@@ -154,7 +154,8 @@ def _candidates(p: Params, repeated, wanted=None):
                     held += len(at)
             rows += len(batch)
             if wanted is not None:
-                keys.append(pa.Table.from_batches([batch.select([*KEY, "doc_id"])]))
+                own = batch.select([*KEY, "doc_id"]).take(pa.array(np.arange(len(batch))))  # a slice would hold the texts as well
+                keys.append(pa.Table.from_batches([own]))
             if held > HELD:
                 yield merged(parts, keys)
                 parts, keys, rows, held = [], [], 0, 0
@@ -182,7 +183,7 @@ def _edge_windows(p: Params):
     """For every window of the listed runs of a text: hashes of its first and last bytes, the run and the place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in wb.parts(batches):
             raw, offsets = wb.column_bytes(batch.column("text"))
             for k, parts in enumerate(batch.column("parts").to_pylist()):
                 sums = _sums(raw[offsets[k]:offsets[k + 1]])
@@ -275,7 +276,7 @@ def removal(docs: DataFrame, p: Params = Params()) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in wb.parts(batches, "_text"):
             raw, offsets = wb.column_bytes(batch.column("_text"))
             out = []
             for k, marks in enumerate(batch.column("__llm_marks").to_pylist()):
@@ -297,7 +298,7 @@ def without_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     repeated = found.repeated
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in wb.parts(batches):
             raw, offsets = wb.column_bytes(batch.column("text"))
             at = batch.schema.get_field_index("text")
             texts = []

@@ -90,6 +90,13 @@ def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, n
     give_back()
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of about 1 MB of a text column (a longer text alone), so that what is made of them stays small on both sides."""
+    for batch in batches:
+        for first, last, _, _ in slices(batch.column(column)):
+            yield batch.slice(first, last - first)
+
+
 class Words:
     """Words of several texts: byte bounds, and the number of each text's first word (`bounds`, one more than texts)."""
 

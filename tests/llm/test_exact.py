@@ -6,9 +6,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from alttree.llm import bitmaps, bpe, jaccard, packing, suffix_dedup, vector_dedup
+from alttree.llm import bitmaps, bpe, jaccard, packing, quality_rules, suffix_dedup, vector_dedup
 from alttree.llm import wordbytes as wb
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -292,3 +293,23 @@ def test_few_vectors_are_one_cell(spark):
     vectors = [[1.0, 0.0], [1.0, 0.1], [0.0, 1.0], [1.0, 0.0, 0.0], [1.0, 0.1, 0.0]]
     rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
     assert sorted(tuple(r) for r in vector_dedup.near_duplicates(rows, "vec_id", "embedding").collect()) == brute_links(vectors, 0.9)
+
+
+# Memory of workers
+
+
+def test_cleaned_texts_leave_in_small_batches():
+    """What a stage of the pipeline makes of a large batch is handed over about a megabyte at a time, with the same rows."""
+    texts = [None, "a b\n" * 200_000, "", *("c d e\n" * 100 for _ in range(4000)), None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string()),
+                                        "__llm_removed": pa.array([None] * len(texts), pa.list_(pa.int64()))})
+    got = list(quality_rules._without(iter([batch])))
+    assert [t for b in got for t in b.column("text").to_pylist()] == texts
+    assert [k for b in got for k in b.column("doc_id").to_pylist()] == list(range(len(texts)))
+    assert max(b.nbytes for b in got) < 1 << 21
+
+
+def test_merges_are_read_for_long_pieces_alone(tokenizer):
+    enc = bpe.Encoder(bpe.vocabulary())
+    assert enc.words.all([b"word"]) == [bpe.ids_bytes(tokenizer.encode("word", add_special_tokens=False).ids)]
+    assert not {"spec", "ranks", "vocab", "suffix"} & set(vars(enc))
