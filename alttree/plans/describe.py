@@ -30,8 +30,8 @@ def with_parent(nodes: DataFrame) -> DataFrame:
     return nodes.join(parent, "parent_id", "left")
 
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """(node_id, ancestor, step) for every node: itself at step 0, then up to the root.
+def ancestors(nodes: DataFrame, root: bool = True) -> DataFrame:
+    """(node_id, ancestor, step) for every node: itself at step 0, then up to the root, or without `root` to the node below it.
 
     Pointer doubling: each round, a path that lacks more than the root is continued by the path of the node above its
     end, so paths of depth d take log d joins. The other paths are left out of the joins, and the root alone is put
@@ -44,7 +44,7 @@ def ancestors(nodes: DataFrame) -> DataFrame:
         longer = paths.where("left > 1").join(upper, "above").select(
             "node_id", F.concat("path", "more").alias("path"), F.col("next").alias("above"), (F.col("left") - F.size("more")).alias("left"))
         paths = settle(longer.unionByName(paths.where("left <= 1")))
-    whole = F.when(F.col("left") == 1, F.concat("path", F.array("above"))).otherwise(F.col("path"))
+    whole = F.when(F.col("left") == 1, F.concat("path", F.array("above"))).otherwise(F.col("path")) if root else F.col("path")
     return paths.select("node_id", F.posexplode(whole).alias("step", "ancestor"))
 
 
@@ -54,10 +54,37 @@ def is_term() -> Column:
 
 
 def rule_terms(nodes: DataFrame, names: DataFrame) -> DataFrame:
-    """One record per test on a node's path: node_id, step (0 = own test), term, feature."""
+    """One record per test on a node's path: node_id, step (0 = own test), term, feature.
+
+    The root has no test, so it is left out of the join, where every path would meet in its key.
+    """
     named = nodes.where("feature >= 0").join(names.select("feature", "name"), "feature")
     terms = named.select(F.col("node_id").alias("ancestor"), "feature", F.concat_ws(" ", is_term(), "name").alias("term"))
-    return ancestors(nodes).join(terms, "ancestor").select("node_id", "step", "term", "feature")
+    return ancestors(nodes, root=False).join(terms, "ancestor").select("node_id", "step", "term", "feature")
+
+
+def first_terms(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """node_id and the code of its rule's first term: twice the feature, and one more for "is".
+
+    This is the highest named test on the path. Pointer doubling as in `ancestors`, but a path carries this term alone:
+    a row has a fixed size, there is one per node, and no join has a key that the paths of many levels share.
+    """
+    depth = nodes.agg(F.max("depth")).first()[0] or 0
+    known = names.select("feature").distinct().withColumn("known", F.lit(True))
+    code = F.when(F.col("known") & (F.col("feature") >= 0), 2 * F.col("feature") + F.when(is_term() == "is", 1).otherwise(0))
+    paths = nodes.join(known, "feature", "left").select(
+        "node_id", F.col("parent_id").alias("above"), F.col("depth").alias("left"), code.alias("code")).distinct()
+    paths = paths.withColumn("size", F.lit(1)).withColumn("step", F.when(F.col("code").isNotNull(), 0))
+    for _ in range(max(depth - 1, 0).bit_length()):
+        upper = paths.select(
+            F.col("node_id").alias("above"), F.col("above").alias("next"), F.col("size").alias("more"), F.col("step").alias("high"), F.col("code").alias("top"))
+        longer = paths.where("left > 1").join(upper, "above").select(
+            "node_id", F.col("next").alias("above"), (F.col("left") - F.col("more")).alias("left"), F.coalesce("top", "code").alias("code"),
+            (F.col("size") + F.col("more")).alias("size"), F.coalesce(F.col("size") + F.col("high"), "step").alias("step"))
+        paths = settle(longer.unionByName(paths.where("left <= 1")))
+    # one number, so that Spark needs no sort to find the largest; a node_id may be repeated
+    best = F.max(F.col("step").cast("long") * 2**32 + F.col("code"))
+    return paths.where("code is not null").groupBy("node_id").agg(F.pmod(best, F.lit(2**32)).cast("int").alias("code"))
 
 
 def describe(nodes: DataFrame, names: DataFrame) -> DataFrame:
@@ -107,13 +134,10 @@ def position_contribution(nodes: DataFrame, names: DataFrame, left: int | None =
     with 0 where nothing fell. Rules without a term (the root) are left out.
     """
     sign = F.when(F.col("pred") < 0, "neg").otherwise("pos")
-    terms = rule_terms(nodes, names)
-    first = terms.groupBy("node_id").agg(F.max_by("feature", "step").alias("feature"), F.max_by("term", "step").alias("term"))
-    parts = (
-        first.join(nodes.select("node_id", "pred"), "node_id").join(names.select("feature", "pos", "token"), "feature")
-        .select(sign.alias("sign"), "pos", F.substring("token", -1, 1).alias("token"),
-                F.substring_index("term", " ", 1).alias("kind"), F.abs("pred").alias("part"))
-    )
+    each = nodes.select("node_id", "pred").join(first_terms(nodes, names), "node_id").groupBy(sign.alias("sign"), "code").agg(F.sum(F.abs("pred")).alias("part"))
+    kind = F.when(F.col("code") % 2 == 1, "is").otherwise("isnot")
+    parts = each.select("sign", F.floor(F.col("code") / 2).cast("int").alias("feature"), kind.alias("kind"), "part").join(
+        names.select("feature", "pos", F.substring("token", -1, 1).alias("token")), "feature")
     if left is not None and right is not None:
         parts = parts.where(F.col("pos").between(left, right))
     sums = parts.groupBy("sign", "pos", "token", "kind").agg(F.sum("part").alias("part"))

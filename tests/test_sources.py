@@ -143,3 +143,33 @@ def test_paths_of_deep_and_bushy_trees(spark):
         found.setdefault(r.node_id, {})[r.step] = r.ancestor
     assert {k: [v[i] for i in range(len(v))] for k, v in found.items()} == expected
     assert describe.ancestors(nodes_df(spark, nodes[:1])).count() == 1 and describe.ancestors(nodes_df(spark, nodes[:2])).count() == 3
+
+
+def test_first_terms_of_odd_trees(spark):
+    """The highest named test of each path, without a record per node and ancestor: such records met in one task at the root."""
+    rnd = random.Random(9)
+    nodes = [Node(0, -1, 0, -1, 0.0, True, 0.1)]
+    for k in range(1, 300):
+        parent = nodes[-1] if k < 25 else nodes[rnd.randrange(len(nodes))]
+        nodes.append(Node(k, parent.node_id, parent.depth + 1, rnd.choice([4, 9, 9999, -1]), rnd.choice([0.5, 1.5]), rnd.random() < 0.5, rnd.uniform(-1, 1)))
+    gone = 30
+    stay = [n for n in nodes if n.node_id != gone]
+    expected, parts = {0: None, gone: "gone"}, {}
+    for n in stay[1:]:
+        above = expected[n.parent_id]
+        own = (n.feature, "is" if (1.0 <= n.threshold) == n.split_eval else "isnot") if n.feature in (4, 9) else None
+        expected[n.node_id] = above or own
+    twice = [*stay, *stay[40:60]]
+    for n in twice:
+        if expected[n.node_id] not in (None, "gone"):
+            key = ("neg" if n.pred < 0 else "pos", *expected[n.node_id])
+            parts[key] = parts.get(key, 0) + abs(n.pred)
+    names, table = encode.feature_dictionary(spark), nodes_df(spark, twice)
+    found = {r.node_id: (r.code // 2, "is" if r.code % 2 else "isnot") for r in describe.first_terms(table, names).collect()}
+    assert found == {k: v for k, v in expected.items() if v not in (None, "gone")}
+    out = describe.position_contribution(table, names)
+    assert "posexplode" not in out._jdf.queryExecution().toString()
+    top = {s: max(sum(v for k, v in parts.items() if k[0] == s and k[1] == f) for f in (4, 9)) for s in ("pos", "neg")}
+    scores = {(r.sign, r.pos, r.token, r.kind): r.score for r in out.where("score > 0").collect()}
+    letter = {4: (1, "A"), 9: (2, "C")}
+    assert scores == {(s, *letter[f], kind): pytest.approx(v / top[s]) for (s, f, kind), v in parts.items()}
