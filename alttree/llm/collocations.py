@@ -46,7 +46,9 @@ class Params:
     pair_batch: int = 1 << 17
 
 
-HELD = 1_500_000  # occurrences that a task holds before it adds them up
+HELD = 750_000  # occurrences that a task holds before it adds them up
+SLICE = 1 << 18  # bytes of text read at a time while phrases grow, whose words take some 90 bytes a byte meanwhile
+BLOCK = 1 << 16  # rows handed over at a time: Spark holds a batch outside its heap
 BREAK = np.zeros(256, bool)
 BREAK[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 SOLID = ~BREAK
@@ -104,10 +106,10 @@ def counted(mark: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return order[heads], n, np.add.reduceat(on[order].astype(np.int64), heads) if len(heads) else n
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Occurrences]]:
+def _slices(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, Occurrences]]:
     for batch in batches:
         lang_key = batch.column("lang_key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        for first, last, raw, offsets in wb.slices(batch.column("text")):
+        for first, last, raw, offsets in wb.slices(batch.column("text"), limit):
             yield batch.slice(first, last - first), occurrences(raw, offsets, lang_key[first:last])
 
 
@@ -125,16 +127,19 @@ def _grown(width: int):
     """Phrases of `width` words grown from known nodes: from words to pairs, or from pairs to triples on either side."""
     names = ["x", "y", "z"][:width]
 
-    def out(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    def out(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         *keys, on = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
         mark = pair_key(*keys[:2])
         place, n, going = counted(mark if width == 2 else pair_key(mark, keys[2]), on)
-        return pa.RecordBatch.from_arrays([*(pa.array(k[place].view(np.int64)) for k in keys), pa.array(n), pa.array(going)], [*names, "a", "a_on"])
+        for at in range(0, len(place), BLOCK):
+            some = slice(at, at + BLOCK)
+            columns = [*(k[place[some]].view(np.int64) for k in keys), n[some], going[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*names, "a", "a_on"])
 
     def run(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for _, o in _slices(batches):
+        for _, o in _slices(batches, SLICE):
             if width == 2:
                 at = np.flatnonzero(o.on)
                 at = at[among(o.key[at], known)]
@@ -147,10 +152,10 @@ def _grown(width: int):
             held.append((*(o.key[at + k] for k in range(width)), o.on[at + width - 1]))
             size += len(at)
             if size > HELD:
-                yield out(held)
+                yield from out(held)
                 size = 0
         if size:
-            yield out(held)
+            yield from out(held)
 
     return run, ", ".join(f"{c} long" for c in names) + ", a long, a_on long"
 

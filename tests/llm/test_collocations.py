@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,13 @@ def test_scores_are_exact(spark):
 
 def test_empty_table(spark):
     assert collocations.mine(spark.createDataFrame([], "text string, lang string")).count() == 0
+
+
+def test_grown_phrases_leave_in_small_batches():
+    """A batch of phrases is held outside Spark's heap; none may grow with what a task has seen."""
+    words = [f"w{k}" for k in range(200_000)]
+    batch = pa.RecordBatch.from_pydict({"lang_key": pa.array([1], pa.int64()), "text": pa.array([" ".join(words).encode()], pa.binary())})
+    keys = np.sort(np.concatenate([o.key for _, o in collocations._slices(iter([batch]))]))
+    got = list(collocations._grown(2)[0](iter([batch]), keys))
+    assert sum(b.num_rows for b in got) == len(words) - 1
+    assert max(b.num_rows for b in got) <= 1 << 16
