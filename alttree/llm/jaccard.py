@@ -318,7 +318,8 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     id_kind, parts = docs.schema["doc_id"].dataType.simpleString(), partitions(docs.sparkSession)
     texts = docs.select("doc_id", node_of().alias("node"), utf8().alias("text")).select(mark, "*")
     some = texts.mapInArrow(_sets_of(p, shared), f"mark long, node long, doc_id {id_kind}, tokens binary")
-    one = some.repartition(parts, "mark").dropDuplicates(["mark", "node", "doc_id"]).withColumnRenamed("node", "node_")
+    # dealt as the join below asks for, so that the sets are moved once
+    one = some.repartition(parts, "mark", "node").dropDuplicates(["mark", "node", "doc_id"]).withColumnRenamed("node", "node_")
     members = near.join(wanted, "node")
     ready = members.join(one, (members["mark"] == one["mark"]) & (members["node"] == one["node_"])).select(*near.columns, "tokens")
     ready = ready.repartition(parts, *PLACE).sortWithinPartitions(*PLACE)
@@ -339,12 +340,12 @@ def one_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The documents with one left of each group of linked ones, the one with the smallest doc_id."""
     rows = keep(classes(docs, p), "classes")
     out = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("first"))
-    stay = out.select(F.col("first.doc_id").alias("__llm_id"), F.col("first.node").alias("__llm_node")).unionByName(
-        rows.where(F.col("class").isNull()).select(F.col("doc_id").alias("__llm_id"), F.col("node").alias("__llm_node"))).distinct()
-    stay = stay.withColumn("__llm_key", F.xxhash64("__llm_id", "__llm_node"))
-    keyed = docs.withColumn("__llm_own", F.xxhash64(F.col("doc_id"), node_of()))
-    same = (F.col("__llm_own") == F.col("__llm_key")) & F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (node_of() == F.col("__llm_node"))
-    one = keyed.join(stay, same).dropDuplicates(["__llm_own", "__llm_id", "__llm_node"])  # repeated rows lie where the join put them
+    stay = out.select("first.doc_id", "first.node").unionByName(rows.where(F.col("class").isNull()).select("doc_id", "node"))
+    stay = stay.groupBy(F.xxhash64("doc_id", "node").alias("__llm_key")).agg(F.collect_set(F.struct("doc_id", "node")).alias("__llm_stay"))
+    keyed = docs.withColumn("__llm_node", node_of()).withColumn("__llm_own", F.xxhash64("doc_id", "__llm_node"))
+    same = F.exists("__llm_stay", lambda s: s["doc_id"].eqNullSafe(F.col("doc_id")) & (s["node"] == F.col("__llm_node")))
+    found = keyed.join(stay, F.col("__llm_own") == F.col("__llm_key")).where(same)  # by one column, so that repeated rows lie where the join put them
+    one = found.dropDuplicates(["__llm_own", "doc_id", "__llm_node"])
     return one.select(*docs.columns)
 
 

@@ -295,6 +295,23 @@ def test_few_vectors_are_one_cell(spark):
     assert sorted(tuple(r) for r in vector_dedup.near_duplicates(rows, "vec_id", "embedding").collect()) == brute_links(vectors, 0.9)
 
 
+def test_one_of_each_group_moves_the_texts_once(spark):
+    """Repeated rows, null ids and empty texts included; the texts are dealt for the join and lie where repeated rows meet."""
+    long = "one two three four five six seven eight nine ten eleven"
+    rows = [(3, long), (1, long + " twelve"), (1, long + " twelve"), (None, "other words that stand alone here"), (None, "other words that stand alone here"),
+            (7, None), (7, None), (8, ""), (2, "x"), (2, "y"), (9, "x")]
+    docs = spark.createDataFrame([(*r, "l") for r in rows], "doc_id long, text string, lang string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jaccard.one_each(docs, jaccard.Params(width=3, percent=80))
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(__llm_own") == 1
+        got = Counter(tuple(r) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == Counter([(1, long + " twelve", "l"), (None, "other words that stand alone here", "l"), (7, None, "l"), (8, "", "l"), (2, "x", "l"), (2, "y", "l")])
+
+
 # Memory of workers
 
 
