@@ -1,7 +1,8 @@
 """BPE encoding and decoding of whole texts, equal to the tokenizers library's, with a tree for long unsplit text.
 
 Texts are cut at ASCII white space, across which no token reaches; each different word is encoded once per worker and
-then looked up. A stretch without a cut that is longer than `long` bytes would keep one task busy, so it is split into
+then looked up. Texts of Latin letters are cut into the library's pieces some hundred at a time, by arrays of their characters; equal
+pieces found by hash (and compared) are looked up once. A stretch without a cut that is longer than `long` bytes would keep one task busy, so it is split into
 leaves that Spark encodes in parallel, and neighbours are concatenated pairwise up a tree: a window of tokens round
 each join is encoded anew and doubled until its first and last tokens equal the old ones, which makes the joined
 tokens those of the whole text (every neighbouring pair of tokens is then one that BPE itself makes).
@@ -18,10 +19,10 @@ import json
 import re
 import struct
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from typing import Generic, TypeVar
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
@@ -30,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alttree.llm.tables import keep, partitions, read, utf8
-from alttree.llm.wordbytes import give_back
+from alttree.llm.wordbytes import give_back, running, stretch
 
 K = TypeVar("K")
 LONG = 4096
-CACHE = 200_000  # words of a cache generation, and pieces
+CACHE, PIECES = 300_000, 100_000  # words or Latin pieces of a cache generation, and pieces of other words
 
 
 def _latin(kinds: str) -> str:
@@ -44,6 +45,12 @@ def _latin(kinds: str) -> str:
 # Characters below U+0250 need no normalisation but lower case, so their pieces are found without the library.
 LATIN = re.compile(f"[{_latin('LNPS')}]*")
 LATIN_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_latin('L')}]+|[{_latin('N')}]|[{_latin('PS')}]+")
+LATIN_TEXT = re.compile(f"[{_latin('LNPS')} \\t\\n\\v\\f\\r]*")
+SPACE, LETTER, NUMBER, SIGN = range(4)
+KINDS = np.array([{"L": LETTER, "N": NUMBER, "P": SIGN, "S": SIGN}.get(unicodedata.category(chr(c))[0], SPACE) for c in range(0x250)], np.int8)
+KINDS[:0x21] = SPACE
+CHARACTERS = np.random.default_rng(20240602).integers(1, 2**64, 0x250, dtype=np.uint64)
+TOGETHER = 1 << 19  # characters of texts that are cut together
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: The byte-level alphabet: shown bytes as they are, the others from U+0100 on.
 BYTE_LETTERS = {b: b for b in _SHOWN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -63,25 +70,25 @@ class Item:
     leaves: list[str]
 
 
-class Recent(Generic[K]):
-    """A function's values for the keys seen lately: two generations of CACHE keys at most."""
+class Recent(dict[K, bytes]):
+    """A function's values for the keys seen lately: two generations of `size` keys at most."""
 
-    def __init__(self, make: Callable[[K], bytes]):
-        self.make, self.new, self.old = make, {}, {}
+    def __init__(self, make: Callable[[K], bytes], size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
 
-    def all(self, keys: list[K]) -> list[bytes]:
-        got = list(map(self.new.get, keys))
-        if None in got:
-            for k, found in enumerate(got):
-                if found is None:
-                    key = keys[k]
-                    found = self.old.get(key)
-                    if found is None:
-                        found = self.make(key)
-                    if len(self.new) >= CACHE:
-                        self.old, self.new = self.new, {}
-                    got[k] = self.new[key] = found
-        return got
+    def __missing__(self, key: K) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+    def all(self, keys: Iterable[K]) -> list[bytes]:
+        return list(map(self.__getitem__, keys))
 
 
 class Encoder:
@@ -96,7 +103,7 @@ class Encoder:
         self.model, self.long = self.tokenizer.model, long
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.path = path
-        self.pieces, self.words = Recent(self._piece), Recent(self._word)
+        self.pieces, self.words = Recent(self._piece, PIECES), Recent(self._word, CACHE)
 
     @cached_property
     def spec(self) -> dict:
@@ -124,16 +131,43 @@ class Encoder:
         """Pieces of a stretch without special tokens, in the model's symbols."""
         low = text.lower()
         if LATIN.fullmatch(low):
-            pieces = LATIN_PIECES.findall(low)
-            return pieces if low.isascii() else [p.encode().decode("latin-1").translate(BYTE_LETTERS) for p in pieces]
+            return list(map(byte_letters, LATIN_PIECES.findall(low)))
         normal = self.tokenizer.normalizer.normalize_str(text)
         return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
 
     def _piece(self, piece: str) -> bytes:
         return ids_bytes([t.id for t in self.model.tokenize(piece)])
 
-    def _word(self, word: bytes) -> bytes:
-        """Ids of a stretch without ASCII white space."""
+    def latin(self, text: bytes) -> str | None:
+        """A text in lower case, with a space before it, if it has Latin letters alone and no special tokens and is not too long for arrays."""
+        low = text.decode("utf-8", "replace").lower()
+        return f" {low}" if len(low) < 2 * TOGETHER and "<|" not in low and LATIN_TEXT.fullmatch(low) else None
+
+    def latin_ids(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of texts as `latin` gives them; None for those with long pieces."""
+        joined = "".join(texts)
+        codes = np.frombuffer(joined.encode("utf-16-le"), "<u2")
+        start, end = latin_pieces(codes)
+        heads = np.cumsum([0, *map(len, texts)])
+        long = np.unique(np.searchsorted(heads, start[2 * (end - start) > self.long], "right") - 1)
+        if len(long):
+            some = [t for k, t in enumerate(texts) if k not in set(long.tolist())]
+            rest = iter(self.latin_ids(some) if some else [])
+            return [None if k in set(long.tolist()) else next(rest) for k in range(len(texts))]
+        first, which = alike(codes, start, end)
+        ids = self.words.all([joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        ends = np.cumsum(sizes)
+        after = np.cumsum(sizes[which])  # ids up to each piece's last
+        at = np.repeat((ends - sizes)[which] - (after - sizes[which]), sizes[which]) + np.arange(after[-1] if len(after) else 0)
+        flat = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
+        cut = np.concatenate([[0], after])[np.searchsorted(start, heads)] * 4
+        return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+    def _word(self, word: bytes | str) -> bytes:
+        """Ids of a stretch without ASCII white space, or, if it is no bytes, of one of a Latin text's pieces."""
+        if isinstance(word, str):
+            return self._piece(byte_letters(word))
         text = word.decode("utf-8", "replace")
         if "<|" in text and self.special.search(text):
             return ids_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -150,14 +184,14 @@ class Encoder:
 
         for w in words:
             if len(w) <= self.long:
-                ready(self.words.all([w])[0])
+                ready(self.words[w])
                 continue
             text = w.decode("utf-8", "replace")
             at = 0
             for m in [*self.special.finditer(text), None]:
                 for p in self.split(text[at:m.start() if m else len(text)]):
                     if len(p) <= self.long:
-                        ready(self.pieces.all([p])[0])
+                        ready(self.pieces[p])
                     else:
                         out.append(Item(b"", [p[k:k + self.long] for k in range(0, len(p), self.long)]))
                 if m:
@@ -216,14 +250,73 @@ def encoder(path: str, long: int = LONG) -> Encoder:
     return _encoders[path, long]
 
 
+def byte_letters(piece: str) -> str:
+    return piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+
 def ids_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def latin_pieces(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the pieces that LATIN_PIECES finds in lower-case Latin characters, of which the first is white space."""
+    kind = KINDS[codes]
+    begins = (kind != SPACE) & ((kind == NUMBER) | (kind != np.roll(kind, 1)))
+    tail = np.concatenate([codes, np.zeros(3, codes.dtype)])
+    quote = np.flatnonzero((codes == ord("'")) & begins)
+    one, two = tail[quote + 1], tail[quote + 2]
+    size = np.zeros(len(quote), np.int64)
+    for ending in ("re", "ve", "ll"):
+        size[(one == ord(ending[0])) & (two == ord(ending[1]))] = 3
+    size[np.isin(one, [ord(c) for c in "stmd"])] = 2
+    quote, size = quote[size > 0], size[size > 0]
+    begins[quote + 1] = False
+    after = (quote + size)[quote + size < len(codes)]
+    begins[after] = kind[after] != SPACE  # no letter further on belongs to the ending
+    stops = begins | (kind == SPACE)
+    start = np.flatnonzero(begins)
+    places = np.append(np.flatnonzero(stops), len(codes))
+    return start, places[np.searchsorted(places, start) + 1]
+
+
+def alike(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each different stretch, and for each stretch which of these it is."""
+    hashes = stretch(running(CHARACTERS[codes]), start, end)
+    order = np.argsort(hashes)
+    new = np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0
+    first, which = order[new], np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    size, own = end - start, first[which]
+    same = np.array_equal(size, size[own])
+    if same:
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        same = np.array_equal(codes[np.repeat(start, size) + at], codes[np.repeat(start[own], size) + at])
+    return (first, which) if same else (np.arange(len(start)), np.arange(len(start)))  # two of one hash
+
+
 def word_ids(texts: pa.Array, enc: Encoder) -> Iterator[bytes | list[Item]]:
     """Per text its ids as little-endian 32-bit numbers, or its items where it has a long unsplit stretch."""
+    held: list[tuple[bytes, str | None]] = []
+    size = 0
     for value in texts:
-        words = value.as_py().split()
+        text = value.as_py()
+        held.append((text, enc.latin(text)))
+        size += len(text)
+        if size > TOGETHER:
+            yield from _held_ids(held, enc)
+            held, size = [], 0
+    yield from _held_ids(held, enc)
+
+
+def _held_ids(held: list[tuple[bytes, str | None]], enc: Encoder) -> Iterator[bytes | list[Item]]:
+    latin = [low for _, low in held if low is not None]
+    ids = iter(enc.latin_ids(latin) if latin else [])
+    for text, low in held:
+        found = None if low is None else next(ids)
+        if found is not None:
+            yield found
+            continue
+        words = text.split()
         if words and max(map(len, words)) > enc.long:
             yield enc.items(words)
         else:

@@ -48,6 +48,30 @@ def test_bpe_equals_the_library(spark, tokenizer, long):
         assert text_sha[k] == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_latin_texts_are_cut_and_encoded_together(tokenizer, monkeypatch):
+    """Equal to the library; words that differ in capitals or in the signs round them are no words of their own."""
+    rng = np.random.default_rng(7)
+    odd = ["", " ", "'s", "'S's 're'vex 'll''ll !'s x'd9'm", "'", "a'", "'r e", "Étéİ", "KK'Ve x­", "<|endoftext|>'s", "z" * 3000, "z" * 5000]
+    texts = odd + ["".join(rng.choice(list("'''srevelltmd aA.é9\n\t&ǅ"), rng.integers(1, 60))) for _ in range(800)]
+    cut = [f" {t}" for t in (x.lower() for x in texts) if bpe.LATIN_TEXT.fullmatch(t)]
+    start, end = bpe.latin_pieces(np.frombuffer("".join(cut).encode("utf-16-le"), "<u2"))
+    assert len(cut) > 600 and ["".join(cut)[a:b] for a, b in zip(start, end, strict=True)] == [p for t in cut for p in bpe.LATIN_PIECES.findall(t)]
+    expected = [bpe.ids_bytes(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    column, long = pa.array([t.encode() for t in texts], pa.binary()), texts.index("z" * 5000)
+
+    def ids(enc):
+        return [b"" if k == long and isinstance(i, list) else i for k, i in enumerate(bpe.word_ids(column, enc))]
+
+    expected[long] = b""
+    assert ids(bpe.Encoder(bpe.vocabulary())) == expected
+    monkeypatch.setattr(bpe, "TOGETHER", 100)
+    monkeypatch.setattr(bpe, "stretch", lambda sums, start, end: end - start)  # hashes that clash
+    assert ids(bpe.Encoder(bpe.vocabulary())) == expected
+    enc = bpe.Encoder(bpe.vocabulary())
+    list(bpe.word_ids(pa.array([b"word Word WORD, 'word' (word) word; *word"], pa.binary()), enc))
+    assert len(enc.words) == len({"word", ",", "'", "(", ")", ";", "*"})
+
+
 def test_join_of_halves_equals_the_whole():
     enc, rng = bpe.encoder(bpe.vocabulary()), np.random.default_rng(5)
     for _ in range(300):
